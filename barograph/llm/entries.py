@@ -139,8 +139,8 @@ g AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
 x AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM both WHERE 100 * k >= 85 * (na + nb - k)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM shared WHERE 100 * k >= 85 * (na + nb - k)),
 sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a)
 SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = g.doc_id) AS component_id FROM g
