@@ -21,7 +21,6 @@ document backs off everywhere.  An empty table gives no rows.  Other columns are
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -82,12 +81,6 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffles of a slice that is done; only disk depends on it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stupid_backoff(docs: DataFrame, backoff: float = 0.4, slices: int = 4, hot: float = 1e-4) -> DataFrame:
     """doc_id, n_words, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -112,8 +105,6 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, slices: int = 4, hot:
         value = F.when(F.col("seen"), F.col("top") - F.ln("left")).otherwise(F.lit(math.log(backoff)) + F.when(F.col("left") > 0, F.ln("left")).otherwise(math.log(backoff)))
         done = one.groupBy("doc_id").agg(F.sum(F.col("tf") * value).alias("s"), F.sum(F.when(~F.col("seen"), F.col("tf")).otherwise(0)).alias("backed"), F.sum("tf").alias("words"))
         sums.append(saved(done, "slice"))
-        del rows, counts, need, one, done
-        _release(spark)
     every = sums[0]
     for s in sums[1:]:
         every = every.unionAll(s)

@@ -35,10 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
+
+    Shuffles of the write are removed when it ends; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
