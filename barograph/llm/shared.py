@@ -176,18 +176,55 @@ def gram_hashes(row: np.ndarray, words: np.ndarray, n: int, short: bool = False)
     return rows, hashes
 
 
-def shingle_sets(col: pa.StringArray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct hashes of its word n-grams) for each row with any, A-Z as a-z."""
+def shingle_sets(col: pa.StringArray, n: int, weights: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple]:
+    """(row, sorted distinct hashes of its word n-grams) for each row with any, A-Z as a-z.
+
+    weights: sorted word hashes and a weight of each; then also the sums of the n-grams' words' weights.
+    """
     text, bounds = raw(col)
     for a, b in steps(bounds):
         part = bounds[a : b + 1] - bounds[a]
-        rows, hashes = gram_hashes(*word_hashes(text[bounds[a] : bounds[b]], part, True), n, True)
+        row, words = word_hashes(text[bounds[a] : bounds[b]], part, True)
+        rows, hashes = gram_hashes(row, words, n, True)
         if not len(rows):
             continue
         at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        if weights is not None:
+            sums = _gram_sums(row, found(words, *weights), n)
         for i, j in zip(at, np.r_[at[1:], len(rows)], strict=True):
-            x = np.sort(hashes[i:j])
-            yield a + int(rows[i]), x[np.r_[True, x[1:] != x[:-1]]]
+            if weights is None:
+                x = np.sort(hashes[i:j])
+                yield a + int(rows[i]), x[np.r_[True, x[1:] != x[:-1]]]
+            else:
+                order = np.argsort(hashes[i:j])
+                x = hashes[i:j][order]
+                new = np.r_[True, x[1:] != x[:-1]]
+                yield a + int(rows[i]), x[new], sums[i:j][order][new]
+
+
+def found(x: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each x among sorted keys, 0 where it isn't there."""
+    if not len(keys):
+        return np.zeros(len(x), values.dtype)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, values[at], 0).astype(values.dtype)
+
+
+def _gram_sums(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sums over the n-grams in the order of gram_hashes with ``short``; 0 for a whole short row."""
+    k = len(row) - n + 1
+    sums = np.zeros(0, weight.dtype)
+    where = row[:0]
+    if k > 0:
+        sums = weight[:k].copy()
+        for i in range(1, n):
+            sums += weight[i : k + i]
+        same = row[:k] == row[n - 1 :]
+        sums, where = sums[same], row[:k][same]
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    less = np.diff(np.r_[at, len(row)]) < n
+    where = np.r_[where, row[at[less]]]
+    return np.r_[sums, np.zeros(int(less.sum()), weight.dtype)][np.argsort(where, kind="stable")]
 
 
 def bounded_rows(df: DataFrame, most: int) -> list | None:
