@@ -1,10 +1,11 @@
 """N-gram Jaccard join by T-occurrence search: groups of documents whose shingle sets overlap enough.
 
-Documents with one and the same shingle set form a class, and only its smallest id goes on.  Two sets can
-reach the similarity only if they share one of their |x| - ceil(t|x|) + 1 first shingles in an order that all
-documents keep: by how rare they are expected to be from the counts of their words, then by hash; shingles that
-are heavy themselves come last, by their counts.  Frequent words and heavy shingles are counted over all texts, a
-segment at a time, and at most ``heavy`` of each are kept; a wrong count costs time, never a link.  These short lists of shingles give blocks of documents; inside a block, DivideSkip searches the lists of the
+Documents with one and the same shingle set form a class, and only its smallest id goes on.  Shingles have an order that
+all documents keep: by hash, but heavy ones last, by their counts.  Sets that reach the similarity t share l of their first
+|x| - ceil(t|x|) + l shingles; with l a share of the size, a document goes on only if that many of its first
+shingles, less what a partner's size may take off, stand in another one's too.  So a passage in common makes no
+candidate.  Heavy shingles are counted over all texts, a segment at a time, and at most ``heavy`` are kept; a wrong count
+costs time, never a link.  These short lists of shingles give blocks of documents; inside a block, DivideSkip searches the lists of the
 whole sets: the short ones are heap-merged, the long ones binary-probed, and documents with the required
 overlap are linked.  A large block is dealt into chunks.  First each chunk is searched by itself, together with
 the block's first document; then only documents outside the block's largest component are queries against the
@@ -33,8 +34,6 @@ from .shared import found, gram_hashes, mixed, raw, saved, shingle_sets, small_b
 SEGMENT = 1 << 22
 #: Shingles and documents that a chunk of a block gets on average at most.
 CHUNK_SHINGLES, CHUNK_DOCS = 1 << 20, 512
-#: Ranks from here on are heavy shingles' counts; below it are sums of words' weights.
-HEAVY = 1 << 20
 #: DivideSkip's weight of the longest list.
 MU = 0.0085
 
@@ -44,55 +43,63 @@ def _need(n: np.ndarray | int, num: int, den: int):
     return -(-num * n // den)
 
 
-def _frequent(n: int):
-    """Words (kind 0) and shingles (kind 1) that stand more than once in a segment of texts, with their counts there."""
+def _heavy(n: int):
+    """Shingles that stand more than once in a segment of texts, with their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        held: list[np.ndarray] = []
 
-        def off(kind: int) -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held[kind]), return_counts=True) if held[kind] else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            u, c = u[keep := c >= 2], c[keep]
-            held[kind].clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["kind", "item", "seen"])
+        def off() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            u, c = u[keep := c >= 3], c[keep]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["shingle", "seen"])
 
-        size = [0, 0]
+        size = 0
         for batch in batches:
             text, bounds = raw(string_column(batch, "text"))
             for lo, hi in steps(bounds):
-                row, words = word_hashes(text[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], True)
-                for kind, x in enumerate((words, gram_hashes(row, words, n, True)[1])):
-                    held[kind].append(x)
-                    size[kind] += len(x)
-                    if size[kind] >= SEGMENT:
-                        yield off(kind)
-                        size[kind] = 0
-        yield off(0)
-        yield off(1)
+                x = gram_hashes(*word_hashes(text[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], True), n, True)[1]
+                held.append(x)
+                size += len(x)
+                if size >= SEGMENT:
+                    yield off()
+                    size = 0
+        yield off()
 
     return run
 
 
-def _sets(n: int, num: int, den: int, order):
-    """doc_id, size and 128-bit fingerprint of each set, and the shingles of its prefix."""
+def _more(size: int) -> int:
+    """l: how many more shingles than one needs a prefix has; a tenth of the set."""
+    return max(1, size // 10)
+
+
+def _sets(n: int, num: int, den: int, heavy):
+    """doc_id, size and 128-bit fingerprint of each set, the shingles of its prefix, and how many of them a partner shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (keys, counts) = order.value
+        keys, counts = heavy.value
         for batch in batches:
             rows = batch.num_rows
-            size, one, two = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            size, one, two, least = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), np.zeros(rows, np.int64)
             prefix: list = [None] * rows
-            for i, x, common in shingle_sets(string_column(batch, "text"), n, words):
-                size[i] = len(x)
+            for i, x in shingle_sets(string_column(batch, "text"), n):
+                size[i] = m = len(x)
                 one[i], two[i] = mixed(x, 1).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(x, 2))
-                # x is in the order of its hashes, and the sort keeps that among equals
-                rank = np.where((heavy := found(x, keys, counts)) > 0, heavy + HEAVY, common)
-                prefix[i] = x[np.argsort(rank, kind="stable")[: len(x) - _need(len(x), num, den) + 1]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "one", "two", "prefix"])
+                # of a pair the smaller set's l counts, and its size is num/den of this one's at least
+                least[i] = _more(_need(m, num, den))
+                prefix[i] = _prefix(x, m - _need(m, num, den) + _more(m), keys, counts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(least), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "one", "two", "least", "prefix"])
 
     return run
 
 
+def _prefix(x: np.ndarray, p: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    often = found(x, keys, counts)
+    return x[np.argsort(often, kind="stable")[:p]] if often.any() else x[:p]
+
+
 def divide_skip(docs: list[tuple[int, np.ndarray]], num: int, den: int, query: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
     """Links (positions) among ``docs`` that join groups, found by T-occurrence search.
 
@@ -212,21 +219,22 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = saved(text.where("text is not null").select("text").mapInArrow(_frequent(n), "kind int, item long, seen long").groupBy("kind", "item").agg(F.sum("seen").alias("seen")), "frequent")
-    top = [often.where((F.col("kind") == kind) & (F.col("seen") >= 3)).orderBy(F.desc("seen"), "item").limit(heavy).toArrow() for kind in (0, 1)]
-    keys, seen = [t["item"].to_numpy().view(np.uint64) for t in top], [t["seen"].to_numpy() for t in top]
-    by = [np.argsort(k) for k in keys]
-    # a word's weight: the logarithm of its count, in hundredths
-    weights = (100 * np.log1p(seen[0][by[0]])).astype(np.int64)
-    order = spark.sparkContext.broadcast(((keys[0][by[0]], weights), (keys[1][by[1]], seen[1][by[1]])))
-    sets = saved(text.mapInArrow(_sets(n, num, den, order), "doc_id long, n long, one long, two long, prefix array<long>"), "sets")
+    often = text.where("text is not null").select("text").mapInArrow(_heavy(n), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
+    top = often.orderBy(F.desc("seen"), "shingle").limit(heavy).toArrow()
+    keys, seen = top["shingle"].to_numpy().view(np.uint64), top["seen"].to_numpy()
+    by = np.argsort(keys)
+    order = spark.sparkContext.broadcast((keys[by], seen[by]))
+    sets = saved(text.mapInArrow(_sets(n, num, den, order), "doc_id long, n long, one long, two long, least long, prefix array<long>"), "sets")
     key = ["n", "one", "two"]
     full = sets.where("n > 0 and doc_id is not null")
     reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    first = full.select("doc_id", "prefix").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    first = full.select("doc_id", "least", "prefix").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     posts = first.select("doc_id", F.explode("prefix").alias("shingle"))
-    lists = posts.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("block")).where("k > 1")
-    inside = saved(posts.join(lists, "shingle").select("block", "doc_id").distinct(), "blocks")
+    held = saved(posts.join(posts.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"), "shingle"), "posts")
+    enough = held.groupBy("doc_id").agg(F.count("*").alias("k")).join(first.select("doc_id", "least").dropDuplicates(["doc_id"]), "doc_id").where("k >= least").select("doc_id")
+    held = saved(held.join(enough, "doc_id", "left_semi"), "held")
+    lists = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("block")).where("k > 1")
+    inside = saved(held.join(lists, "shingle").select("block", "doc_id").distinct(), "blocks")
     wanted = saved(inside.select("doc_id").distinct(), "wanted")
     some = saved(text.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles(n), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingles")
 
