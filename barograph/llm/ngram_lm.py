@@ -81,7 +81,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
 
 
-def stupid_backoff(docs: DataFrame, backoff: float = 0.4, slices: int = 4, hot: float = 1e-4) -> DataFrame:
+def stupid_backoff(docs: DataFrame, backoff: float = 0.4, slices: int = 5, hot: float = 1e-4) -> DataFrame:
     """doc_id, n_words, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -98,11 +98,11 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, slices: int = 4, hot:
         rows = text.mapInArrow(_exploded(slices, part), "b long, c long, doc_id long, tf int, tf_b int, tf_c int").repartition("b", "c")
         counts = rows.groupBy("b", "c").agg(F.sum("tf").alias("pairs"))
         seen = F.col("pairs") > F.col("tf")
-        need = rows.join(counts, ["b", "c"]).select("doc_id", "tf", seen.alias("seen"), F.when(seen, F.ln(F.col("pairs") - F.col("tf"))).alias("top"), F.when(seen, F.col("b")).otherwise(F.col("c")).alias("u"), F.when(seen, F.col("tf_b")).otherwise(F.col("tf_c")).alias("own"))
+        need = rows.join(counts.hint("shuffle_hash"), ["b", "c"]).select("doc_id", "tf", seen.alias("seen"), (F.col("pairs") - F.col("tf")).cast("int").alias("top"), F.when(seen, F.col("b")).otherwise(F.col("c")).alias("u"), F.when(seen, F.col("tf_b")).otherwise(F.col("tf_c")).alias("own"))
         # a common word's rows are dealt out by document, so that its shuffle is even
         need = need.join(common, "u", "left").withColumn("key", F.when(F.col("often").isNull(), F.col("u")).otherwise(F.xxhash64("doc_id", "u")))
         one = need.join(rare, F.col("key") == F.col("w"), "left").withColumn("left", F.coalesce("often", "n") - F.col("own"))
-        value = F.when(F.col("seen"), F.col("top") - F.ln("left")).otherwise(F.lit(math.log(backoff)) + F.when(F.col("left") > 0, F.ln("left")).otherwise(math.log(backoff)))
+        value = F.when(F.col("seen"), F.ln("top") - F.ln("left")).otherwise(F.lit(math.log(backoff)) + F.when(F.col("left") > 0, F.ln("left")).otherwise(math.log(backoff)))
         done = one.groupBy("doc_id").agg(F.sum(F.col("tf") * value).alias("s"), F.sum(F.when(~F.col("seen"), F.col("tf")).otherwise(0)).alias("backed"), F.sum("tf").alias("words"))
         sums.append(saved(done, "slice"))
     every = sums[0]
