@@ -29,6 +29,8 @@ FILTERS = 6
 #: Zeros after a window, for filters that run over its end.
 PAD = 4
 EPOCHS = 12
+#: Gradient steps at least, where the sample is small.
+STEPS = 700
 #: Bytes of text whose windows are convolved in one step.
 STEP = 48_000
 UND = "und"
@@ -77,7 +79,7 @@ class ByteNet:
         rng = np.random.default_rng(seed)
         params = [*self.places, self.shift, self.dense, self.bias]
         first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS // -(-len(x) // batch)))):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 b = order[a : a + batch]
