@@ -1,6 +1,692 @@
-def queries():
-    return {}
+"""All queries of the library but those of language-model data, by inventory id, and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.normal import norm_cdf, norm_ppf, student_sf
+from .operators import adjust, backtest, costs, environment, evidence, metrics, panel, quality, stats, temporal
+from .plans import tables as t
+from .session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, dates: str = ""):
+    """Register a query and its SQL; dates are given as text in both: ``dates`` names those of the SQL."""
+
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[F.col(c).cast("string").alias(c) if k == "date" else F.col(c) for c, k in df.dtypes])
+
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates.split())}) FROM ({sql})" if dates else sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to a few digits, since sums depend on the order of rows; no negative zeros."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+# Fixed dates of the examples.
+AS_OF, RECORDED = "1996-06-15", "1996-07-01"
+
+# ------------------------------------------------------------------ scans, clocks, actions
+
+
+@query("s1_scan_bars", f"WITH {t.LINE_BARS} SELECT provider, v AS vintage, count(*) AS n, round(sum(volume), 6) AS volume FROM store WHERE ticker = 'A' GROUP BY 1, 2")
+def _(s, d):
+    b = t.line_bars(s, d).where("ticker = 'A'").groupBy("provider", F.substring("ingest_id", 2, 9).cast("int").alias("vintage"))
+    return rounded(b.agg(F.count("*").alias("n"), F.sum("volume").alias("volume")))
+
+
+BARS_OUT = ["ticker", "date", "provider", "ingest_id", "open", "high", "low", "close", "volume"]
+_BARS_SQL = "ticker, date, provider, 'v' || v AS ingest_id, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close, round(volume, 9) AS volume"
+
+
+@query("s2_bars_asof", f"WITH {t.LINE_BARS} SELECT {_BARS_SQL} FROM (SELECT * FROM store WHERE date < DATE '{AS_OF}' AND recorded <= DATE '{RECORDED}') QUALIFY row_number() OVER (PARTITION BY ticker, date, provider ORDER BY recorded DESC, v DESC) = 1", "date")
+def _(s, d):
+    return rounded(temporal.bars(t.line_bars(s, d), as_of=AS_OF, recorded_before=RECORDED).select(BARS_OUT), 9)
+
+
+@query("w1_latest_wins", f"WITH {t.LINE_BARS} SELECT {_BARS_SQL} FROM store QUALIFY row_number() OVER (PARTITION BY ticker, date, provider ORDER BY recorded DESC, v DESC) = 1", "date")
+def _(s, d):
+    return rounded(temporal.latest(t.line_bars(s, d), "ticker", "date", "provider").select(BARS_OUT), 9)
+
+
+@query("p2_strict_point_in_time", f"WITH {t.LINE_BARS} SELECT {_BARS_SQL} FROM (SELECT * FROM store WHERE date < DATE '{AS_OF}' AND recorded <= DATE '{AS_OF}') QUALIFY row_number() OVER (PARTITION BY ticker, date, provider ORDER BY recorded DESC, v DESC) = 1", "date")
+def _(s, d):
+    return rounded(temporal.bars(t.line_bars(s, d), as_of=AS_OF, strict=True).select(BARS_OUT), 9)
+
+
+@query("s3_actions_asof", f"WITH {t.ACTIONS} SELECT ticker, ex_date, kind, round(value, 6) AS value FROM acts WHERE ex_date < DATE '{AS_OF}'", "ex_date")
+def _(s, d):
+    return rounded(temporal.actions(t.line_actions(s, d), as_of=AS_OF).select("ticker", "ex_date", "kind", "value"))
+
+
+_SPLIT_SQL = "(SELECT coalesce(product(a.value), 1) FROM acts a WHERE a.kind = 'split' AND a.value > 0 AND a.ticker = b.ticker AND a.ex_date > b.date)"
+
+
+@query("j4_split_factors", f"WITH {t.ACTIONS} SELECT ticker, date, round({_SPLIT_SQL}, 6) AS unadjust_factor FROM one b", "date")
+def _(s, d):
+    return rounded(adjust.split_factors(t.one_bar(s, d), t.line_actions(s, d)))
+
+
+@query("j8_as_traded", f"WITH {t.ACTIONS}, f AS (SELECT *, {_SPLIT_SQL} AS f FROM one b) SELECT ticker, date, round(close * f, 6) AS traded_close, round(volume / f, 6) AS traded_volume FROM f", "date")
+def _(s, d):
+    return rounded(adjust.as_traded(t.one_bar(s, d), t.line_actions(s, d)).select("ticker", "date", "traded_close", "traded_volume"))
+
+
+_STEPS_SQL = """steps AS (SELECT a.ticker, a.ex_date, a.value, (SELECT arg_max(b.close, b.date) FROM one b WHERE b.ticker = a.ticker AND b.date < a.ex_date) AS prev_close
+  FROM acts a WHERE a.kind = 'dividend')"""
+
+
+@query("j5_dividend_prev_close", f"WITH {t.ACTIONS}, {_STEPS_SQL} SELECT ticker, ex_date, round(value, 6) AS value, round(prev_close, 6) AS prev_close, round(1 - value / prev_close, 6) AS factor FROM steps WHERE prev_close > 0", "ex_date")
+def _(s, d):
+    return rounded(adjust.dividend_steps(t.one_bar(s, d), t.line_actions(s, d)))
+
+
+_DIV_SQL = "(SELECT coalesce(product(1 - s.value / s.prev_close), 1) FROM steps s WHERE s.prev_close > 0 AND s.ticker = b.ticker AND s.ex_date > b.date {known})"
+
+
+def _adjusted_sql(known: str = "", where: str = "") -> str:
+    return f"{t.ACTIONS}, {_STEPS_SQL}, f0 AS (SELECT *, {_DIV_SQL.format(known=known)} AS f0 FROM one b {where}), f AS (SELECT *, CASE WHEN l IN (0, 1) THEN f0 ELSE f0 / l END AS f FROM (SELECT *, last_value(f0) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM f0))"
+
+
+@query("j6_dividend_factors", f"WITH {_adjusted_sql()} SELECT ticker, date, round(f, 6) AS adj_factor FROM f", "date")
+def _(s, d):
+    return rounded(adjust.dividend_factors(t.one_bar(s, d), t.line_actions(s, d)))
+
+
+@query("j7_adjusted", f"WITH {_adjusted_sql()} SELECT ticker, date, round(open * f, 6) AS adj_open, round(close * f, 6) AS adj_close FROM f", "date")
+def _(s, d):
+    return rounded(adjust.adjusted(t.one_bar(s, d), t.line_actions(s, d)).select("ticker", "date", "adj_open", "adj_close"))
+
+
+@query("s4_tape", f"WITH {_adjusted_sql()} SELECT ticker, date, round(close * f, 6) AS adj_close, round(close * {_SPLIT_SQL.replace('b.', 'f.')}, 6) AS traded_close FROM f", "date")
+def _(s, d):
+    b, a = t.one_bar(s, d), t.line_actions(s, d)
+    return rounded(adjust.tape(b, a).select("ticker", "date", "adj_close", "traded_close"))
+
+
+# ------------------------------------------------------------------ calendar, gates
+
+
+@query("s12_sessions", "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE isodow(ts) < 6 AND CAST(ts AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29', DATE '2024-05-27', DATE '2024-06-19', DATE '2024-07-04', DATE '2024-09-02', DATE '2024-11-28', DATE '2024-12-25')", "date")
+def _(s, d):
+    days = table(s, d, "events").select(F.to_date("ts").alias("date")).distinct()
+    return days.join(F.broadcast(temporal.sessions(s, "2023-01-01", "2026-12-31")), "date", "left_semi")
+
+
+_CAL = "cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)"
+
+
+def _calendar(s, d):
+    return table(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+
+
+@query("j2_missing_sessions", f"WITH {t.ONE_BAR}, {_CAL}, k AS (SELECT DISTINCT ticker, provider FROM last_store) SELECT k.ticker, k.provider, count(*) AS n, min(cal.date) AS first FROM k, cal WHERE NOT EXISTS (SELECT 1 FROM last_store x WHERE x.ticker = k.ticker AND x.provider = k.provider AND x.date = cal.date) GROUP BY 1, 2", "first")
+def _(s, d):
+    m = temporal.missing_sessions(temporal.bars(t.line_bars(s, d)), _calendar(s, d), "ticker", "provider")
+    return m.groupBy("ticker", "provider").agg(F.count("*").alias("n"), F.min("date").alias("first"))
+
+
+@query("j3_phantom_sessions", f"WITH {t.ONE_BAR}, {_CAL} SELECT DISTINCT ticker, date FROM one WHERE isodow(date) > 5", "date")
+def _(s, d):
+    return temporal.unexpected_sessions(t.one_bar(s, d), _calendar(s, d).where(F.weekday("date") < 5), "ticker")
+
+
+@query("s13_last_session", f"WITH {_CAL} SELECT max(date) AS date FROM cal WHERE date < DATE '{AS_OF}'", "date")
+def _(s, d):
+    return temporal.last_complete_session(_calendar(s, d), AS_OF)
+
+
+
+
+def _pairs(s, d):
+    # the table's two providers overlap in time on few days; vintages stand in for sources
+    b = t.line_bars(s, d)
+    return quality.compare(b.where("ingest_id = 'v1'"), b.where("ingest_id = 'v2'"), "close", "ticker", "provider")
+
+
+_VPAIRS = """pairs AS (SELECT a.ticker, a.provider, a.date, a.close AS value_a, b.close AS value_b, (a.close - b.close) / nullif(abs(b.close), 0) * 10000 AS bps
+  FROM store a JOIN store b ON a.ticker = b.ticker AND a.provider = b.provider AND a.date = b.date AND a.v = 1 AND b.v = 2)"""
+
+
+@query("j1_reconcile", f"WITH {t.LINE_BARS}, {_VPAIRS} SELECT ticker, provider, date, round(value_a, 9) AS value_a, round(value_b, 9) AS value_b, round(bps, 6) AS bps FROM pairs", "date")
+def _(s, d):
+    return rounded(_pairs(s, d).withColumn("bps", F.round("bps", 6)), 9)
+
+
+_DIVERGENCE = """stats AS (SELECT ticker, count(*) AS n, quantile_cont(abs(bps), 0.5) AS median_bps, quantile_cont(abs(bps), 0.95) AS p95_bps, max(abs(bps)) AS max_bps,
+  count(*) FILTER (abs(bps) > 1) AS n_over_1bp, count(*) FILTER (abs(bps) = 0) / count(*) AS frac_identical FROM pairs GROUP BY ticker)"""
+
+
+@query("a4_divergence", f"WITH {t.LINE_BARS}, {_VPAIRS}, {_DIVERGENCE} SELECT ticker, n, round(median_bps, 6) AS median_bps, round(p95_bps, 6) AS p95_bps, round(max_bps, 6) AS max_bps, n_over_1bp, round(frac_identical, 6) AS frac_identical FROM stats")
+def _(s, d):
+    return rounded(quality.divergence(_pairs(s, d), "ticker").drop("worst_date", "n_null"))
+
+
+@query("a6_gate_score", f"WITH {t.LINE_BARS}, {_VPAIRS}, {_DIVERGENCE} SELECT ticker, median_bps <= 1 AND p95_bps <= 5 AND max_bps <= 25 AND n_over_1bp / n <= 0.15 AS passed, CASE WHEN frac_identical > 0.999 THEN 'MIRROR_SUSPECTED' WHEN frac_identical > 0.9 THEN 'PARTIALLY_DEPENDENT' ELSE 'INDEPENDENT_LIKELY' END AS independence FROM stats")
+def _(s, d):
+    x = quality.scored(quality.divergence(_pairs(s, d), "ticker"))
+    return x.select("ticker", "passed", quality.independence(F.col("frac_identical")).alias("independence"))
+
+
+@query("g1_coverage", f"WITH {t.ONE_BAR}, {_CAL}, k AS (SELECT DISTINCT ticker FROM one), m AS (SELECT k.ticker, cal.date FROM k, cal WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.ticker = k.ticker AND x.date = cal.date)) SELECT 'coverage' AS gate, count(*) = 0 AS passed, count(*) AS n_problems, coalesce((SELECT string_agg(p, '; ' ORDER BY p) FROM (SELECT ticker || ' ' || date AS p FROM m ORDER BY p LIMIT 3)), '') AS detail FROM m")
+def _(s, d):
+    m = temporal.missing_sessions(t.one_bar(s, d), _calendar(s, d), "ticker")
+    return quality.gate("coverage", m, F.concat_ws(" ", "ticker", F.col("date").cast("string")))
+
+
+@query("g4_point_in_time", "SELECT 'point_in_time' AS gate, true AS passed, CAST(0 AS BIGINT) AS n_problems, '' AS detail")
+def _(s, d):
+    p = quality.stamp_problems(t.line_bars(s, d), t.line_actions(s, d))
+    return quality.gate("point_in_time", p, F.concat_ws(" ", "what", "ticker", F.col("date").cast("string")))
+
+
+@query("p6_public_stamps", """WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem),
+  s AS (SELECT date, make_date(year(date), 4, 1) AS a, make_date(year(date), 10, 31) AS o FROM d)
+SELECT date, CASE WHEN date >= a + CAST((7 - isodow(a)) AS INTEGER) AND date < o - CAST(isodow(o) % 7 AS INTEGER) THEN 20 ELSE 21 END AS utc_hour FROM s""", "date")
+def _(s, d):
+    return _calendar(s, d).select("date", F.hour(temporal.bar_public_at(F.col("date"))).alias("utc_hour"))
+
+
+@query("k6_content_digest")
+def _(s, d):
+    b = t.line_bars(s, d)
+    return quality.content_digest(b, *b.columns)
+
+
+@query("a1_group_by_provider", f"WITH {t.ONE_BAR} SELECT ticker, provider, year(date) AS year, count(*) AS n, min(date) AS first, max(date) AS last FROM last_store GROUP BY 1, 2, 3", "first last")
+def _(s, d):
+    return temporal.bars(t.line_bars(s, d)).groupBy("ticker", "provider", F.year("date").cast("long").alias("year")).agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+# ------------------------------------------------------------------ panels
+
+
+@query("w2_returns", f"WITH {t.EVENT_BARS} SELECT ticker, date, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS ret, round(ln(close) - ln(lag(close) OVER w), 6) AS log_ret FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)", "date")
+def _(s, d):
+    w = panel.by("ticker")
+    return rounded(t.event_bars(s, d).select("ticker", "date", panel.simple_return("close", w).alias("ret"), panel.log_return("close", w).alias("log_ret")))
+
+
+def _panel(s, d):
+    b = t.event_bars(s, d)
+    return b.select("ticker", "date", "open", "close", F.col("close").alias("adj_close"), F.col("close").alias("traded_close"), F.col("volume").alias("traded_volume"))
+
+
+_LIQ = """liq AS (SELECT ticker, date, open, close, ret,
+  CASE WHEN count(close * volume) OVER p >= 5 THEN quantile_cont(close * volume, 0.5) OVER p END AS adv,
+  CASE WHEN count(ret) OVER p >= 5 THEN stddev_samp(ret) OVER p END AS vol
+  FROM (SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM bars)
+  WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
+
+
+@query("b2_liquidity", f"WITH {t.EVENT_BARS}, {_LIQ} SELECT ticker, date, round(adv, 6) AS adv, round(vol, 6) AS vol FROM liq", "date")
+def _(s, d):
+    return rounded(panel.liquidity(_panel(s, d)).select("ticker", "date", "adv", "vol"))
+
+
+@query("w6_backfilled_liquidity", f"WITH {t.EVENT_BARS}, {_LIQ} SELECT ticker, date, round(first_value(adv IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS adv FROM liq", "date")
+def _(s, d):
+    return rounded(panel.liquidity(_panel(s, d)).select("ticker", "date", temporal.fill_back("adv", "ticker", order="date").alias("adv")))
+
+
+@query("j9_aligned_panel", f"WITH {t.EVENT_BARS} SELECT date, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) = 5", "date")
+def _(s, d):
+    p = t.event_bars(s, d)
+    return panel.aligned(p.join(panel.complete_dates(p, 5, "close"), "date"), 5, "ticker", "close").groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query("w14_feature_windows", f"WITH {t.RETURNS}, day AS (SELECT date, list(ret ORDER BY ticker) AS r FROM rets GROUP BY 1), f AS (SELECT date, list(r) OVER w AS l, count(*) OVER w AS n FROM day WINDOW w AS (ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT date, CAST(len(flatten(l)) AS INTEGER) AS n, round(list_sum(flatten(l)), 6) AS total FROM f WHERE n = 5", "date")
+def _(s, d):
+    f = panel.feature_windows(t.returns(s, d), 5)
+    return rounded(f.select("date", F.size("features").alias("n"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@query("w9_equity_drawdown", f"WITH {t.RETURNS}, e AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS equity FROM rets) SELECT ticker, date, round(equity, 6) AS equity, round(equity / max(equity) OVER (PARTITION BY ticker ORDER BY date) - 1, 6) AS drawdown FROM e", "date")
+def _(s, d):
+    w = panel.by("ticker")
+    e = t.returns(s, d).withColumn("equity", panel.equity("ret", w))
+    return rounded(e.select("ticker", "date", "equity", (F.col("equity") / panel.running_max("equity", w) - 1).alias("drawdown")))
+
+
+@query("m9_summary", f"""WITH {t.RETURNS}, e AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS equity FROM rets),
+x AS (SELECT *, equity / max(equity) OVER (PARTITION BY ticker ORDER BY date) - 1 AS dd FROM e),
+g AS (SELECT ticker, count(*) AS n, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe,
+  CASE WHEN count(*) FILTER (ret < 0) >= 2 THEN avg(ret) / nullif(sqrt(avg(ret * ret) FILTER (ret < 0)), 0) * sqrt(252) END AS sortino,
+  pow(arg_max(equity, date) / arg_min(equity, date), 1 / ((count(*) - 1) / 252)) - 1 AS cagr, min(dd) AS mdd,
+  arg_max(equity, date) - 1 AS total_return, stddev_samp(ret) * sqrt(252) AS vol_annual FROM x GROUP BY ticker)
+SELECT ticker, n, round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(cagr, 4) AS cagr, round(mdd, 6) AS mdd, round(total_return, 6) AS total_return, round(vol_annual, 6) AS vol_annual,
+  round(CASE WHEN mdd < 0 THEN cagr / abs(mdd) END, 4) AS calmar FROM g""")
+def _(s, d):
+    m = metrics.summary(t.returns(s, d), "ticker")
+    return rounded(m.withColumn("cagr", F.round("cagr", 4)).withColumn("calmar", F.round("calmar", 4)))
+
+
+@query("a12_moments", f"WITH {t.RETURNS} SELECT ticker, round(skewness(ret), 6) AS skew, round(kurtosis(ret), 6) AS kurt FROM rets GROUP BY 1")
+def _(s, d):
+    a, b = metrics.adjusted_moments("ret")
+    return rounded(t.returns(s, d).groupBy("ticker").agg(a.alias("skew"), b.alias("kurt")))
+
+
+@query("q1_population_sharpe", f"WITH {t.RETURNS} SELECT ticker, round(avg(ret) / stddev_pop(ret), 6) AS sharpe FROM rets GROUP BY 1")
+def _(s, d):
+    return rounded(t.returns(s, d).groupBy("ticker").agg(metrics.population_sharpe("ret").alias("sharpe")))
+
+
+@query("m10_passive_bar", "SELECT * FROM (VALUES ('SPY', 0.823), ('EW5_buy_and_hold', 1.201), ('EW5_daily', 1.234), ('EW5_monthly', 1.238), ('NVDA', 1.328), ('TSLA', 0.768), ('AAPL', 0.925), ('META', 0.671), ('XOM', 0.472)) AS x(series, sharpe)")
+def _(s, d):
+    return s.createDataFrame(sorted(metrics.PASSIVE_BAR.items()), "series string, sharpe double")
+
+
+# ------------------------------------------------------------------ backtest
+
+
+@query("b1_folds", """WITH i AS (SELECT unnest(range(0, 20)) AS fold), f AS (SELECT CAST(fold AS INTEGER) AS fold, DATE '1992-01-01' + CAST(fold * 365 AS INTEGER) AS train_start FROM i),
+g AS (SELECT *, train_start + 730 AS train_end FROM f)
+SELECT fold, train_start, train_end, train_end AS test_start, least(train_end + 365, DATE '1998-12-31') AS test_end FROM g WHERE train_end < DATE '1998-12-31'""", "train_start train_end test_start test_end")
+def _(s, d):
+    return backtest.folds(s, "1992-01-01", "1998-12-31", 2, 1, 1)
+
+
+@query("j12_fold_assignment", f"""WITH {t.ONE_BAR}, i AS (SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS fold), f AS (SELECT fold, DATE '1992-01-01' + fold * 365 + 730 AS a, least(DATE '1992-01-01' + fold * 365 + 1095, DATE '1998-12-31') AS b FROM i)
+SELECT fold, count(*) AS n FROM one JOIN f ON date >= a AND date < b WHERE a < DATE '1998-12-31' GROUP BY 1""")
+def _(s, d):
+    return backtest.assign_folds(t.one_bar(s, d), backtest.folds(s, "1992-01-01", "1998-12-31", 2, 1, 1)).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+_WALK = """p AS (SELECT ticker, date, open, close, row_number() OVER w - 1 AS t, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS r, lead(date, 2) OVER w AS exit_date{score} FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+q AS (SELECT *, {weight} AS w FROM p),
+v AS (SELECT * FROM q WHERE t >= 5 AND r IS NOT NULL),
+h AS (SELECT *, w * (1 + r) / (sum(w * (1 + r)) OVER d + 1 - sum(w) OVER d) AS drifted FROM v WINDOW d AS (PARTITION BY date)),
+walk AS (SELECT *, w - coalesce(lag(drifted) OVER (PARTITION BY ticker ORDER BY date), 0) AS dw FROM h)"""
+_WALK_OUT = "SELECT ticker, date, round(w, 6) AS w, round(r, 6) AS r, round(dw, 6) AS dw FROM walk"
+_EW = _WALK.format(score="", weight="0.2")
+_TOP = "CASE WHEN row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, ticker) <= {k} AND score > 0 THEN 1.0 / {k} ELSE 0.0 END"
+_MOM = _WALK.format(score=", close / nullif(lag(close, 5) OVER w, 0) - 1 AS score", weight=f"CASE WHEN t < 5 THEN 0.2 ELSE {_TOP.format(k=2)} END")
+_ORACLE = _WALK.format(score=", lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS score", weight=_TOP.format(k=1))
+
+
+def _walk(s, d, weigh):
+    return backtest.walk(_panel(s, d), weigh, 5)
+
+
+@query("b8_equal_weight_walk", f"WITH {t.EVENT_BARS}, {_EW} {_WALK_OUT}", "date")
+def _(s, d):
+    return rounded(_walk(s, d, backtest.equal_weight(5)).select("ticker", "date", "w", "r", "dw"))
+
+
+@query("b10_momentum_walk", f"WITH {t.EVENT_BARS}, {_MOM} {_WALK_OUT}", "date")
+def _(s, d):
+    return rounded(_walk(s, d, backtest.momentum(5, 5, 2)).select("ticker", "date", "w", "r", "dw"))
+
+
+@query("b11_planted_oracle", f"WITH {t.EVENT_BARS}, {_ORACLE} SELECT exit_date AS date, round(sum(w * r), 6) AS gross FROM walk GROUP BY 1", "date")
+def _(s, d):
+    return rounded(backtest.gross(_walk(s, d, backtest.oracle(1))))
+
+
+@query("b9_buy_and_hold", f"""WITH {t.EVENT_BARS}, {_EW}, c AS (SELECT *, coalesce(product(1 + r) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS c FROM v)
+SELECT ticker, date, round(c / sum(c) OVER (PARTITION BY date), 6) AS w FROM c""", "date")
+def _(s, d):
+    return rounded(backtest.buy_and_hold_walk(_panel(s, d), 5, 5).select("ticker", "date", "w"))
+
+
+@query("b12_random_policy")
+def _(s, d):
+    return _walk(s, d, backtest.random_softmax(7)).groupBy("date").agg(F.sum("w").alias("gross_weight"))
+
+
+@query("p11_weight_check", f"WITH {t.EVENT_BARS}, {_MOM} SELECT date, round(sum(w), 6) AS total FROM walk GROUP BY 1", "date")
+def _(s, d):
+    return rounded(backtest.checked(_walk(s, d, backtest.momentum(5, 5, 2))).groupBy("date").agg(F.sum("w").alias("total")))
+
+
+@query("m7_turnover", f"WITH {t.EVENT_BARS}, {_MOM}, x AS (SELECT date, abs(w - lag(w) OVER (PARTITION BY ticker ORDER BY date)) AS a FROM walk), y AS (SELECT date, sum(a) / 2 AS t FROM x WHERE a IS NOT NULL GROUP BY 1) SELECT round(avg(t), 6) AS turnover FROM y")
+def _(s, d):
+    return rounded(metrics.turnover(_walk(s, d, backtest.momentum(5, 5, 2)).select("date", "ticker", "w")))
+
+
+_COST_LEVELS = "levels(level, spread, eta, cap) AS (VALUES ('free', 0.0, 0.0, 1.0), ('realistic', 1.0, 0.1, 0.01), ('pessimistic', 2.0, 0.3, 0.005))"
+
+
+def _trades(s, d):
+    liq = panel.liquidity(_panel(s, d)).select("ticker", "date", "adv", "vol")
+    return _walk(s, d, backtest.momentum(5, 5, 2)).join(liq, ["ticker", "date"])
+
+
+@query("b5_trade_costs", f"""WITH {t.EVENT_BARS}, {_LIQ}, {_MOM}, {_COST_LEVELS},
+x AS (SELECT level, walk.date, abs(dw) * 1000000 AS n, least(abs(dw) * 1000000, coalesce(cap * adv, 1e300)) AS f, cap * adv AS lim, adv, vol, spread, eta FROM walk JOIN liq USING (ticker, date), levels)
+SELECT level, date, round(sum(f * spread * 1e-4 + CASE WHEN eta > 0 AND adv > 0 AND vol > 0 THEN f * eta * vol * sqrt(f / adv) ELSE 0 END) / 1000000, 6) AS cost,
+  count(*) FILTER (n > lim + 1e-9) AS n_capped, round(sum(CASE WHEN n > lim + 1e-9 THEN n - lim ELSE 0 END), 4) AS unfilled FROM x GROUP BY 1, 2""", "date")
+def _(s, d):
+    legs = _trades(s, d).withColumn("value", F.lit(1e6)).crossJoin(F.broadcast(costs.levels(s)))
+    return rounded(costs.trade_costs(legs, "level", "date").withColumn("unfilled", F.round("unfilled", 4)))
+
+
+@query("b6_cost_recursion", f"""WITH RECURSIVE {t.EVENT_BARS}, {_LIQ}, {_MOM}, {_COST_LEVELS},
+g AS (SELECT exit_date, sum(w * r) AS gross, row_number() OVER (ORDER BY exit_date) AS i FROM walk GROUP BY 1),
+legs AS (SELECT g.i, abs(dw) AS dw, adv, vol FROM walk JOIN liq USING (ticker, date) JOIN g ON g.exit_date = walk.exit_date),
+book AS (SELECT level, spread, eta, cap, CAST(0 AS BIGINT) AS i, CAST(1000000 AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS net FROM levels
+  UNION ALL SELECT b.level, b.spread, b.eta, b.cap, g.i, b.value * (1 + g.gross - c.c), g.gross - c.c FROM book b JOIN g ON g.i = b.i + 1,
+  LATERAL (SELECT sum(f * b.spread * 1e-4 + CASE WHEN b.eta > 0 AND adv > 0 AND vol > 0 THEN f * b.eta * vol * sqrt(f / adv) ELSE 0 END) / b.value AS c
+    FROM (SELECT least(dw * b.value, coalesce(b.cap * adv, 1e300)) AS f, adv, vol FROM legs WHERE legs.i = g.i)) c)
+SELECT level, exit_date AS date, round(net, 6) + 0.0 AS net, round(value, 2) AS value FROM book JOIN g USING (i)""", "date")
+def _(s, d):
+    w = _trades(s, d)
+    out = costs.apply_costs(backtest.gross(w).withColumn("strategy", F.lit("momentum")), w.select(F.lit("momentum").alias("strategy"), F.col("exit_date").alias("date"), "dw", "adv", "vol"), 1e6, "strategy")
+    return rounded(out.select("level", "date", "net", F.round("value", 2).alias("value")))
+
+
+def _books(s, d):
+    """strategy, level, date, net: three strategies in one plan at three cost levels."""
+    liq = panel.liquidity(_panel(s, d)).select("ticker", "date", "adv", "vol")
+    walks = None
+    for name, w in (("equal_weight", _walk(s, d, backtest.equal_weight(5))), ("momentum", _walk(s, d, backtest.momentum(5, 5, 2))), ("buy_and_hold", backtest.buy_and_hold_walk(_panel(s, d), 5, 5))):
+        w = w.select(F.lit(name).alias("strategy"), "ticker", "date", "exit_date", "w", "r", "dw")
+        walks = w if walks is None else walks.unionByName(w)
+    walks = walks.join(liq, ["ticker", "date"])
+    return costs.apply_costs(backtest.gross(walks, "strategy"), walks.select("strategy", F.col("exit_date").alias("date"), "dw", "adv", "vol"), 1e6, "strategy")
+
+
+@query("b7_evaluate")
+def _(s, d):
+    return rounded(metrics.summary(_books(s, d).withColumnRenamed("net", "ret"), "strategy", "level"))
+
+
+@query("a10_best_strategy")
+def _(s, d):
+    m = metrics.summary(_books(s, d).withColumnRenamed("net", "ret"), "strategy", "level")
+    return rounded(m.groupBy("level").agg(F.max_by("strategy", F.struct("sharpe", "strategy")).alias("best"), F.max("sharpe").alias("sharpe")))
+
+
+@query("k8_result_table")
+def _(s, d):
+    m = metrics.summary(_books(s, d).withColumnRenamed("net", "ret"), "strategy", "level")
+    return rounded(m.groupBy("strategy").pivot("level", ["free", "realistic", "pessimistic"]).agg(F.first("sharpe")))
+
+
+_EQ = "r AS (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r, {epoch} AS epoch FROM bars), c AS (SELECT *, coalesce(product(1 + r) OVER (PARTITION BY ticker, epoch ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS c FROM r WHERE r IS NOT NULL)"
+
+
+@query("b14_basket_once", f"WITH {t.EVENT_BARS}, {_EQ.format(epoch='0')} SELECT date, round(sum(c * r) / sum(c), 6) AS ret FROM c GROUP BY 1", "date")
+def _(s, d):
+    return rounded(backtest.equal_weight_index(_panel(s, d)))
+
+
+@query("b14_basket_daily", f"WITH {t.RETURNS} SELECT date, round(avg(ret), 6) AS ret FROM rets GROUP BY 1", "date")
+def _(s, d):
+    return rounded(backtest.equal_weight_index(_panel(s, d), "D"))
+
+
+@query("b14_basket_monthly", f"WITH {t.EVENT_BARS}, {_EQ.format(epoch=chr(100) + 'ate_trunc(' + chr(39) + 'month' + chr(39) + ', date)')} SELECT date, round(sum(c * r) / sum(c), 6) AS ret FROM c GROUP BY 1", "date")
+def _(s, d):
+    return rounded(backtest.equal_weight_index(_panel(s, d), "ME"))
+
+
+@query("b15_weight_path", f"WITH {t.EVENT_BARS}, {_EQ.format(epoch='0')} SELECT date, ticker, round(c / sum(c) OVER (PARTITION BY date), 6) AS w FROM c", "date")
+def _(s, d):
+    return rounded(backtest.weight_path(_panel(s, d)))
+
+
+@query("b18_softmax_with_cash", f"WITH {t.RETURNS} SELECT ticker, date, round(exp(10 * ret - m) / (sum(exp(10 * ret - m)) OVER (PARTITION BY date) + exp(-m)), 6) AS w FROM (SELECT *, greatest(max(10 * ret) OVER (PARTITION BY date), 0) AS m FROM rets)", "date")
+def _(s, d):
+    return rounded(t.returns(s, d).select("ticker", "date", backtest.softmax_with_cash(10 * F.col("ret"), "date").alias("w")))
+
+
+@query("b17_environment")
+def _(s, d):
+    p = panel.liquidity(_panel(s, d)).select(F.lit("momentum").alias("episode"), "date", "ticker", "open", "ret", "adv", "vol", (5 * F.coalesce("ret", F.lit(0.0))).alias("logit"))
+    return rounded(environment.simulate(p, "episode", lookback=6, threshold=50.0, trailing=10))
+
+
+def _tilt(x):
+    """A stand-in policy: the mean of each ticker's window."""
+    return x.reshape(len(x), 5, -1).mean(1)
+
+
+@query("b20_policy_adapter")
+def _(s, d):
+    out = environment.score_policy(panel.feature_windows(t.returns(s, d), 5), _tilt, 5)
+    return rounded(out.select("date", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x).alias("invested")))
+
+
+# ------------------------------------------------------------------ statistics
+
+
+def _series(s, d):
+    return t.returns(s, d).withColumn("t", F.datediff("date", F.lit("2000-01-01")))
+
+
+_POS = "x AS (SELECT ticker, date, ret, ret - avg(ret) OVER p AS h1, pow(ret - avg(ret) OVER p, 2) - var_pop(ret) OVER p AS h2, avg(ret) OVER p AS mu, stddev_pop(ret) OVER p AS sd, count(*) OVER p AS n FROM rets WINDOW p AS (PARTITION BY ticker))"
+
+
+@query("q4_sharpe_se", f"""WITH {t.RETURNS}, {_POS}, l AS (SELECT *, floor(4 * pow(n / 100, 2.0 / 9)) AS L FROM x),
+y AS (SELECT a.*, {', '.join(f'coalesce(lag(h1, {k}) OVER w, 0) AS a{k}, coalesce(lag(h2, {k}) OVER w, 0) AS b{k}' for k in (1, 2, 3, 4))} FROM l a WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+o AS (SELECT ticker, any_value(n) AS n, any_value(mu) AS mu, any_value(sd) AS sd, any_value(L) AS L,
+  sum(h1 * h1{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * 2 * h1 * a{k}' for k in (1, 2, 3, 4))}) / any_value(n) AS o11,
+  sum(h1 * h2{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * (h1 * b{k} + h2 * a{k})' for k in (1, 2, 3, 4))}) / any_value(n) AS o12,
+  sum(h2 * h2{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * 2 * h2 * b{k}' for k in (1, 2, 3, 4))}) / any_value(n) AS o22 FROM y GROUP BY ticker)
+SELECT ticker, n, round(mu / sd, 6) AS sharpe, CAST(L AS INTEGER) AS lag, round(sqrt((1 + pow(mu / sd, 2) / 2) / n), 6) AS se_iid,
+  round(sqrt((o11 / (sd * sd) + 2 * (1 / sd) * (-mu / (2 * pow(sd, 3))) * o12 + pow(mu / (2 * pow(sd, 3)), 2) * o22) / n), 6) AS se_hac FROM o""")
+def _(s, d):
+    return rounded(stats.sharpe_se(_series(s, d), "ticker", most=4))
+
+
+@query("q5_sharpe_ci")
+def _(s, d):
+    return rounded(stats.sharpe_ci(stats.sharpe_se(_series(s, d), "ticker", most=4)))
+
+
+@query("q6_annualisation", f"""WITH {t.RETURNS}, {_POS}, y AS (SELECT *, {', '.join(f'lag(h1, {k}) OVER w AS a{k}' for k in (1, 2, 3, 4))} FROM x WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+z AS (SELECT ticker, 5 + 2 * ({' + '.join(f'(5 - {k}) * sum(h1 * a{k}) / (any_value(n) * any_value(sd * sd))' for k in (1, 2, 3, 4))}) AS a FROM y GROUP BY ticker)
+SELECT ticker, round(CASE WHEN a > 0 THEN 5 / sqrt(a) END, 6) AS eta FROM z""")
+def _(s, d):
+    return rounded(stats.annualisation(_series(s, d), 5, "ticker"))
+
+
+@query("q7_psr")
+def _(s, d):
+    g = t.returns(s, d).groupBy("ticker").agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    return rounded(g.select("ticker", stats.psr(F.col("sr"), F.col("n").cast("double"), F.col("skew"), F.col("kurt")).alias("psr")))
+
+
+@query("q9_dsr")
+def _(s, d):
+    g = t.returns(s, d).groupBy("ticker").agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    return rounded(g.select("ticker", stats.dsr(F.col("sr"), F.col("n").cast("double"), F.col("skew"), F.col("kurt"), F.lit(5)).alias("dsr")))
+
+
+def _trials(s, d):
+    """(t, trial, ret): daily changes of the mean order price of each priority."""
+    o = table(s, d, "orders").groupBy(F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")).alias("t"), F.col("o_orderpriority").alias("trial")).agg((F.avg("o_totalprice") / 1e5 - 2.2).alias("ret"))
+    full = o.groupBy("t").agg(F.count("*").alias("k")).where("k = 5").select("t")
+    return o.join(full, "t")
+
+
+_TRIALS = """o AS (SELECT date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS t, o_orderpriority AS trial, avg(o_totalprice) / 1e5 - 2.2 AS ret FROM orders GROUP BY 1, 2),
+trials AS (SELECT * FROM o WHERE t IN (SELECT t FROM o GROUP BY t HAVING count(*) = 5))"""
+_BLOCKS = """days AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () // 8 AS size FROM (SELECT DISTINCT t FROM trials)),
+sums AS (SELECT i // size AS block, trial, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS ss FROM trials JOIN days USING (t) WHERE size > 0 AND i < size * 8 GROUP BY 1, 2)"""
+
+
+@query("a13_block_sums", f"WITH {_TRIALS}, {_BLOCKS} SELECT CAST(block AS INTEGER) AS block, trial, n, round(s, 6) AS s, round(ss, 6) AS ss FROM sums")
+def _(s, d):
+    return rounded(stats.block_sums(_trials(s, d), 8))
+
+
+_CSCV = f"""{_TRIALS}, {_BLOCKS}, splits AS (SELECT unnest(range(0, 256)) AS split), keep AS (SELECT split FROM splits WHERE bit_count(split) = 4),
+half AS (SELECT split, trial, (split >> CAST(block AS INTEGER)) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(ss) AS ss FROM keep, sums GROUP BY ALL),
+sr AS (SELECT split, trial, max(v) FILTER (inside = 1) AS is_sr, max(v) FILTER (inside = 0) AS oos_sr FROM (SELECT split, trial, inside, (s / n) / sqrt(nullif(greatest(ss / n - (s / n) * (s / n), 0), 0)) AS v FROM half) GROUP BY 1, 2),
+ranked AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY oos_sr) + 0.5 * (count(*) OVER (PARTITION BY split, oos_sr) - 1) AS r, count(*) OVER (PARTITION BY split) AS k, row_number() OVER (PARTITION BY split ORDER BY is_sr DESC, trial) AS f FROM sr),
+best AS (SELECT split, trial AS best, r / (k + 1) AS omega, is_sr, oos_sr FROM ranked WHERE f = 1)"""
+
+
+@query("q10_cscv", f"WITH {_CSCV} SELECT split, best, round(omega, 6) AS omega, round(ln(omega / (1 - omega)), 6) AS logit, round(is_sr, 6) AS is_sr, round(oos_sr, 6) AS oos_sr FROM best")
+def _(s, d):
+    return rounded(stats.cscv(_trials(s, d), 8))
+
+
+@query("q10_pbo", f"WITH {_CSCV} SELECT count(*) AS n_splits, round(avg(CASE WHEN omega < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pbo, round(regr_slope(oos_sr, is_sr), 5) AS slope, round(avg(CASE WHEN oos_sr <= 0 THEN 1.0 ELSE 0.0 END), 6) AS prob_oos_loss FROM best")
+def _(s, d):
+    return rounded(stats.pbo(stats.cscv(_trials(s, d), 8)).withColumn("slope", F.round("slope", 5)))
+
+
+def _errors(s, d):
+    r = _series(s, d).groupBy("t").agg(F.max(F.when(F.col("ticker") == "click", F.col("ret"))).alias("a"), F.max(F.when(F.col("ticker") == "view", F.col("ret"))).alias("b"), F.max("ret").alias("top"), F.min("ret").alias("low"))
+    return r.select("t", F.coalesce("a", "top").alias("a"), F.coalesce("b", "low").alias("b"))
+
+
+@query("q11_diebold_mariano", f"""WITH {t.RETURNS}, e AS (SELECT date, coalesce(max(ret) FILTER (ticker = 'click'), max(ret)) AS a, coalesce(max(ret) FILTER (ticker = 'view'), min(ret)) AS b FROM rets GROUP BY 1),
+x AS (SELECT a * a - b * b AS d, date FROM e), m AS (SELECT avg(d) AS m, count(*) AS n FROM x), y AS (SELECT d - m AS e, n, m, lag(d - m) OVER (ORDER BY date) AS e1 FROM x, m),
+z AS (SELECT any_value(n) AS n, any_value(m) AS m, sum(e * e) + 2 * sum(e * e1) AS v FROM y)
+SELECT n, round(m, 6) AS mean_diff, round(m / sqrt(v / n / n) * sqrt((n + 1 - 4 + 2.0 / n) / n), 6) AS statistic, CASE WHEN m < 0 THEN 'a' WHEN m > 0 THEN 'b' ELSE 'tie' END AS better FROM z""")
+def _(s, d):
+    return rounded(stats.diebold_mariano(_errors(s, d), h=2).drop("p_value"))
+
+
+@query("q12_bootstrap_indices")
+def _(s, d):
+    return stats.bootstrap_indices(s, 200, 10, 50, 1).groupBy("i").agg(F.count("*").alias("n"))
+
+
+@query("q13_bootstrap_variance", f"""WITH {t.RETURNS}, x AS (SELECT row_number() OVER (ORDER BY date) AS i, ret - avg(ret) OVER () AS d, count(*) OVER () AS n FROM rets WHERE ticker = (SELECT min(ticker) FROM rets)),
+g AS (SELECT b.i - a.i AS k, any_value(a.n) AS n, sum(a.d * b.d) AS s FROM x a JOIN x b ON b.i >= a.i GROUP BY 1)
+SELECT round(sum(CASE WHEN k = 0 THEN 1 ELSE 2 * ((1 - k / n) * pow(0.8, k) + k / n * pow(0.8, n - k)) END * s / n) / any_value(n), 8) AS variance FROM g""")
+def _(s, d):
+    r = _series(s, d)
+    one = r.join(F.broadcast(r.agg(F.min("ticker").alias("ticker"))), "ticker", "left_semi")
+    return rounded(stats.bootstrap_variance(one, 5.0), 8)
+
+
+@query("q15_sharpe_difference")
+def _(s, d):
+    w = Window.orderBy("t")
+    e = _errors(s, d).withColumn("t", F.row_number().over(w) - 1)
+    return rounded(stats.sharpe_difference_ci(e, 29, 5, 200, 3))
+
+
+@query("q16_benjamini_hochberg", """WITH x AS (SELECT p_partkey AS id, (p_partkey * 7919 % 10007) / 10007.0 * (p_partkey % 7) / 7.0 AS p FROM part),
+r AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS rank, count(*) OVER () AS m FROM x),
+k AS (SELECT coalesce(max(rank) FILTER (p <= rank * 0.05 / m), 0) AS k FROM r)
+SELECT id, CAST(rank AS INTEGER) AS rank, round(least(min(m / rank * p) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS adjusted, rank <= k AS rejected FROM r, k""")
+def _(s, d):
+    x = table(s, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7919 % 10007) / 10007.0 * (F.col("p_partkey") % 7) / 7.0).alias("p"))
+    return rounded(stats.benjamini_hochberg(x).select("id", "rank", "adjusted", "rejected"))
+
+
+@query("q17_q19_distributions")
+def _(s, d):
+    x = table(s, d, "part").select(((F.col("p_partkey") % 700) / 100.0 - 3.5).alias("x")).distinct()
+    return rounded(x.select("x", norm_cdf(F.col("x")).alias("cdf"), norm_ppf(norm_cdf(F.col("x"))).alias("back"), student_sf(F.col("x"), F.lit(9)).alias("t9")), 9)
+
+
+@query("q20_three_gates")
+def _(s, d):
+    dm = stats.diebold_mariano(_errors(s, d), loss="identity").select(F.col("p_value").alias("dm_p"), F.col("better").alias("dm_better"))
+    g = t.returns(s, d).agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("k3"), (F.kurtosis("ret") + 3).alias("k4"))
+    row = dm.crossJoin(g.select(stats.dsr(F.col("sr"), F.col("n").cast("double"), F.col("k3"), F.col("k4"), F.lit(8)).alias("dsr"), F.lit(0.1).alias("lower_bound")))
+    return rounded(stats.three_gates(row))
+
+
+# ------------------------------------------------------------------ extensions
+
+
+def _edges(s, d):
+    e = table(s, d, "events")
+    at = F.col("ts")
+    return evidence.superseded(e.select(F.col("event_id").alias("edge_id"), "user_id", "event_type", "value", at.alias("first_public_at"), at.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), at.alias("recorded_at")), "user_id", "event_type")
+
+
+_AT = "2024-01-15 12:00:00"
+
+
+@query("x1_visible_edges", f"WITH e AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS superseded FROM events) SELECT event_type, count(*) AS n FROM e WHERE ts <= TIMESTAMP '{_AT}' AND (superseded IS NULL OR superseded > TIMESTAMP '{_AT}') GROUP BY 1")
+def _(s, d):
+    return evidence.visible_edges(_edges(s, d), _AT).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("x2_lessons", "WITH g AS (SELECT event_type, user_id % 10 AS bucket, count(*) AS n, avg(value) AS mu, var_samp(value) AS var FROM events GROUP BY 1, 2 HAVING count(*) >= 10) SELECT event_type, bucket, n, round(mu, 6) AS mu, round(var, 6) AS var, round((n * mu + 20 * (SELECT avg(value) FROM events)) / (n + 20), 6) AS shrunk FROM g")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", (F.col("user_id") % 10).alias("bucket"), F.col("value").alias("outcome"))
+    return rounded(evidence.lessons(e, "event_type", "bucket"))
+
+
+@query("x3_decay", "SELECT event_id, round(exp(-ln(2.0) / 20 * date_diff('day', CAST(ts AS DATE), DATE '2024-02-15')), 6) AS conf FROM events")
+def _(s, d):
+    return rounded(table(s, d, "events").select("event_id", evidence.decayed(F.lit(1.0), F.datediff(F.lit("2024-02-15"), F.to_date("ts")), 20).alias("conf")))
+
+
+@query("x8_pooled_analogues", "WITH x AS (SELECT event_type, value, event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id DESC, event_id) AS r FROM events) SELECT event_type, round(avg(value), 6) AS mu, round(stddev_samp(value), 6) AS sigma, count(*) AS n, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM x WHERE r <= 50 GROUP BY 1")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", F.col("value").alias("outcome"), F.col("user_id").alias("similarity"), F.col("event_id").alias("case_id"))
+    return rounded(evidence.pooled(e, "event_type"))
+
+
+@query("x10_rolling_correlation", f"""WITH {t.RETURNS}, p AS (SELECT x.date, x.ticker AS a, y.ticker AS b, x.ret AS ra, y.ret AS rb FROM rets x JOIN rets y ON x.date = y.date AND x.ticker < y.ticker),
+c AS (SELECT date, a, b, CASE WHEN count(*) OVER w = 10 THEN corr(ra, rb) OVER w END AS corr FROM p WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT date, a, b, round(corr, 6) AS corr FROM c WHERE abs(corr) > 0.3""", "date")
+def _(s, d):
+    r = t.returns(s, d)
+    a, b = r.select("date", F.col("ticker").alias("a"), F.col("ret").alias("ret_a")), r.select("date", F.col("ticker").alias("b"), F.col("ret").alias("ret_b"))
+    return rounded(evidence.rolling_correlation(a.join(b, "date").where("a < b"), 10, 0.3))
+
+
+@query("x11_sentiment", """WITH m AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS date, count(*) AS mentions, count(*) FILTER (value > 50) AS bull, count(*) FILTER (value <= 50) AS bear FROM events GROUP BY 1, 2)
+SELECT ticker, date, round(ln(1 + mentions) - lag(ln(1 + mentions)) OVER (PARTITION BY ticker ORDER BY date), 6) AS dlog_volume, round((mentions - avg(mentions) OVER w) / nullif(stddev_samp(mentions) OVER w, 0), 6) AS z FROM m WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""", "date")
+def _(s, d):
+    e = table(s, d, "events")
+    m = e.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date")).agg(F.count("*").alias("mentions"), F.count_if(F.col("value") > 50).alias("bull"), F.count_if(F.col("value") <= 50).alias("bear"))
+    return rounded(evidence.sentiment(m).select("ticker", "date", "dlog_volume", "z"))
+
+
+@query("x14_interquartile_mean", "WITH x AS (SELECT c_mktsegment AS k, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), y AS (SELECT *, greatest(0, least(r, 0.75 * n) - greatest(r - 1, 0.25 * n)) AS w FROM x) SELECT k, round(sum(v * w) / sum(w), 4) AS iqm FROM y GROUP BY 1")
+def _(s, d):
+    c = table(s, d, "customer").select(F.col("c_mktsegment").alias("k"), F.col("c_acctbal").alias("score"), F.col("c_custkey").alias("seed"))
+    return rounded(evidence.interquartile_mean(c, "k"), 4)
+
+
+@query("x15_placebo", "SELECT c_mktsegment AS k, round(sum(c_acctbal), 2) AS total, count(*) AS n FROM customer GROUP BY 1")
+def _(s, d):
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("k"), F.col("c_acctbal").alias("v"))
+    return rounded(evidence.shuffled(c, "v", 5, "k").groupBy("k").agg(F.sum("v").alias("total"), F.count("*").alias("n")), 2)
+
+
+@query("x7_claim_quarantine", """WITH c AS (SELECT d.source AS subject, l.doc_id, l.quality = 1 AS verified, 0.1 + (l.doc_id % 9) / 10.0 AS conf FROM labels l JOIN documents d USING (doc_id)),
+x AS (SELECT *, CASE WHEN verified THEN conf ELSE least(conf, 0.3) END AS c FROM c), y AS (SELECT *, coalesce(sum(c) FILTER (verified) OVER w, 0) AS sure, coalesce(sum(c) FILTER (NOT verified) OVER w, 0) AS loose FROM x WINDOW w AS (PARTITION BY subject))
+SELECT doc_id, round(CASE WHEN verified THEN c ELSE c * CASE WHEN loose > 0 THEN least(1, 0.25 * sure / loose) ELSE 1 END END, 6) AS weight FROM y""")
+def _(s, d):
+    c = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", F.col("source").alias("subject")), "doc_id")
+    c = c.select("subject", "doc_id", (F.col("quality") == 1).alias("verified"), (0.1 + (F.col("doc_id") % 9) / 10.0).alias("conf"))
+    return rounded(evidence.claim_quarantine(c).select("doc_id", "weight"))
+
+
+@query("x12_cashtags", "WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\$([A-Z]{1,5})\\b', 1)) AS tag FROM documents) SELECT tag, count(*) AS n FROM x GROUP BY 1")
+def _(s, d):
+    return table(s, d, "documents").select(F.explode(evidence.cashtags(F.col("text"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("x13_frames", "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, event_type, max_by(value, row(ts, event_id)) AS value, count(*) AS n FROM events GROUP BY 1, 2")
+def _(s, d):
+    e = table(s, d, "events").withColumn("frame", F.expr("unix_seconds(ts) div 3600"))
+    return e.groupBy("frame", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n"))
