@@ -229,7 +229,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     full = sets.where("n > 0 and doc_id is not null")
     reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     first = full.select("doc_id", "least", "prefix").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    posts = first.select("doc_id", F.explode("prefix").alias("shingle"))
+    # one exchange serves the counts and the join; heavy shingles are last in their order, so it is even
+    posts = first.select("doc_id", F.explode("prefix").alias("shingle")).repartition("shingle")
     held = saved(posts.join(posts.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"), "shingle"), "posts")
     enough = held.groupBy("doc_id").agg(F.count("*").alias("k")).join(first.select("doc_id", "least").dropDuplicates(["doc_id"]), "doc_id").where("k >= least").select("doc_id")
     held = saved(held.join(enough, "doc_id", "left_semi"), "held")
