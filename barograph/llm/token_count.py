@@ -47,7 +47,7 @@ def unigram(path: str) -> dict[str, float]:
 class Trie:
     """Words to token counts."""
 
-    def __init__(self, pieces: dict[str, float], nodes: int = 1_000_000, long: int = 256):
+    def __init__(self, pieces: dict[str, float], nodes: int = 600_000, long: int = 256):
         self.pieces, self.most, self.long = pieces, nodes, long
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10
