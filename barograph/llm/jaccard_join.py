@@ -237,17 +237,26 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     lists = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("block")).where("k > 1")
     inside = saved(held.join(lists, "shingle").select("block", "doc_id").distinct(), "blocks")
     wanted = saved(inside.select("doc_id").distinct(), "wanted")
-    some = saved(text.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles(n), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "shingles")
-
-    width = inside.join(some.select("doc_id", F.size("shingles").alias("m")), "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("m").alias("m"))
+    sizes = full.select("doc_id", "n").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n").alias("m"), F.count("*").alias("rows"))
+    sizes = saved(sizes, "sizes")
+    # only where ids repeat do texts need a shuffle to stand once
+    repeated = not sizes.where("rows > 1").isEmpty()
+    width = inside.join(sizes, "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("m").alias("m"))
     width = width.select("block", F.greatest(F.ceil(F.col("k") / CHUNK_DOCS), F.ceil(F.col("m") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     dealt = saved(inside.join(width, "block").select("block", "doc_id", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")), "dealt")
+
+    def sets_of(these: DataFrame) -> DataFrame:
+        """These ids and tasks with their whole sets: the text goes through the join, as it is smaller than the hashes."""
+        held = text.join(these, "doc_id").select("doc_id", "text", "tasks")
+        return (held.dropDuplicates(["doc_id"]) if repeated else held).mapInArrow(_shingles(n), f"doc_id long, tasks {these.schema['tasks'].dataType.simpleString()}, shingles array<long>")
+
+    # a document has at most as many blocks as its prefix has shingles
+    tasks = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("block", "chunks", "chunk")).alias("tasks"))
+    each = sets_of(tasks).select("doc_id", "shingles", F.explode("tasks").alias("t")).select("t.*", "doc_id", "shingles")
     # the block's first document goes to each of its chunks, as the others' common neighbour
-    own = dealt.where("doc_id <> block")
-    hub = dealt.where("doc_id = block").select("block", "doc_id", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
-    task = own.select("block", "doc_id", "chunk").unionAll(hub.select("block", "doc_id", F.col("chunk").cast("int")))
-    searched = task.join(some, "doc_id").select("block", "chunk", "doc_id", F.lit(True).alias("searches"), F.col("doc_id").alias("group"), "shingles")
-    links = saved(searched.groupBy("block", "chunk").applyInArrow(_search(num, den), _LINK), "links")
+    chunk = F.explode(F.when(F.col("doc_id") == F.col("block"), F.expr("sequence(0, chunks - 1)")).otherwise(F.array("chunk")))
+    searched = each.select("block", chunk.alias("part"), "doc_id", F.lit(True).alias("searches"), F.col("doc_id").alias("group"), "shingles")
+    links = saved(searched.groupBy("block", "part").applyInArrow(_search(num, den), _LINK), "links")
     found = components(links) if not links.isEmpty() else links.select(F.col("x").alias("doc_id"), F.col("y").alias("component"))
 
     large = dealt.where("chunks > 1")
@@ -260,6 +269,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
         asks = labelled.where("searches").select("block", F.col("chunk").alias("i"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("j"), "doc_id", "group", "searches")
         busy = asks.select("block", "i", "j").distinct()
         holds = labelled.select("block", F.col("chunk").alias("j"), "doc_id", "group", F.lit(False).alias("searches")).join(busy, ["block", "j"]).select("block", "i", "j", "doc_id", "group", "searches")
+        some = sets_of(labelled.select("doc_id").distinct().withColumn("tasks", F.lit(0)))
         cross = asks.unionAll(holds).join(some, "doc_id").select("block", "i", "j", "doc_id", "searches", "group", "shingles")
         more = saved(cross.groupBy("block", "i", "j").applyInArrow(_search(num, den), _LINK), "more-links")
         if not more.isEmpty():
@@ -278,6 +288,7 @@ def _shingles(n: int):
             for i, x in shingle_sets(string_column(batch, "text"), n):
                 at.append(i)
                 sets.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(at, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            kept = batch.select(["doc_id", "tasks"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tasks", "shingles"])
 
     return run
