@@ -96,7 +96,9 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, slices: int = 5, hot:
     sums = []
     for part in range(slices):
         rows = text.mapInArrow(_exploded(slices, part), "b long, c long, doc_id long, tf int, tf_b int, tf_c int").repartition("b", "c")
-        counts = rows.groupBy("b", "c").agg(F.sum("tf").alias("pairs"))
+        # adding no bits of the other columns keeps them in the counts' exchange, so that it is the join's too
+        none = (F.coalesce("doc_id", F.lit(0)).bitwiseOR(F.col("tf_b")).bitwiseOR(F.col("tf_c"))).bitwiseAND(F.lit(0))
+        counts = rows.groupBy("b", "c").agg(F.sum(F.col("tf") + none).alias("pairs"))
         seen = F.col("pairs") > F.col("tf")
         need = rows.join(counts.hint("shuffle_hash"), ["b", "c"]).select("doc_id", "tf", seen.alias("seen"), (F.col("pairs") - F.col("tf")).cast("int").alias("top"), F.when(seen, F.col("b")).otherwise(F.col("c")).alias("u"), F.when(seen, F.col("tf_b")).otherwise(F.col("tf_c")).alias("own"))
         # a common word's rows are dealt out by document, so that its shuffle is even
