@@ -4,7 +4,7 @@ Documents with one and the same shingle set form a class, and only its smallest
 all documents keep: by hash, but heavy ones last, by their counts.  Sets that reach the similarity t share l of their first
 |x| - ceil(t|x|) + l shingles; with l a share of the size, a document goes on only if that many of its first
 shingles, less what a partner's size may take off, stand in another one's too.  So a passage in common makes no
-candidate.  Heavy shingles are counted over all texts, a segment at a time, and at most ``heavy`` are kept; a wrong count
+candidate.  It leaves blocks that hold fewer than half of those together.  Heavy shingles are counted over all texts, a segment at a time, and at most ``heavy`` are kept; a wrong count
 costs time, never a link.  These short lists of shingles give blocks of documents; inside a block, DivideSkip searches the lists of the
 whole sets: the short ones are heap-merged, the long ones binary-probed, and documents with the required
 overlap are linked.  A large block is dealt into chunks.  First each chunk is searched by itself, together with
@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import found, gram_hashes, mixed, raw, saved, shingle_sets, small_batches, steps, string_column, word_hashes
+from .shared import found, gram_hashes, maybe, mixed, raw, saved, shingle_sets, small_batches, steps, string_column, word_hashes
 
 #: Words or shingles kept before the frequent ones among them are counted off.
 SEGMENT = 1 << 22
@@ -230,15 +230,17 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     first = full.select("doc_id", "least", "prefix").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     # one exchange serves the counts and the join; heavy shingles are last in their order, so it is even
-    posts = first.select("doc_id", F.explode("prefix").alias("shingle")).repartition("shingle")
-    held = saved(posts.join(posts.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"), "shingle"), "posts")
-    enough = held.groupBy("doc_id").agg(F.count("*").alias("k")).join(first.select("doc_id", "least").dropDuplicates(["doc_id"]), "doc_id").where("k >= least").select("doc_id")
-    held = saved(held.join(enough, "doc_id", "left_semi"), "held")
-    lists = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("block")).where("k > 1")
-    inside = saved(held.join(lists, "shingle").select("block", "doc_id").distinct(), "blocks")
+    posts = first.select("doc_id", F.explode("prefix").alias("shingle")).where(_FULL).repartition("shingle")
+    held = saved(posts.join(_lists(posts).select("shingle"), "shingle"), "posts")
+    enough = held.groupBy("doc_id").agg(F.count("*").alias("k")).join(sets.where("n > 0").groupBy("doc_id").agg(F.min("least").alias("least")), "doc_id")
+    enough = saved(enough.where("k >= least").select("doc_id", "least"), "enough")
+    held = saved(held.join(enough, "doc_id", "left_semi"), "held").where(_FULL).repartition("shingle")
+    inside = held.join(_lists(held), "shingle").groupBy("block", "doc_id").agg(F.count("*").alias("k"))
+    inside = saved(_needed(inside.join(enough, "doc_id")), "blocks")
     wanted = saved(inside.select("doc_id").distinct(), "wanted")
     sizes = full.select("doc_id", "n").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n").alias("m"), F.count("*").alias("rows"))
     sizes = saved(sizes, "sizes")
+    near = maybe(text, wanted)
     # only where ids repeat do texts need a shuffle to stand once
     repeated = not sizes.where("rows > 1").isEmpty()
     width = inside.join(sizes, "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("m").alias("m"))
@@ -247,7 +249,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
 
     def sets_of(these: DataFrame) -> DataFrame:
         """These ids and tasks with their whole sets: the text goes through the join, as it is smaller than the hashes."""
-        held = text.join(these, "doc_id").select("doc_id", "text", "tasks")
+        held = near.join(these, "doc_id").select("doc_id", "text", "tasks")
         return (held.dropDuplicates(["doc_id"]) if repeated else held).mapInArrow(_shingles(n), f"doc_id long, tasks {these.schema['tasks'].dataType.simpleString()}, shingles array<long>")
 
     # a document has at most as many blocks as its prefix has shingles
@@ -281,6 +283,30 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     return linked.unionAll(alone)
 
 
+def _lists(posts: DataFrame) -> DataFrame:
+    """shingle, block: the smallest doc_id of each list of two documents or more.
+
+    It reads the same columns and rows as the caller's side of the join, so that one exchange serves both.
+    """
+    return posts.groupBy("shingle").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).where("block < last").select("shingle", "block")
+
+
+#: What Spark would add to one side of a join alone.
+_FULL = "doc_id is not null and shingle is not null"
+
+
+def _needed(inside: DataFrame) -> DataFrame:
+    """block, doc_id of the blocks in which a document must be (block, doc_id, k, least).
+
+    A link shares ``least`` prefix shingles at least, for both its documents.  If each leaves blocks that hold fewer than
+    half of them together, one shared shingle's block still has both.  A block's first document stays in it.
+    """
+    others = Window.partitionBy("doc_id").orderBy("k", "block").rowsBetween(Window.unboundedPreceding, 0)
+    kept = inside.withColumn("left", F.sum(F.when(F.col("doc_id") != F.col("block"), F.col("k")).otherwise(0)).over(others))
+    kept = kept.where("doc_id = block or left > (least - 1) div 2").select("block", "doc_id")
+    return kept.join(kept.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block"), "block", "left_semi")
+
+
 def _shingles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

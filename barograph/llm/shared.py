@@ -204,3 +204,19 @@ def bounded_rows(df: DataFrame, most: int) -> list | None:
     return rows if len(rows) <= most else None
 
 
+#: Buckets of 2**15 bits in the bitmap of ``maybe``: 8 MB whatever the input.
+BITMAPS = 2048
+
+
+def maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``wanted``, before any shuffle; a join must follow.
+
+    Hashes of the wanted ids set bits in a bitmap of fixed size, which is broadcast.  Nothing wanted is lost; the more
+    ids there are for the bitmap's bits, the more other rows stay.
+    """
+    bits = 1 << 15
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAPS * bits))
+    marks = wanted.groupBy((F.floor(place / bits)).alias("bucket")).agg(F.bitmap_construct_agg((place % bits).cast("int")).alias("bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(place % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    kept = docs.withColumn("place", place).join(F.broadcast(marks), F.floor(F.col("place") / bits) == F.col("bucket"))
+    return kept.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*docs.columns)
