@@ -29,8 +29,8 @@ from .shared import saved, small_batches, string_column
 
 BUCKETS = 256
 ROUNDS = 24
-#: Entries that a worker's caches of word ids hold before they are emptied.
-CACHE = 2_000_000
+#: Entries that a worker's caches of word ids hold before they are emptied: some 50 MB, which a worker keeps over tasks.
+CACHE = 1 << 18
 _caches: dict[str, tuple] = {}
 #: Letters of ASCII and Latin-1, single digits, other runs: with lower case as the pre-tokenizer of the vocabulary splits a word of these characters.
 _PIECES = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
