@@ -6,16 +6,18 @@ each response is quantised to two bits in Gray code, and the sixteen make one pa
 
 Two recordings are aligned by the offsets of their equal integers: the offset with most of them is tested by the
 share of differing bits over the whole overlap.  A stated set of query recordings is aligned with all rows: queries go out in
-blocks of at most ``block`` integers, whatever the size of the table, and each row keeps its best query.
+blocks of at most ``block`` integers, whatever the size of the table, and each row comes once for every class of
+queries that it aligns with.  Queries of one and the same fingerprint form a class, which stands in the result by its
+smallest id other than the row's own; ``all_pairs`` puts every member in its place, so that none is lost.
 
 Nulls and edges: null, empty and too short recordings (under FRAME + (SPAN - 1) * HOP samples) have no integers and are
-aligned with nothing.  Queries of one and the same fingerprint form a class that answers with its smallest id
-other than the row's own.  A null id is no query; repeated rows are rows.  Ties go to the smaller share of
-differing bits, then to the smaller query id, then to the smaller offset.  An empty table gives no rows.
+aligned with nothing.  A row that is aligned with nothing comes once, with nulls.  A null id is no query; repeated
+rows are rows.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -103,21 +105,26 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index("audio"))
         prints = [packed(chroma(np.frombuffer(b.as_buffer(), np.uint8))) if b.is_valid else np.empty(0, np.uint32) for b in col]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in prints], pa.int64()), pa.array([x.view(np.int32) for x in prints], pa.list_(pa.int32()))], ["id", "n_items", "items_crc32", "items"])
+        raw = [x.astype("<u4").tobytes() for x in prints]
+        names = [hashlib.blake2b(r, digest_size=16).hexdigest() if r else None for r in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in prints], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(names, pa.string()), pa.array([x.view(np.int32) for x in prints], pa.list_(pa.int32()))], ["id", "n_items", "items_crc32", "fingerprint", "items"])
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """id, n_items, items_crc32, items of every row of ``recordings`` (id, audio)."""
+    """id, n_items, items_crc32, fingerprint, items of every row of ``recordings`` (id, audio).
+
+    fingerprint: a 128-bit digest of the integers, null where there are none.
+    """
     small_batches(recordings.sparkSession)
     own = recordings.select(F.col("id").cast("long").alias("id"), F.col("audio").cast("binary").alias("audio"))
-    return own.mapInArrow(_prints, "id long, n_items long, items_crc32 long, items array<int>")
+    return own.mapInArrow(_prints, "id long, n_items long, items_crc32 long, fingerprint string, items array<int>")
 
 
 class Queries:
-    """Query fingerprints of one block, in the order of their integers."""
+    """Query fingerprints of one block, in the order of their integers; a second id of None: the class has no other."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, items: list[np.ndarray]):
-        self.first, self.second, self.items = first, second, items
+    def __init__(self, first: list[int], second: list[int | None], names: list[str], items: list[np.ndarray]):
+        self.first, self.second, self.names, self.items = first, second, names, items
         flat = np.concatenate(items)
         order = np.argsort(flat, kind="stable")
         self.value = flat[order]
@@ -147,74 +154,103 @@ class Queries:
         best = order[np.r_[True, query[order][1:] != query[order][:-1]]] if len(order) else order
         return query[best], offset[best], counts[best]
 
-    def align(self, own: int | None, items: np.ndarray) -> tuple:
-        """(query id, offset, votes, share of differing bits) of the best query, or Nones."""
-        if len(items):
-            query, offset, votes = self.votes(items)
-            ids = np.where(self.first[query] == own, self.second[query], self.first[query])
-            sound = (votes >= LEAST_VOTES) & (ids >= 0)
-            for v in np.unique(votes[sound])[::-1]:
-                found = []
-                for q, o, i in zip(*(x[sound & (votes == v)].tolist() for x in (query, offset, ids)), strict=True):
-                    other = self.items[q]
-                    x, y = items[max(o, 0) : len(other) + o], other[max(-o, 0) : len(items) - o]
-                    error = float(np.bitwise_count(x ^ y).sum()) / (32 * len(x))
-                    if error <= MOST_ERROR:
-                        found.append((error, i, o))
-                if found:
-                    error, i, o = min(found)
-                    return i, o, int(v), error
-        return None, None, None, None
-
-
-def _align(queries: Queries):
+    def align(self, own: int | None, items: np.ndarray) -> list[tuple]:
+        """(query id, query fingerprint, offset, votes, share of differing bits) of each class that aligns with the row."""
+        found = []
+        if not len(items):
+            return found
+        for q, o, v in zip(*(x.tolist() for x in self.votes(items)), strict=True):
+            i = self.second[q] if self.first[q] == own else self.first[q]
+            if i is None or v < LEAST_VOTES:
+                continue
+            other = self.items[q]
+            x, y = items[max(o, 0) : len(other) + o], other[max(-o, 0) : len(items) - o]
+            error = float(np.bitwise_count(x ^ y).sum()) / (32 * len(x))
+            if error <= MOST_ERROR:
+                found.append((i, self.names[q], o, v, error))
+        return found
+
+
+#: Columns of a row, and of its alignment.
+ROW = ("id", "n_items", "items_crc32", "fingerprint")
+PAIR = {"query_id": "long", "query_fingerprint": "string", "offset": "long", "votes": "long", "bit_error": "double"}
+_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
+#: Alignments that one Arrow batch of the result holds, unless a single row has more.
+OUT_ROWS = 50_000
+
+
+def _align(queries: Queries, lone: bool):
+    """lone: rows that align with nothing come too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = batch.column(batch.schema.get_field_index("items"))
             at, flat = items.offsets.to_numpy(), items.values.to_numpy(zero_copy_only=False).view(np.uint32)
-            found = [queries.align(i, flat[at[k] : at[k + 1]]) for k, i in enumerate(batch.column(batch.schema.get_field_index("id")).to_pylist())]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "n_items", "items_crc32")), *columns], ["id", "n_items", "items_crc32", "query_id", "offset", "votes", "bit_error"])
+            rows, found = [], []
+
+            def out(batch=batch, rows=rows, found=found):
+                take = pa.array(rows, pa.int64())
+                own = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ROW]
+                return pa.RecordBatch.from_arrays([*own, *(pa.array([f[k] for f in found], t) for k, t in enumerate(_TYPES))], [*ROW, *PAIR])
+
+            for k, i in enumerate(batch.column(batch.schema.get_field_index("id")).to_pylist()):
+                pairs = queries.align(i, flat[at[k] : at[k + 1]])
+                if lone and not pairs:
+                    pairs = [(None,) * len(PAIR)]
+                rows += [k] * len(pairs)
+                found += pairs
+                if len(rows) >= OUT_ROWS:
+                    yield out()
+                    rows.clear()
+                    found.clear()
+            yield out()
 
     return run
 
 
 def align_recordings(recordings: DataFrame, is_query: Column, block: int = 1 << 21) -> DataFrame:
-    """id, n_items, items_crc32, query_id, offset, votes, bit_error of every row of ``recordings`` (id, audio).
+    """id, n_items, items_crc32, fingerprint, query_id, query_fingerprint, offset, votes, bit_error: one row for each row
+    of ``recordings`` (id, audio) and class of queries that aligns with it, and one for each row without any.
 
     is_query: which rows are queries, by ``id``.  offset: the row's frame at which the query's first frame stands.
     """
     prints = saved(fingerprints(recordings), "prints")
-    asked = prints.where(F.coalesce(is_query, F.lit(False)) & F.col("id").isNotNull() & (F.col("n_items") > 0)).select("id", "items").distinct()
-    two = asked.groupBy("items").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    asked = prints.where(F.coalesce(is_query, F.lit(False)) & F.col("id").isNotNull() & (F.col("n_items") > 0)).select("id", "fingerprint", "items").distinct()
+    two = asked.groupBy("items").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("fingerprint").alias("fingerprint"))
     # the second smallest id of a class: the smallest beyond the first
-    more = asked.join(two.where("first <> last").select(F.col("items").alias("i"), "first"), (F.col("items") == F.col("i")) & (F.col("id") > F.col("first"))).groupBy("first").agg(F.min("id").alias("second"))
-    classes = two.select("items", "first").join(more, "first", "left").select("first", F.coalesce("second", F.lit(-1)).alias("second"), "items")
+    more = asked.join(two.where("first <> last").select(F.col("items").alias("i"), "first"), (F.col("items") == F.col("i")) & (F.col("id") > F.col("first"))).groupBy("items").agg(F.min("id").alias("second"))
+    classes = two.join(more, "items", "left").select("first", "second", "fingerprint", "items")
     total = asked.agg(F.sum(F.size("items"))).first()[0] or 0
     blocks = 1 if total <= block else -(-2 * total // block)
     if blocks > 1:
         classes = saved(classes, "classes")
     results = []
+    schema = ", ".join(["id long, n_items long, items_crc32 long, fingerprint string", *(f"{c} {t}" for c, t in PAIR.items())])
     for b in range(blocks):
-        rows = classes.where(F.pmod(F.xxhash64("first"), F.lit(blocks)) == b).orderBy("first").toArrow()
+        rows = classes.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == b).orderBy("first", "fingerprint").toArrow()
         if not rows.num_rows:
             continue
         items = rows["items"].combine_chunks()
         at, flat = items.offsets.to_numpy(), items.values.to_numpy().view(np.uint32)
-        held = Queries(rows["first"].to_numpy(), rows["second"].to_numpy(), [flat[at[k] : at[k + 1]] for k in range(len(items))])
-        found = prints.mapInArrow(_align(held), "id long, n_items long, items_crc32 long, query_id long, offset long, votes long, bit_error double")
+        held = Queries(rows["first"].to_pylist(), rows["second"].to_pylist(), rows["fingerprint"].to_pylist(), [flat[at[k] : at[k + 1]] for k in range(len(items))])
+        found = prints.mapInArrow(_align(held, blocks == 1), schema)
         results.append(found if blocks == 1 else saved(found, "aligned"))
     if not results:
-        return prints.select("id", "n_items", "items_crc32", *(F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("offset", "long"), ("votes", "long"), ("bit_error", "double"))))
-    if len(results) == 1:
+        return prints.select(*ROW, *(F.lit(None).cast(t).alias(c) for c, t in PAIR.items()))
+    if blocks == 1:
         return results[0]
-    # a row's best over the blocks; rows of equal id and fingerprint have the same
     every = results[0]
     for r in results[1:]:
         every = every.unionAll(r)
-    rank = F.struct((-F.col("votes")).alias("v"), F.col("bit_error").alias("e"), F.col("query_id").alias("q"), F.col("offset").alias("o"))
-    best = every.groupBy("id", "n_items", "items_crc32").agg(F.min(F.when(F.col("votes").isNotNull(), rank)).alias("m"))
-    copies = prints.select("id", "n_items", "items_crc32")
-    keys = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ("id", "n_items", "items_crc32")]
-    best = best.select(*(F.col(c).alias(f"k_{c}") for c in ("id", "n_items", "items_crc32")), "m")
-    return copies.join(best, keys, "left").select("id", "n_items", "items_crc32", F.col("m.q").alias("query_id"), F.col("m.o").alias("offset"), (-F.col("m.v")).alias("votes"), F.col("m.e").alias("bit_error"))
+    # rows of equal id and fingerprint have the same alignments
+    some = every.select(F.col("id").alias("i"), F.col("fingerprint").alias("f")).distinct()
+    lone = prints.join(some, F.col("id").eqNullSafe(F.col("i")) & F.col("fingerprint").eqNullSafe(F.col("f")), "left_anti")
+    return every.unionAll(lone.select(*ROW, *(F.lit(None).cast(t).alias(c) for c, t in PAIR.items())))
+
+
+def all_pairs(aligned: DataFrame, is_query: Column) -> DataFrame:
+    """The rows of ``align_recordings`` that have an alignment, once for each single query: members in place of classes."""
+    members = aligned.where(F.coalesce(is_query, F.lit(False)) & F.col("id").isNotNull() & F.col("fingerprint").isNotNull())
+    members = members.select(F.col("fingerprint").alias("query_fingerprint"), F.col("id").alias("member")).distinct()
+    pairs = aligned.join(members, "query_fingerprint").where(~F.col("member").eqNullSafe(F.col("id")))
+    return pairs.withColumn("query_id", F.col("member")).select(*aligned.columns)

@@ -276,3 +276,25 @@ def test_pipeline_runs(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, d, DIR)
         assert got.columns == list(corpus_pipeline.COLUMNS), name
+
+
+def tune(notes, seconds=600):
+    t = np.arange(seconds) / chroma.RATE
+    return (127 + 90 * np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in notes])).astype(np.uint8)
+
+
+def test_chroma_keeps_every_query_of_a_row(spark):
+    rng = np.random.default_rng(6)
+    x = tune(rng.integers(0, 36, 30))
+    near = [np.clip(x.astype(int) + rng.integers(-2, 3, len(x)), 0, 255).astype(np.uint8) for _ in range(3)]
+    # queries 0, 10 and 20 differ, 30 and -10 are copies of 0; id 10 has a second recording
+    rows = [(0, bytes(x)), (10, bytes(near[0])), (20, bytes(near[1])), (30, bytes(x)), (-10, bytes(x)), (1, bytes(near[2])), (1, bytes(near[2])), (None, bytes(x)), (10, bytes(tune(rng.integers(0, 36, 30)))), (3, None)]
+    df, is_query = spark.createDataFrame(rows, "id long, audio binary"), F.col("id") % 10 == 0
+    for block in (1 << 21, 700):
+        out = chroma.align_recordings(df, is_query, block)
+        got = chroma.all_pairs(out, is_query).collect()
+        ids = (-10, 0, 10, 20, 30)
+        want = [(r, q) for r in (-10, 0, 10, 20, 30, 1, 1, None) for q in ids if q != r]
+        assert sorted((str(r.id), r.query_id) for r in got) == sorted((str(r), q) for r, q in want)
+        lone = [r.id for r in out.where("query_id is null").collect()]
+        assert sorted(lone, key=str) == [10, 3]
