@@ -4,8 +4,9 @@ A recording is 8-bit unsigned PCM.  Overlapping windowed frames go through a Fou
 summed into twelve pitch classes.  Sixteen filters compare regions of frames by pitch classes, with sums from an integral image;
 each response is quantised to two bits in Gray code, and the sixteen make one packed 32-bit integer a frame.
 
-Two recordings are aligned by the offsets of their equal integers: the offset with most of them is tested by the
-share of differing bits over the whole overlap.  A stated set of query recordings is aligned with all rows: queries go out in
+Two recordings are aligned by the offsets of their equal integers: offsets with enough of them are tested by the share
+of differing bits over the whole overlap, those with most first, until one passes; among equally many the smaller share
+of differing bits wins, then the smaller offset.  A stated set of query recordings is aligned with all rows: queries go out in
 blocks of at most ``block`` integers, whatever the size of the table, and each row comes once for every class of
 queries that it aligns with.  Queries of one and the same fingerprint form a class, which stands in the result by its
 smallest id other than the row's own; ``all_pairs`` puts every member in its place, so that none is lost.
@@ -20,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .shared import saved, small_batches
 
-RATE, FRAME, HOP = 8000, 256, 64
+RATE, FRAME, HOP = 8000, 256, 48
 #: Frames that the widest filter spans.
 SPAN = 16
 LOW, HIGH, A4 = 100.0, 3600.0, 440.0
 #: Response beyond which the outer two of four levels begin.
 LEVEL = 0.12
-#: Equal integers at one offset, and share of differing bits, that an alignment needs.
+#: Equal integers at one offset (all of the shorter side, where it has fewer), and share of differing bits, that an alignment needs.
 LEAST_VOTES, MOST_ERROR = 4, 0.35
 #: Pairs of equal integers that one step holds.
 PAIRS = 1_000_000
@@ -128,11 +131,12 @@ class Queries:
         flat = np.concatenate(items)
         order = np.argsort(flat, kind="stable")
         self.value = flat[order]
-        self.owner = np.repeat(np.arange(len(items)), [len(x) for x in items])[order]
+        self.length = np.array([len(x) for x in items])
+        self.owner = np.repeat(np.arange(len(items)), self.length)[order]
         self.place = np.concatenate([np.arange(len(x)) for x in items])[order]
 
     def votes(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query with equal integers: query, offset with most of them, their number."""
+        """Query, offset, number of equal integers, wherever these are enough: by query, then most first, then by offset."""
         lo, hi = np.searchsorted(self.value, items, "left"), np.searchsorted(self.value, items, "right")
         many = hi - lo
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -150,24 +154,30 @@ class Queries:
                 counts = np.bincount(inverse, np.r_[counts, c]).astype(np.int64)
             a = b
         query, offset = keys // (2 * span), keys % (2 * span) - span
+        enough = counts >= np.minimum(np.minimum(LEAST_VOTES, len(items)), self.length[query])
+        query, offset, counts = query[enough], offset[enough], counts[enough]
         order = np.lexsort((offset, -counts, query))
-        best = order[np.r_[True, query[order][1:] != query[order][:-1]]] if len(order) else order
-        return query[best], offset[best], counts[best]
+        return query[order], offset[order], counts[order]
 
     def align(self, own: int | None, items: np.ndarray) -> list[tuple]:
         """(query id, query fingerprint, offset, votes, share of differing bits) of each class that aligns with the row."""
         found = []
         if not len(items):
             return found
-        for q, o, v in zip(*(x.tolist() for x in self.votes(items)), strict=True):
+        for q, tests in groupby(zip(*(x.tolist() for x in self.votes(items)), strict=True), key=itemgetter(0)):
             i = self.second[q] if self.first[q] == own else self.first[q]
-            if i is None or v < LEAST_VOTES:
+            if i is None:
                 continue
-            other = self.items[q]
-            x, y = items[max(o, 0) : len(other) + o], other[max(-o, 0) : len(items) - o]
-            error = float(np.bitwise_count(x ^ y).sum()) / (32 * len(x))
-            if error <= MOST_ERROR:
-                found.append((i, self.names[q], o, v, error))
+            other, best = self.items[q], None
+            for _, o, v in tests:
+                if best and v < best[1]:
+                    break
+                x, y = items[max(o, 0) : len(other) + o], other[max(-o, 0) : len(items) - o]
+                error = float(np.bitwise_count(x ^ y).sum()) / (32 * len(x))
+                if error <= MOST_ERROR and (best is None or error < best[2]):
+                    best = o, v, error
+            if best:
+                found.append((i, self.names[q], *best))
         return found
 
 

@@ -288,7 +288,7 @@ def test_chroma_keeps_every_query_of_a_row(spark):
     x = tune(rng.integers(0, 36, 30))
     near = [np.clip(x.astype(int) + rng.integers(-2, 3, len(x)), 0, 255).astype(np.uint8) for _ in range(3)]
     # queries 0, 10 and 20 differ, 30 and -10 are copies of 0; id 10 has a second recording
-    rows = [(0, bytes(x)), (10, bytes(near[0])), (20, bytes(near[1])), (30, bytes(x)), (-10, bytes(x)), (1, bytes(near[2])), (1, bytes(near[2])), (None, bytes(x)), (10, bytes(tune(rng.integers(0, 36, 30)))), (3, None)]
+    rows = [(0, bytes(x)), (10, bytes(near[0])), (20, bytes(near[1])), (30, bytes(x)), (-10, bytes(x)), (1, bytes(near[2])), (1, bytes(near[2])), (None, bytes(x)), (10, rng.bytes(4000)), (3, None)]
     df, is_query = spark.createDataFrame(rows, "id long, audio binary"), F.col("id") % 10 == 0
     for block in (1 << 21, 700):
         out = chroma.align_recordings(df, is_query, block)
@@ -298,3 +298,24 @@ def test_chroma_keeps_every_query_of_a_row(spark):
         assert sorted((str(r.id), r.query_id) for r in got) == sorted((str(r), q) for r, q in want)
         lone = [r.id for r in out.where("query_id is null").collect()]
         assert sorted(lone, key=str) == [10, 3]
+
+
+def test_chroma_aligns_short_and_repeated_recordings():
+    rng = np.random.default_rng(8)
+    x = tune(rng.integers(0, 36, 30))
+    of = lambda a: chroma.packed(chroma.chroma(a))
+
+    def found(query, row):
+        return [(o, v) for _, _, o, v, _ in chroma.Queries([0], [None], ["q"], [query]).align(1, row)]
+
+    for n in (976, 1100, 1216, 1300, 1407):
+        short = of(x[:n])
+        assert len(short) and found(short, short) == [(0, len(short))]
+        assert found(of(x), short) and found(short, of(x))
+    assert found(of(x), of(x)[:3] ^ np.uint32(1)) == []
+    # a repeated integer has most votes at offset 48 and fails there; the true offset 0 has fewer
+    a, tail = (rng.integers(0, 2**32, 48, dtype=np.uint32) for _ in range(2))
+    a[::6] = tail[::6] = 7
+    row = a ^ np.uint32(1)
+    row[43:48] = a[43:48]
+    assert found(a, np.r_[row, tail]) == [(0, 5)]
