@@ -3,15 +3,20 @@
 Each kind maps a value to a number below a bound, and its permutation to a value of the same format:
 
 - payment cards: 13 to 19 digits that pass Luhn's check; the first digit stays, the check digit is renewed;
-- IBANs that pass their check; country and letters' places stay, the check digits are renewed;
-- calendar dates of 1900 to 2099: Y-M-D, Y/M/D, D.M.Y, and M/D/Y (D/M/Y where the first number is over 12);
+- IBANs that pass their check, as long as their country's are (of other countries the longest that passes); country
+  and letters' places stay, the check digits are renewed;
+- calendar dates of 1900 to 2099: Y-M-D (also before T and a time), Y/M/D, D.M.Y, and M/D/Y (D/M/Y where the first
+  number is over 12);
 - IPv4 addresses; social security numbers within their valid ranges; North American telephone numbers;
+- other telephone numbers written +NN, of 7 to 15 digits (further digits after a space count as part of it up to 15):
+  the country's code and a trunk (0) stay;
 - e-mail addresses: letters and digits are permuted in place, the top-level domain stays.
 
 A Feistel network over a domain a little larger than the bound, walked until it is back inside, is a permutation
 of exactly the values of the format.  It depends on the key, the kind and the value alone, so equal values keep
 equal pseudonyms in all documents, however they are spaced or punctuated, and the key's holder can invert it.  An
-invalid number stays as it is.  Nothing is shuffled.
+invalid number stays as it is, and the search goes on inside it; where a valid number overlaps an invalid one before
+it, the pseudonym may make that one valid by chance, and the text is then not inverted.  Nothing is shuffled.
 
 Nulls and edges: null text stays null; an empty text stays empty; all other columns, null ids and repeated rows
 pass unchanged.  Each text is processed whole.
@@ -95,15 +100,29 @@ def _refill(shape: str, digits: str) -> str:
 
 _ALPHABETS = [("abcdefghijklmnopqrstuvwxyz", 26), ("0123456789", 10)]
 
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+_IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Country codes of telephone numbers other than 1; what no group of such a number begins with.
+_CODE = "7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
+_OTHER = rf"(?:(?:{_DATE}|{_IP}|{_SSN})(?![0-9])|[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}|[0-9]{{13}})"
+_ABROAD = re.compile(rf"\+({_CODE})(.*)", re.S)
+#: Length of the IBANs of each country.
+_IBAN_LENGTH = {
+    c: int(n)
+    for n, cs in (x.split(":") for x in "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split())
+    for c in cs.split(",")
+}
 _FIND = re.compile(
-    r"""(?<![\w.])(?:
-      (?P<iban>[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?)
-    | (?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})
-    | (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})
-    | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})
-    | (?P<phone>(?:\+?1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}(?P<sep>[ .-])[2-9][0-9]{2}(?P=sep)[0-9]{4})
-    | (?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})
-    )(?!\w)(?!\.[0-9])""",
+    rf"""(?<![\w.])(?:
+      (?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?)
+    | (?P<date>[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:(?=[Tt][0-9]{{2}})(?P<time>))?|{_DATE})
+    | (?P<ip>{_IP})
+    | (?P<ssn>{_SSN})
+    | (?P<phone>(?:\+?1[ .-]?)?\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\+1[ .-]?[0-9]{{3}}[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|(?:1[ .-])?[2-9][0-9]{{2}}(?P<sep>[ .-])[2-9][0-9]{{2}}(?P=sep)[0-9]{{4}})
+    | (?P<abroad>\+(?:{_CODE})(?:[ .-]?\(0\))?(?:[ .-]?\([0-9]{{1,5}}\))?(?:(?:[ .-](?!{_OTHER}))?[0-9]{{1,12}}){{1,7}}(?![:./-][0-9]))
+    | (?P<card>[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{1,7}}|[0-9]{{4}}(?P<gap2>[ -])[0-9]{{6}}(?P=gap2)[0-9]{{5}})
+    )(?(time)|(?!\w)(?!\.[0-9]))""",
     re.X,
 )
 _MAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
@@ -144,6 +163,16 @@ class Pseudonyms:
         it = iter(country + f"{98 - _iban_rest(country, new, '00'):02d}" + new)
         return "".join(x if x == " " else next(it) for x in s)
 
+    def _abroad(self, s: str) -> str | None:
+        code, rest = _ABROAD.fullmatch(s).groups()
+        trunk = re.match(r"[ .-]?\(0\)", rest)
+        head, rest = (trunk[0], rest[trunk.end() :]) if trunk else ("", rest)
+        d = "".join(_DIGIT.findall(rest))
+        if not 7 <= len(code + d) <= 15:
+            return None
+        new = self._permuted(f"abroad{code}:{len(d)}", 10 ** len(d), int(d), lambda x: x >= 10 ** (len(d) - 1))
+        return f"+{code}{head}" + _refill(rest, f"{new:0{len(d)}d}")
+
     def _date(self, s: str) -> str | None:
         a, b, c = map(int, parts := re.split("[-/.]", s))
         year_first, dotted = len(parts[0]) == 4, "." in s
@@ -205,32 +234,52 @@ class Pseudonyms:
         new = self._string("mail", low)
         return "".join(b.upper() if "A" <= a <= "Z" else b for a, b in zip(rest, new, strict=True)) + "." + top
 
+    def _ends(self, kind: str, s: str) -> Iterator[str]:
+        """Beginnings of a match that may be the value: as long as the country's IBANs, or at gaps, the longest first."""
+        if kind == "iban" and s[:2] in _IBAN_LENGTH:
+            at = [i + 1 for i, c in enumerate(s) if c != " "]
+            n = _IBAN_LENGTH[s[:2]]
+            if len(at) >= n and (at[n - 1] == len(s) or s[at[n - 1]] == " "):
+                yield s[: at[n - 1]]
+            return
+        yield s
+        if kind in ("iban", "abroad"):
+            for i in range(len(s) - 1, 0, -1):
+                if s[i] in " .-" and s[i - 1].isalnum():
+                    yield s[:i]
+
+    def _found(self, s: str) -> tuple[str, int]:
+        """s with pseudonyms of all kinds but addresses; after an invalid match the search goes on inside it."""
+        out, at, start, found = [], 0, 0, 0
+        while m := _FIND.search(s, start):
+            kind = next(k for k in _KINDS if m[k])
+            for x in self._ends(kind, m[0]):
+                new = self.value(kind, x)
+                if new is not None:
+                    out += [s[at : m.start()], new]
+                    at = start = m.start() + len(x)
+                    found += 1
+                    break
+            else:
+                start = m.start() + 1
+        return "".join([*out, s[at:]]), found
+
     def text(self, s: str) -> tuple[str, int]:
         """The text with pseudonyms, and their number."""
-        found = 0
-
-        def one(m: re.Match) -> str:
-            nonlocal found
-            new = self.value(m.lastgroup if m.lastgroup in _KINDS else next(k for k in _KINDS if m[k]), m[0])
-            found += new is not None
-            return m[0] if new is None else new
-
-        def mail(m: re.Match) -> str:
-            nonlocal found
-            found += 1
-            return self.value("mail", m[0])
-
-        if "@" in s:
-            # what lies between addresses is searched for the other kinds, so that nothing is changed twice
-            out, at = [], 0
-            for m in _MAIL.finditer(s):
-                out += [_FIND.sub(one, s[at : m.start()]), mail(m)]
-                at = m.end()
-            return "".join([*out, _FIND.sub(one, s[at:])]), found
-        return (_FIND.sub(one, s) if _DIGIT.search(s) else s), found
-
-
-_KINDS = ("iban", "date", "ip", "ssn", "phone", "card")
+        if "@" not in s:
+            return self._found(s) if _DIGIT.search(s) else (s, 0)
+        # what lies between addresses is searched for the other kinds, so that nothing is changed twice
+        out, at, found = [], 0, 0
+        for m in _MAIL.finditer(s):
+            part, n = self._found(s[at : m.start()])
+            out += [part, self.value("mail", m[0])]
+            found += n + 1
+            at = m.end()
+        part, n = self._found(s[at:])
+        return "".join([*out, part]), found + n
+
+
+_KINDS = ("iban", "date", "ip", "ssn", "phone", "abroad", "card")
 _held: dict[tuple, Pseudonyms] = {}
 
 

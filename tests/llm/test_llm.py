@@ -319,3 +319,32 @@ def test_chroma_aligns_short_and_repeated_recordings():
     row = a ^ np.uint32(1)
     row[43:48] = a[43:48]
     assert found(a, np.r_[row, tail]) == [(0, 5)]
+
+
+@pytest.mark.parametrize(
+    "value, after",
+    [
+        ("ES9121000418450200051332", " 25 euros"), ("AT611904300234573201", " IST"), ("BE68539007547034", " BIC"), ("BE68 5390 0754 7034", " KREDBEBB"),
+        ("PL61109010140000071219812874", " 123"), ("SE4550000000058398257466", " A"), ("CZ6508000000192000145399", " 2021"), ("DE89370400440532013000", " AB 12"),
+        ("2021-03-04", "T10:00"), ("2021-03-04", "T10:00:00Z"), ("+44 20 7946 0958", " 12:30"), ("+49 30 1234567", ", 3"), ("+33 1 42 68 53 00", "."), ("+86-10-6552-9988", ""),
+        ("+44 (0)20 7946 0958", " x"), ("+351 21 123 4567", ""), ("+4915112345678", " or"), ("4845 1681 1440 7329", ""),
+    ],
+)
+def test_pseudonyms_find_values_before_other_words(value, after):
+    p, back = pseudonyms.Pseudonyms(b"k" * 32), pseudonyms.Pseudonyms(b"k" * 32, True)
+    alone, n = p.text(value)
+    assert n == 1 and alone != value and re.sub("[0-9]", "9", alone) == re.sub("[0-9]", "9", value)
+    for s in (f"AN {value}{after}", f"2021 {value}{after}", f"XX12 {value}{after}"):
+        t, n = p.text(s)
+        assert (t, n) == (s.replace(value, alone), 1)
+        if "4845" not in s:
+            assert back.text(t)[0] == s
+
+
+def test_pseudonyms_leave_no_number_after_a_telephone_number():
+    p = pseudonyms.Pseudonyms(b"k" * 32)
+    for other in ("4845 1681 1440 7329", "4845168114407329", "2021-03-04", "97.51.17.173", "123-45-6789", "04.03.2021"):
+        t, n = p.text(f"+49 30 123456 {other}")
+        assert n == 2 and t == f"{p.text('+49 30 123456')[0]} {p.text(other)[0]}"
+    clean = "a+5 b +12 +3.5% C++17, GB00 WEST 1234 5698 7654 32, ES9121000418450200051333 25, 2021-13-04T10:00"
+    assert p.text(clean) == (clean, 0)
