@@ -491,12 +491,12 @@ o AS (SELECT ticker, any_value(n) AS n, any_value(mu) AS mu, any_value(sd) AS sd
 SELECT ticker, n, round(mu / sd, 6) AS sharpe, CAST(L AS INTEGER) AS lag, round(sqrt((1 + pow(mu / sd, 2) / 2) / n), 6) AS se_iid,
   round(sqrt((o11 / (sd * sd) + 2 * (1 / sd) * (-mu / (2 * pow(sd, 3))) * o12 + pow(mu / (2 * pow(sd, 3)), 2) * o22) / n), 6) AS se_hac FROM o""")
 def _(s, d):
-    return rounded(stats.sharpe_se(_series(s, d), "ticker", most=4))
+    return rounded(stats.sharpe_se(_series(s, d), "ticker"))
 
 
 @query("q5_sharpe_ci")
 def _(s, d):
-    return rounded(stats.sharpe_ci(stats.sharpe_se(_series(s, d), "ticker", most=4)))
+    return rounded(stats.sharpe_ci(stats.sharpe_se(_series(s, d), "ticker")))
 
 
 @query("q6_annualisation", f"""WITH {t.RETURNS}, {_POS}, y AS (SELECT *, {', '.join(f'lag(h1, {k}) OVER w AS a{k}' for k in (1, 2, 3, 4))} FROM x WINDOW w AS (PARTITION BY ticker ORDER BY date)),

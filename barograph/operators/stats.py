@@ -27,18 +27,18 @@ def lagged_products(rows: DataFrame, x: str, y: str, most: int, *keys: str) -> D
     return terms.select(*keys, F.posexplode("v").alias("lag", "v")).groupBy(*keys, "lag").agg(F.sum("v").alias("s"))
 
 
-def sharpe_se(rets: DataFrame, *keys: str, rf: float = 0.0, q: int = 1, lag: int | None = None, most: int = 12) -> DataFrame:
+def sharpe_se(rets: DataFrame, *keys: str, rf: float = 0.0, q: int = 1, lag: int | None = None) -> DataFrame:
     """keys, n, sharpe, lag, se_iid, se_hac: Lo's standard errors, times the root of q.
 
-    The HAC one uses Bartlett weights on the moments (r - mu, (r - mu)**2 - var); lag None is the default by n, at most ``most``.
+    The HAC one uses Bartlett weights on the moments (r - mu, (r - mu)**2 - var); lag None is the default by n, as far as the longest series needs.
     """
     base = rets.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mu"), F.var_pop("ret").alias("var"))
     rows = _positions(rets, *keys).join(base, list(keys)) if keys else _positions(rets).crossJoin(base)
     rows = rows.withColumn("h1", F.col("ret") - F.col("mu")).withColumn("h2", F.pow(F.col("ret") - F.col("mu"), F.lit(2.0)) - F.col("var"))
     pairs = [("h1", "h1"), ("h1", "h2"), ("h2", "h1"), ("h2", "h2")]
-    depth = lag if lag is not None else most
+    depth = lag if lag is not None else base.agg(F.max(default_lag(F.col("n")))).first()[0] or 0
     w = Window.partitionBy(*keys).orderBy("i")
-    used = F.lit(lag) if lag is not None else F.least(default_lag(F.col("n")), F.lit(most))
+    used = F.lit(lag) if lag is not None else default_lag(F.col("n"))
     rows = rows.withColumn("L", used)
     weight = lambda k: F.when(F.lit(k) <= F.col("L"), 1 - k / (F.col("L") + 1)).otherwise(0.0)
     omega = {}

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,19 @@ def test_unpivot_and_cashtags(spark):
     assert {(r.kind, r.value) for r in unpivot_actions(w).collect()} == {("split", 2.0), ("dividend", 0.5)}
     x = spark.createDataFrame([("buy $AAPL and $TSLA, not $toolong",)], "x string")
     assert x.select(evidence.cashtags(F.col("x")).alias("t")).first().t == ["AAPL", "TSLA"]
+
+
+def test_sharpe_se_of_a_long_series_has_all_lags(spark):
+    rng = np.random.default_rng(11)
+    x = {"long": np.convolve(rng.normal(0.001, 0.01, 2950), np.ones(10), "valid"), "short": rng.normal(0, 0.01, 30)}
+    rows = [(k, i, float(r)) for k, v in x.items() for i, r in enumerate(v)]
+    got = {r.ticker: r for r in stats.sharpe_se(spark.createDataFrame(rows, "ticker string, t int, ret double"), "ticker").collect()}
+    for k, lag in (("long", 8), ("short", 3)):
+        r, n = x[k], len(x[k])
+        h = np.stack([r - r.mean(), (r - r.mean()) ** 2 - r.var()])
+        omega = h @ h.T / n
+        for j in range(1, lag + 1):
+            g = h[:, j:] @ h[:, :-j].T / n
+            omega += (1 - j / (lag + 1)) * (g + g.T)
+        grad = np.array([1 / r.std(), -r.mean() / (2 * r.std() ** 3)])
+        assert got[k].lag == lag and got[k].se_hac == pytest.approx(np.sqrt(grad @ omega @ grad / n))
