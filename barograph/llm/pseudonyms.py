@@ -10,7 +10,8 @@ Each kind maps a value to a number below a bound, and its permutation to a value
 - IPv4 addresses; social security numbers within their valid ranges; North American telephone numbers;
 - other telephone numbers written +NN, of 7 to 15 digits (further digits after a space count as part of it up to 15):
   the country's code and a trunk (0) stay;
-- e-mail addresses: letters and digits are permuted in place, the top-level domain stays.
+- e-mail addresses: letters and digits are permuted in place, the top-level domain stays; long ones in blocks of
+  ``BLOCK`` letters and digits, each by its place and the form of the whole.
 
 A Feistel network over a domain a little larger than the bound, walked until it is back inside, is a permutation
 of exactly the values of the format.  It depends on the key, the kind and the value alone, so equal values keep
@@ -18,8 +19,9 @@ equal pseudonyms in all documents, however they are spaced or punctuated, and th
 invalid number stays as it is, and the search goes on inside it; where a valid number overlaps an invalid one before
 it, the pseudonym may make that one valid by chance, and the text is then not inverted.  Nothing is shuffled.
 
-Nulls and edges: null text stays null; an empty text stays empty; all other columns, null ids and repeated rows
-pass unchanged.  Each text is processed whole.
+Nulls and edges: null text stays null; an empty text stays empty; an empty table gives no rows; all other columns,
+null ids and repeated rows pass unchanged.  A new column whose name is taken gets underscores at its end until it is
+not.  Each text is processed whole.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ from pyspark.sql import types as T
 from .shared import small_batches
 
 ROUNDS = 8
+#: Letters and digits that are permuted as one number, so that the work grows with an address' length alone.
+BLOCK = 64
+#: Longest value whose pseudonym a worker's cache holds.
+HELD = 256
 #: First day of the date format's range, and the number of its days.
 DAY_0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -49,12 +55,13 @@ class Feistel:
         self.half = max(1, ((n - 1).bit_length() + 1) // 2)
         self.mask = (1 << self.half) - 1
         self.size = -(-self.half // 8)
-        self.key = hashlib.blake2b(f"{tweak}:{n}".encode(), key=key[:64], digest_size=32).digest()
+        bound = n.to_bytes((n.bit_length() + 7) // 8, "big")
+        self.key = hashlib.blake2b(tweak.encode("utf-8", "surrogatepass") + b":" + bound, key=key[:64], digest_size=32).digest()
 
     def _round(self, i: int, x: int) -> int:
         out = b""
         while len(out) < self.size:
-            out += hashlib.blake2b(bytes([i, len(out) // 64]) + x.to_bytes(self.size, "big"), key=self.key, digest_size=min(64, self.size)).digest()
+            out += hashlib.blake2b(bytes([i]) + (len(out) // 64).to_bytes(4, "big") + x.to_bytes(self.size, "big"), key=self.key, digest_size=min(64, self.size)).digest()
         return int.from_bytes(out, "big") & self.mask
 
     def _once(self, x: int) -> int:
@@ -98,7 +105,7 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if "0" <= c <= "9" else c for c in shape)
 
 
-_ALPHABETS = [("abcdefghijklmnopqrstuvwxyz", 26), ("0123456789", 10)]
+_ALPHABETS = {"a": ("abcdefghijklmnopqrstuvwxyz", 26), "0": ("0123456789", 10)}
 
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
@@ -120,7 +127,7 @@ _FIND = re.compile(
     | (?P<ip>{_IP})
     | (?P<ssn>{_SSN})
     | (?P<phone>(?:\+?1[ .-]?)?\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|\+1[ .-]?[0-9]{{3}}[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}|(?:1[ .-])?[2-9][0-9]{{2}}(?P<sep>[ .-])[2-9][0-9]{{2}}(?P=sep)[0-9]{{4}})
-    | (?P<abroad>\+(?:{_CODE})(?:[ .-]?\(0\))?(?:[ .-]?\([0-9]{{1,5}}\))?(?:(?:[ .-](?!{_OTHER}))?[0-9]{{1,12}}){{1,7}}(?![:./-][0-9]))
+    | (?P<abroad>\+(?:{_CODE})(?:[ .-]?\(0\))?(?:[ .-]?\([0-9]{{1,5}}\))?(?:[ .-](?!{_OTHER}))?[0-9]{{1,14}}+(?:[ .-](?!{_OTHER})[0-9]{{1,12}}+){{0,6}}(?![:./-][0-9]))
     | (?P<card>[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{1,7}}|[0-9]{{4}}(?P<gap2>[ -])[0-9]{{6}}(?P=gap2)[0-9]{{5}})
     )(?(time)|(?!\w)(?!\.[0-9]))""",
     re.X,
@@ -135,13 +142,16 @@ class Pseudonyms:
     def __init__(self, key: bytes, back: bool = False):
         self.key, self.back = key, back
         self.network = lru_cache(maxsize=4096)(lambda kind, n: Feistel(key, kind, n))
-        self.value = lru_cache(maxsize=100_000)(self._value)
+        self.held = lru_cache(maxsize=100_000)(self._value)
 
     def _permuted(self, kind: str, n: int, x: int, inside: Callable[[int], bool] = lambda _: True) -> int:
         return self.network(kind, n)(x, inside, self.back)
 
-    def _value(self, kind: str, s: str) -> str | None:
+    def value(self, kind: str, s: str) -> str | None:
         """The pseudonym, or None where s is no valid value."""
+        return (self.held if len(s) <= HELD else self._value)(kind, s)
+
+    def _value(self, kind: str, s: str) -> str | None:
         return getattr(self, f"_{kind}")(s)
 
     def _card(self, s: str) -> str | None:
@@ -214,19 +224,22 @@ class Pseudonyms:
         return _refill(s, d[:-10] + f"{self._permuted('phone', 10**10, int(d[-10:]), dialled):010d}")
 
     def _string(self, kind: str, s: str) -> str:
-        """Letters a-z and digits of s permuted as one number; other characters stay."""
-        places, x, n = [], 0, 1
-        for c in s:
-            for letters, k in _ALPHABETS:
-                if c in letters:
-                    places.append((letters, k))
-                    x, n = x * k + letters.index(c), n * k
+        """Letters a-z and digits of s permuted as numbers, one a block; other characters stay."""
         shape = "".join("a" if "a" <= c <= "z" else "0" if "0" <= c <= "9" else c for c in s)
-        y, out = self._permuted(f"{kind}:{shape}", n, x), []
-        for letters, k in reversed(places):
-            y, r = divmod(y, k)
-            out.append(letters[r])
-        return "".join(out.pop() if "a" <= c <= "z" or "0" <= c <= "9" else c for c in s)
+        form = shape if len(shape) <= HELD else hashlib.blake2b(shape.encode("utf-8", "surrogatepass")).hexdigest()
+        places = [i for i, c in enumerate(shape) if c in "a0"]
+        out = list(s)
+        for a in range(0, len(places), BLOCK):
+            x, n, at = 0, 1, places[a : a + BLOCK]
+            for i in at:
+                letters, k = _ALPHABETS[shape[i]]
+                x, n = x * k + letters.index(s[i]), n * k
+            y = self._permuted(f"{kind}:{a}:{form}", n, x)
+            for i in reversed(at):
+                letters, k = _ALPHABETS[shape[i]]
+                y, r = divmod(y, k)
+                out[i] = letters[r]
+        return "".join(out)
 
     def _mail(self, s: str) -> str:
         rest, _, top = s.rpartition(".")
@@ -303,10 +316,12 @@ def _apply(key: bytes, column: str, count: str | None, back: bool):
 def pseudonymize(df: DataFrame, key: bytes, column: str = "text", count: str | None = None, back: bool = False) -> DataFrame:
     """``df`` with pseudonyms in a string column; with ``count``, a new last column of how many each row has.
 
+    A ``count`` that clashes with a column gets underscores until it doesn't.
+
     back: invert what the same key has done (dates written M/D/Y and D/M/Y only as far as their order is clear).
     """
     small_batches(df.sparkSession)
-    if count and count in df.columns:
-        raise ValueError(f"there is a column {count} already")
+    while count and count.lower() in [c.lower() for c in df.columns]:
+        count += "_"
     schema = T.StructType([*df.schema.fields, *([T.StructField(count, T.LongType())] if count else [])])
     return df.mapInArrow(_apply(key, column, count, back), schema)
