@@ -6,8 +6,9 @@ round prices the lengths, an unbounded knapsack over the capacity finds, for eac
 the best configuration that holds it, and lengths that are covered become cheaper.  The fractional solution is
 rounded down, then up wherever the pieces last, and what is left is placed best-fit, longest first.  The
 histogram has at most ``size`` rows and the number of configurations at most rounds * size, so the driver's part
-doesn't grow with the data.  Pieces are ranked within their length through salted buckets, and the rank gives the
-sequence and the offset by arithmetic; no group of pieces is collected.
+doesn't grow with the data.  A task counts its pieces of each length as it cuts them; the sums of the tasks before it
+make that a rank within the length, and the rank gives the sequence and the offset by arithmetic.  Pieces meet those
+sums by length and task, so that no key has more rows than a task has pieces, whatever is repeated.
 
 Nulls and edges: null text counts as empty; an empty text still has the closing id.  doc_id may be null or
 repeated: each row is packed.  An empty table gives no rows.  Only texts of more than ``size`` ids are cut.
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import saved, small_batches, string_column
 
-BUCKETS = 256
 ROUNDS = 24
 #: Entries that a worker's caches of word ids hold before they are emptied: some 50 MB, which a worker keeps over tasks.
 CACHE = 1 << 18
@@ -80,7 +81,7 @@ def word_ids(path: str) -> WordIds:
     return _caches[path]
 
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
 
 def _cut(path: str, size: int, end: int):
@@ -89,8 +90,9 @@ def _cut(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = word_ids(path)
         close, step = np.array([end], "<u4").tobytes(), 4 * size
+        task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
-            row, piece, length, crc = [], [], [], []
+            row, piece, length, crc, local = [], [], [], [], []
             for i, text in enumerate(string_column(batch, "text").to_pylist()):
                 if special[0] in text or special[1] in text:
                     ids = np.array(of.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + close
@@ -100,10 +102,13 @@ def _cut(path: str, size: int, end: int):
                     x = ids[p * step : (p + 1) * step]
                     row.append(i)
                     piece.append(p)
-                    length.append(len(x) // 4)
+                    n = len(x) // 4
+                    length.append(n)
                     crc.append(zlib.crc32(x))
+                    local.append(seen[n])
+                    seen[n] += 1
             p = np.array(piece, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(p.astype(np.int32)), pa.array(p * size), pa.array(np.array(length, np.int64)), pa.array(np.array(crc, np.int64)), pa.array((np.array(crc, np.int64) % BUCKETS).astype(np.int32))], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(p.astype(np.int32)), pa.array(p * size), pa.array(np.array(length, np.int64)), pa.array(np.array(crc, np.int64)), pa.array(np.full(len(p), task, np.int32)), pa.array(np.array(local, np.int64))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "local"])
 
     return run
 
@@ -263,11 +268,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> Dat
     small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     pieces = saved(text.mapInArrow(_cut(tokenizer, size, end), _PIECE), "pieces")
-    counted = pieces.groupBy("length", "bucket").agg(F.count("*").alias("k"))
+    counted = pieces.groupBy("length", "task").agg(F.count("*").alias("k"))
     histogram = counted.groupBy("length").agg(F.sum("k").alias("k")).orderBy("length").toArrow()  # at most ``size`` rows
     lengths, counts = histogram["length"].to_numpy(), histogram["k"].to_numpy()
     plan = best_plan(lengths, counts, size) if len(lengths) else []
-    base = counted.withColumn("base", F.sum("k").over(Window.partitionBy("length").orderBy("bucket")) - F.col("k")).select("length", "bucket", "base")
-    local = pieces.withColumn("local", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = local.join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("local") - 1)
+    base = counted.withColumn("base", F.sum("k").over(Window.partitionBy("length").orderBy("task")) - F.col("k")).select("length", "task", "base")
+    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("local"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(slots(plan, lengths)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
