@@ -1,10 +1,13 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
-Vectors are scaled to integers and laid out by dimension.  For each query the dimensions are taken in order of
-the query's mass, block by block; a candidate's score so far plus the largest that its remaining dimensions can
-add (Cauchy-Schwarz on the remaining masses) bounds its score, and candidates under the k-th best lower bound
-are compacted away.  Survivors have exact integer scores.  Each partition keeps k candidates a query, and a
-window ranks what the partitions kept.
+Vectors are scaled to integers and laid out by dimension, ``ROWS`` candidates at a time.  The dimensions of such a
+block have one order for all queries, by the mass of the candidates and the queries there, and the masses that remain
+after each ``DIMS`` of them are summed once.  Scores are accumulated some dimensions at a time; a candidate's score so
+far plus the largest that the remaining dimensions can add (Cauchy-Schwarz on the remaining masses) bounds its score.
+A query's k-th best score of the blocks before, or the k-th best lower bound in the first one, is what a bound must
+reach; as long as most candidates do, whole blocks of queries go on together, then each query compacts its survivors.
+Those have exact integer scores.  Each partition keeps k candidates a query, and a window ranks what they kept.
+Sums of integers below 2**53 are exact as doubles; vectors that could go beyond are multiplied as 64-bit integers.
 
 Queries are a stated set searched against all rows.  They go out in blocks of at most ``block`` rows, so what is
 broadcast doesn't grow with the data; with more than one block each block's result is written before the next.
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .shared import saved, shared_dir, small_batches
 
-#: Dimensions that are accumulated between two compactions, and candidates of one vertical block.
-DIMS, ROWS = 16, 8192
+#: Dimensions that are accumulated between two compactions, candidates of one vertical block, queries that go together.
+DIMS, ROWS, TOGETHER = 16, 8192, 256
+#: Queries go on together while this share of their candidates is alive.
+SHARE = 0.5
 
 
 def scaled(col, scale: int = 1024):
@@ -36,29 +41,62 @@ def scaled(col, scale: int = 1024):
     return F.transform(col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
 
 
-def branch_and_bound(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the k best of x (dimensions by candidates), ties to smaller ids; ids equal to own are left out."""
-    order = np.argsort(-np.abs(q), kind="stable")
-    cuts = range(0, len(order), DIMS)
-    alive = np.flatnonzero(ids != own)
-    part = np.zeros(len(alive), np.int64)
-    mass = np.zeros((len(cuts) + 1, x.shape[1]))  # of the dimensions from a block on
-    rest = np.zeros(len(cuts) + 1)
-    for b in range(len(cuts) - 1, -1, -1):
-        dims = order[cuts[b] : cuts[b] + DIMS]
-        mass[b] = mass[b + 1] + (x[dims].astype(float) ** 2).sum(0)
-        rest[b] = rest[b + 1] + (q[dims].astype(float) ** 2).sum()
-    for b, a in enumerate(cuts):
-        dims = order[a : a + DIMS]
-        part += q[dims] @ x[np.ix_(dims, alive)]
-        if len(alive) <= k or b + 1 == len(cuts):
-            continue
-        slack = np.sqrt(mass[b + 1][alive] * rest[b + 1]) * (1 + 1e-9) + 1
-        floor = np.partition(part - slack, len(alive) - k)[len(alive) - k]
-        keep = part + slack >= floor
-        alive, part = alive[keep], part[keep]
-    best = np.lexsort((ids[alive], -part))[:k]
-    return alive[best], part[best]
+class Block:
+    """Candidates in vertical layout (dimensions by rows), and what they need for a stated set of queries."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, queries: np.ndarray):
+        big = (int(np.abs(x).max(initial=0)), int(np.abs(queries).max(initial=0)))
+        kind = np.float64 if big[0] * big[1] * max(len(x), 1) < 1 << 53 else np.int64
+        mass, wanted = x.astype(float) ** 2, queries.astype(float) ** 2
+        order = np.argsort(-mass.sum(1) * wanted.sum(0), kind="stable")
+        self.ids, self.queries = ids, queries[:, order].astype(kind)
+        self.x = np.ascontiguousarray(x[order], dtype=kind)
+        self.cuts = [slice(a, a + DIMS) for a in range(0, len(order), DIMS)]
+        # masses of the dimensions beyond each cut
+        beyond = lambda m: [np.sqrt(m[c.stop :].sum(0)) for c in self.cuts]
+        self.rest, self.query_rest = beyond(mass[order]), beyond(wanted[:, order].T)
+
+    def search(self, at: slice, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For the queries ``at``: ids and scores of candidates among which are all of the k best not below ``floor``.
+
+        own: ids that aren't the query's candidates.  floor: scores that are reached already, or -inf.
+        """
+        queries, free = self.queries[at], self.ids[None] != own[:, None]
+        part = np.zeros((len(queries), len(self.ids)), self.x.dtype)
+        floor, out = floor.copy(), []
+        for b, dims in enumerate(self.cuts):
+            part += queries[:, dims] @ self.x[dims]
+            if b + 1 == len(self.cuts):
+                alive = free & (part >= floor[:, None])
+                break
+            slack = self._slack(part, self.query_rest[b][at, None] * self.rest[b][None])
+            open_ = np.isneginf(floor)
+            if open_.any() and len(self.ids) > k:
+                low = np.where(free[open_], part[open_] - slack[open_], -np.inf)
+                floor[open_] = np.partition(low, len(self.ids) - k, axis=1)[:, len(self.ids) - k]
+            alive = free & (part + slack >= floor[:, None])
+            if alive.mean() < SHARE:
+                break
+        for j in range(len(queries)):
+            rows = np.flatnonzero(alive[j])
+            score = part[j, rows]
+            for c in range(b + 1, len(self.cuts)):
+                dims = self.cuts[c]
+                score = score + queries[j, dims] @ self.x[dims][:, rows]
+                if c + 1 < len(self.cuts):
+                    slack = self._slack(score, self.query_rest[c][at][j] * self.rest[c][rows])
+                    least = floor[j]
+                    if len(rows) > k:
+                        least = max(least, np.partition(score - slack, len(rows) - k)[len(rows) - k])
+                    keep = score + slack >= least
+                    rows, score = rows[keep], score[keep]
+            out.append((self.ids[rows], score.astype(np.int64)))
+        return out
+
+    @staticmethod
+    def _slack(part: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """What the remaining dimensions can add or take, with room for rounding."""
+        return most * (1 + 1e-9) + np.abs(part) * 1e-12 + 1
 
 
 def _matrix(col: pa.ListArray, dims: int) -> np.ndarray:
@@ -85,11 +123,14 @@ def _partial(ids: np.ndarray, vectors: np.ndarray, k: int):
             t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             cand, x = t["id"].to_numpy(), _matrix(t["v"].chunk(0), vectors.shape[1])
-            for j, q in enumerate(vectors):
-                at, score = branch_and_bound(x, cand, q, ids[j], k)
-                v, s = np.r_[best[j][0], cand[at]], np.r_[best[j][1], score]
-                top = np.lexsort((v, -s))[:k]
-                best[j] = v[top], s[top]
+            block = Block(x, cand, vectors)
+            for a in range(0, len(ids), TOGETHER):
+                some = range(a, min(a + TOGETHER, len(ids)))
+                floor = np.array([best[j][1][-1] if len(best[j][1]) == k else -np.inf for j in some])
+                for j, (v, s) in zip(some, block.search(slice(a, some.stop), ids[a : some.stop], floor, k), strict=True):
+                    v, s = np.r_[best[j][0], v], np.r_[best[j][1], s]
+                    top = np.lexsort((v, -s))[:k]
+                    best[j] = v[top], s[top]
 
         rows = 0
         for batch in batches:
