@@ -134,6 +134,16 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_copies_pack_over_all_tasks(spark):
+    """100,000 copies of one document: no key of the plan has more rows than a task of the scan."""
+    path = entries.vocabulary("word_bpe_49k.json")
+    copies = spark.range(0, 100_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
+    out = packing.pack(copies, path, 64, 1)
+    per = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.max("offset").alias("o"), F.countDistinct("offset").alias("d"))
+    assert per.where("n > 64 or o <> (k - 1) * 4 or d <> k").isEmpty()
+    assert (out.count(), out.select("doc_id").distinct().count(), per.count()) == (100_000, 100_000, 6250)
+
+
 def test_word_ids_equal_tokenizer():
     of = packing.WordIds(entries.vocabulary("word_bpe_49k.json"))
     for text in ["Don't STOP!! it's 12,5 naïve_x² ½ ÄÖß…", "漢字 İx é a b­c", "x" * 300, "a\tb\x0bc\x1cd"]:
@@ -162,26 +172,38 @@ def test_pseudonyms_keep_other_columns(spark):
     assert {r.text for r in out.where("doc_id = 1").collect()} == {None}
 
 
-def test_token_counts_equal_viterbi(spark):
+def test_token_counts_equal_viterbi(spark, monkeypatch):
     pieces = token_count.unigram(entries.vocabulary("piece_bpe_32k.model"))
-    trie = token_count.Trie(pieces, nodes=50, long=20)
+    whole = token_count.Counter(pieces)
 
     def viterbi(word):
-        best = [(0.0, 0)] + [(-1e18, 0)] * len(word)
+        best = [(0, 0)]
         for d in range(1, len(word) + 1):
-            b = len(word[d - 1].encode())
-            best[d] = (best[d - 1][0] + trie.unknown * b, best[d - 1][1] + b)
-            for k in range(1, min(d, trie.longest) + 1):
+            ways = [(best[-1][0] + whole.pieces.byte, best[-1][1] - 1)]
+            for k in range(1, min(d, whole.pieces.longest) + 1):
                 if (s := pieces.get(word[d - k : d])) is not None:
-                    x = (best[d - k][0] + s, best[d - k][1] + 1)
-                    if x[0] > best[d][0] or x[0] == best[d][0] and x[1] < best[d][1]:
-                        best[d] = x
-        return best[-1][1]
-
-    for w in ["hello", "help", "helper", "漢字x", "antidisestablishmentarianism" * 2, "é", "hello"]:
-        assert trie.count("▁" + w) == viterbi("▁" + w)
+                    ways.append((best[d - k][0] + s, best[d - k][1] - 1))
+            best.append(max(ways))
+        return -best[-1][1]
+
+    rng = np.random.default_rng(1)
+    words = {"".join(rng.choice(list("abcdefghinorst" * 3 + "XY.,é漢字\U0001f600ü"), int(rng.integers(1, 20)))).encode() for _ in range(400)}
+    words = [*words, b"", b"hello", b"help", b"helper", "é".encode() * 700, b"x" * 2500]
+    want = [viterbi(token_count.MARK + w) if w else 0 for w in words]
+    # also with a cache, groups and a longest word so small that all their limits are met, and asked twice
+    small = token_count.Counter(pieces, held=50, group=37, long=11)
+    for counter in (whole, small, small):
+        assert counter.counts(words).tolist() == want
+    assert whole._alone(token_count.MARK + words[-2], 50) == want[-2]
+    by_word = dict(zip(words, want, strict=True))
+    rows = [(i, b" \x0b\n".join(words[:i]).decode(), "a") for i in range(40)] + EDGE
+    for block in (16_000_000, 10):
+        monkeypatch.setattr(token_count, "BLOCK_BYTES", block)
+        got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_count.token_counts(docs(spark, rows[:40]), entries.vocabulary("piece_bpe_32k.model")).collect()}
+        assert got == {i: (i, sum(by_word[w] for w in words[:i])) for i in range(40)}
     got = token_count.token_counts(docs(spark, EDGE), entries.vocabulary("piece_bpe_32k.model")).collect()
     assert len(got) == len(EDGE) and sorted((r.n_words, r.n_tokens) for r in got if r.doc_id in (1, 2, 3)) == [(0, 0)] * 3
+    assert token_count.token_counts(docs(spark, []), entries.vocabulary("piece_bpe_32k.model")).count() == 0
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
@@ -202,6 +224,38 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert vector_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share, dims, rows, scale", [(0.5, 16, 64, 1 << 10), (1.1, 4, 100, 1 << 10), (0.0, 7, 33, 1 << 10), (1.1, 16, 64, 1 << 24), (0.5, 5, 1000, 1 << 24)])
+def test_blocks_keep_the_best(monkeypatch, share, dims, rows, scale):
+    """Candidates in many blocks, compaction early or never, ties, repeated ids, and integers too large for doubles."""
+    monkeypatch.setattr(vector_search, "SHARE", share)
+    monkeypatch.setattr(vector_search, "DIMS", dims)
+    rng = np.random.default_rng(rows)
+    x = np.floor(rng.normal(0, 1, (600, 24)) * rng.gamma(1, 1, (600, 1)) * scale).astype(np.int64)
+    x[100:140] = x[3]
+    ids = np.arange(600) % 580
+    q, own = x[:30], ids[:30]
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in own]
+    for a in range(0, 600, rows):
+        block = vector_search.Block(x[a : a + rows].T.copy(), ids[a : a + rows], q)
+        floor = np.array([b[1][-1] if len(b[1]) == 10 else -np.inf for b in best])
+        for j, (v, s) in enumerate(block.search(slice(0, 30), own, floor, 10)):
+            v, s = np.r_[best[j][0], v], np.r_[best[j][1], s]
+            top = np.lexsort((v, -s))[:10]
+            best[j] = v[top], s[top]
+    for j in range(30):
+        s = x @ q[j]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != own[j]][:10]
+        assert best[j][0].tolist() == ids[order].tolist() and best[j][1].tolist() == s[order].tolist()
+
+
+def test_top_k_of_repeated_ids(spark):
+    """A repeated id is a candidate once for each row, and a query once, by the vector that sorts first."""
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 1.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0, 5.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = vector_search.top_k(df, df.where("id = 0"), 10, 1).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 3), (0, 2, 1, 3), (0, 3, 2, 1)]
+
+
 def test_language_id_learns(spark):
     out = entries.op8(spark, DIR).join(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     held = out[out.held_out & (out.lang_pred != "und")]
