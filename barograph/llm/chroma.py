@@ -6,7 +6,9 @@ each response is quantised to two bits in Gray code, and the sixteen make one pa
 
 Two recordings are aligned by the offsets of their equal integers: offsets with enough of them are tested by the share
 of differing bits over the whole overlap, those with most first, until one passes; among equally many the smaller share
-of differing bits wins, then the smaller offset.  A stated set of query recordings is aligned with all rows: queries go out in
+of differing bits wins, then the smaller offset.  Integers that both repeat often, as in silence or a steady tone, are
+counted for all offsets at once by a Fourier transform of their places, and so are the differing bits of a pair whose
+first ``TESTS`` offsets fail, so that no pair costs the product of its lengths.  A stated set of query recordings is aligned with all rows: queries go out in
 blocks of at most ``block`` integers, whatever the size of the table, and each row comes once for every class of
 queries that it aligns with.  Queries of one and the same fingerprint form a class, which stands in the result by its
 smallest id other than the row's own; ``all_pairs`` puts every member in its place, so that none is lost.
@@ -21,8 +23,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,10 @@ LEVEL = 0.12
 LEAST_VOTES, MOST_ERROR = 4, 0.35
 #: Pairs of equal integers that one step holds.
 PAIRS = 1_000_000
+#: Pairs of places of one integer that are counted one by one, for each frame of both recordings and beside it.
+PAIRS_FRAME, PAIRS_LEAST = 4, 4096
+#: Offsets of a pair that are tested one by one.
+TESTS = 16
 
 
 def pitch_classes() -> np.ndarray:
@@ -137,22 +141,44 @@ class Queries:
 
     def votes(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, offset, number of equal integers, wherever these are enough: by query, then most first, then by offset."""
-        lo, hi = np.searchsorted(self.value, items, "left"), np.searchsorted(self.value, items, "right")
-        many = hi - lo
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        value, inverse, times = np.unique(items, return_inverse=True, return_counts=True)
+        lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
+        often = times * (hi - lo) > PAIRS_LEAST
         span = 1 << 31
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def add(query, offset, n) -> None:
+            nonlocal keys, counts
+            keys, at = np.unique(np.r_[keys, query * (2 * span) + offset + span], return_inverse=True)
+            counts = np.bincount(at, np.r_[counts, n]).astype(np.int64)
+
+        some = np.flatnonzero(~often[inverse])
+        first, many = lo[inverse[some]], (hi - lo)[inverse[some]]
         upto = np.cumsum(many)
         a = 0
-        while a < len(items):
+        while a < len(some):
             b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
             m = many[a:b]
             if m.any():
-                at = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-                offset = np.repeat(np.arange(a, b), m) - self.place[at]
-                k, c = np.unique(self.owner[at] * (2 * span) + offset + span, return_counts=True)
-                keys, inverse = np.unique(np.r_[keys, k], return_inverse=True)
-                counts = np.bincount(inverse, np.r_[counts, c]).astype(np.int64)
+                at = np.repeat(first[a:b] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                k, c = np.unique(self.owner[at] * (2 * span) + np.repeat(some[a:b], m) - self.place[at] + span, return_counts=True)
+                add(k // (2 * span), k % (2 * span) - span, c)
             a = b
+        # integers with many pairs, query by query: either few there, or counted for all offsets at once
+        whole: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for i in np.flatnonzero(often):
+            mine, owner, place = np.flatnonzero(inverse == i), self.owner[lo[i] : hi[i]], self.place[lo[i] : hi[i]]
+            for at in np.split(np.arange(len(owner)), np.flatnonzero(owner[1:] != owner[:-1]) + 1):
+                q = int(owner[at[0]])
+                if len(mine) * len(at) > PAIRS_FRAME * (len(items) + self.length[q]) + PAIRS_LEAST:
+                    whole.setdefault(q, []).append((mine, place[at]))
+                else:
+                    k, c = np.unique((mine[:, None] - place[at][None]).ravel(), return_counts=True)
+                    add(q, k, c)
+        for q, both in whole.items():
+            n = correlation(((_marks(x, len(items)), _marks(y, int(self.length[q]))) for x, y in both), len(items), int(self.length[q]))
+            at = np.flatnonzero(n)
+            add(q, at - self.length[q] + 1, n[at])
         query, offset = keys // (2 * span), keys % (2 * span) - span
         enough = counts >= np.minimum(np.minimum(LEAST_VOTES, len(items)), self.length[query])
         query, offset, counts = query[enough], offset[enough], counts[enough]
@@ -164,23 +190,60 @@ class Queries:
         found = []
         if not len(items):
             return found
-        for q, tests in groupby(zip(*(x.tolist() for x in self.votes(items)), strict=True), key=itemgetter(0)):
+        query, offset, votes = self.votes(items)
+        at = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(query)], strict=False):
+            q = int(query[a])
             i = self.second[q] if self.first[q] == own else self.first[q]
-            if i is None:
-                continue
-            other, best = self.items[q], None
-            for _, o, v in tests:
-                if best and v < best[1]:
-                    break
-                x, y = items[max(o, 0) : len(other) + o], other[max(-o, 0) : len(items) - o]
-                error = float(np.bitwise_count(x ^ y).sum()) / (32 * len(x))
-                if error <= MOST_ERROR and (best is None or error < best[2]):
-                    best = o, v, error
+            best = None if i is None else best_offset(items, self.items[q], offset[a:b], votes[a:b])
             if best:
                 found.append((i, self.names[q], *best))
         return found
 
 
+def _marks(places: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    out[places] = 1
+    return out
+
+
+def correlation(pairs, n: int, m: int) -> np.ndarray:
+    """Sums over pairs (x of n, y of m) of x[i] * y[i - offset], rounded to whole numbers: for offsets 1 - m .. n - 1."""
+    size = 1 << (n + m - 1).bit_length()
+    total = np.zeros(size // 2 + 1, complex)
+    for x, y in pairs:
+        total += np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size))
+    out = np.rint(np.fft.irfft(total, size)).astype(np.int64)
+    return np.r_[out[size - m + 1 :], out[:n]]
+
+
+def best_offset(items: np.ndarray, other: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple[int, int, float] | None:
+    """Offset, votes and share of differing bits: of the offsets that pass those with most votes, then the smallest share."""
+    best = None
+    for o, v in zip(offset[:TESTS].tolist(), votes[:TESTS].tolist(), strict=True):
+        if best and v < best[1]:
+            return best
+        x, y = items[max(o, 0) : len(other) + o], other[max(-o, 0) : len(items) - o]
+        error = float(np.bitwise_count(x ^ y).sum()) / (32 * len(x))
+        if error <= MOST_ERROR and (best is None or error < best[2]):
+            best = o, v, error
+    offset, votes = offset[TESTS:], votes[TESTS:]
+    if not len(offset) or best and votes[0] < best[1]:
+        return best
+    signs = lambda x, b: 1.0 - 2.0 * (x >> np.uint32(b) & np.uint32(1))
+    same = correlation(((signs(items, b), signs(other, b)) for b in range(32)), len(items), len(other))
+    bits = 32 * (np.minimum(len(other) + offset, len(items)) - np.maximum(offset, 0))
+    error = (bits - same[offset + len(other) - 1]) / 2 / bits
+    fits = np.flatnonzero(error <= MOST_ERROR)
+    if len(fits):
+        fits = fits[votes[fits] == (best[1] if best else votes[fits[0]])]
+    if len(fits):
+        k = fits[np.argmin(error[fits])]
+        if best is None or error[k] < best[2]:
+            best = int(offset[k]), int(votes[k]), float(error[k])
+    return best
+
+
 #: Columns of a row, and of its alignment.
 ROW = ("id", "n_items", "items_crc32", "fingerprint")
 PAIR = {"query_id": "long", "query_fingerprint": "string", "offset": "long", "votes": "long", "bit_error": "double"}
