@@ -9,11 +9,13 @@ costs time, never a link.  These short lists of shingles give blocks of document
 whole sets: the short ones are heap-merged, the long ones binary-probed, and documents with the required
 overlap are linked.  A large block is dealt into chunks.  First each chunk is searched by itself, together with
 the block's first document; then only documents outside the block's largest component are queries against the
-other chunks.  So a group of near copies is linked without its pairs, and no task gets an unbounded group.
+other chunks.  So a group of near copies is linked without its pairs, and no task gets an unbounded group.  Joins by
+shingle, set, block or hub of a component take what is hot there by broadcast: fewer keys than a fixed number.
 
 Nulls and edges: null or empty text gives an empty set, linked with nothing (n_shingles 0, component_id its own
 doc_id); a text with fewer words than n gives one shingle.  A null doc_id takes part in nothing and keeps a null
-component_id; doc_id is taken as unique, and repeated rows fall into one class.  Other columns are not touched.
+component_id.  Repeated rows fall into one class; where rows of one doc_id differ in their sets, the greatest text by
+code point counts for all of them.  An empty table gives no rows.  Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import found, gram_hashes, maybe, mixed, raw, saved, shingle_sets, small_batches, steps, string_column, word_hashes
+from .shared import even_join, found, gram_hashes, maybe, mixed, raw, saved, shingle_sets, small_batches, steps, string_column, without, word_hashes
 
 #: Words or shingles kept before the frequent ones among them are counted off.
 SEGMENT = 1 << 22
@@ -201,13 +203,13 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """
     e = edges.select("x", "y").where("x <> y").distinct()
     while True:
-        both = e.select("x", "y").unionAll(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        both = saved(e.select("x", "y").unionAll(e.select(F.col("y").alias("x"), F.col("x").alias("y"))), f"{tag}-both")
+        least = saved(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("many")), f"{tag}-least")
+        large = even_join(both, least, ["x"], both.count()).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         large = large.unionAll(least.where("m < x").select("x", F.col("m").alias("y"))).where("x <> y").distinct()
         large = saved(large, f"{tag}-large")
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        least = saved(large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("many")), f"{tag}-least")
+        small = even_join(large, least, ["x"], large.count()).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         small = small.unionAll(least.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
         small = saved(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), f"{tag}-small")
         # done when every document has one link and no link leads to a document that has one
@@ -229,26 +231,40 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     order = spark.sparkContext.broadcast((keys[by], seen[by]))
     sets = saved(text.mapInArrow(_sets(n, num, den, order), "doc_id long, n long, one long, two long, least long, prefix array<long>"), "sets")
     key = ["n", "one", "two"]
+    unlike = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"))
+    unlike = saved(unlike.where("a <> b").select("doc_id"), "unlike")
+    if not unlike.isEmpty():
+        one = maybe(text, unlike).join(unlike, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        groups = saved(jaccard_groups(without(text, unlike).unionByName(one), n, num, den, heavy), "groups")
+        of_one = groups.join(unlike, "doc_id", "left_semi")
+        return without(groups, unlike).unionByName(maybe(text, unlike).select("doc_id").join(of_one, "doc_id"))
+    rows = sets.count()
     full = sets.where("n > 0 and doc_id is not null")
-    reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    first = full.select("doc_id", "least", "prefix").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # one exchange serves the counts and the join; heavy shingles are last in their order, so it is even
-    posts = first.select("doc_id", F.explode("prefix").alias("shingle")).where(_FULL).repartition("shingle")
-    held = saved(posts.join(_lists(posts).select("shingle"), "shingle"), "posts")
+    reps = saved(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")), "reps")
+    first = full.select("doc_id", "least", "prefix").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    posts = saved(first, "first").select("doc_id", F.explode("prefix").alias("shingle")).where(_FULL)
+    # shingles that may stand in more than a thousandth of the documents: at most ``heavy``
+    hot = keys.view(np.int64)[seen * 1000 > rows]
+    hot = spark.createDataFrame(pa.table({"shingle": hot})) if len(hot) else None
+    held = saved(_in_lists(posts, hot).select("doc_id", "shingle"), "posts")
     enough = held.groupBy("doc_id").agg(F.count("*").alias("k")).join(sets.where("n > 0").groupBy("doc_id").agg(F.min("least").alias("least")), "doc_id")
     enough = saved(enough.where("k >= least").select("doc_id", "least"), "enough")
-    held = saved(held.join(enough, "doc_id", "left_semi"), "held").where(_FULL).repartition("shingle")
-    inside = held.join(_lists(held), "shingle").groupBy("block", "doc_id").agg(F.count("*").alias("k"))
-    inside = saved(_needed(inside.join(enough, "doc_id")), "blocks")
+    held = saved(held.join(enough, "doc_id", "left_semi"), "held").where(_FULL)
+    inside = _in_lists(held, hot).groupBy("block", "doc_id").agg(F.count("*").alias("k"))
+    inside = saved(_needed(inside.join(enough, "doc_id")), "in-blocks")
+    many = saved(inside.groupBy("block").agg(F.count("*").alias("many")), "many")
+    inside = saved(even_join(inside, many, ["block"], inside.count()).where("many > 1").drop("many"), "blocks")
     wanted = saved(inside.select("doc_id").distinct(), "wanted")
     sizes = full.select("doc_id", "n").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n").alias("m"), F.count("*").alias("rows"))
     sizes = saved(sizes, "sizes")
     near = maybe(text, wanted)
     # only where ids repeat do texts need a shuffle to stand once
     repeated = not sizes.where("rows > 1").isEmpty()
-    width = inside.join(sizes, "doc_id").groupBy("block").agg(F.count("*").alias("k"), F.sum("m").alias("m"))
-    width = width.select("block", F.greatest(F.ceil(F.col("k") / CHUNK_DOCS), F.ceil(F.col("m") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    dealt = saved(inside.join(width, "block").select("block", "doc_id", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")), "dealt")
+    width = inside.join(sizes, "doc_id").groupBy("block").agg(F.count("*").alias("many"), F.sum("m").alias("m"))
+    chunks = F.greatest(F.ceil(F.col("many") / CHUNK_DOCS), F.ceil(F.col("m") / CHUNK_SHINGLES)).cast("int")
+    width = saved(width.select("block", "many", chunks.alias("chunks")), "width")
+    dealt = even_join(inside, width, ["block"], inside.count())
+    dealt = saved(dealt.select("block", "doc_id", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk")), "dealt")
 
     def sets_of(these: DataFrame) -> DataFrame:
         """These ids and tasks with their whole sets: the text goes through the join, as it is smaller than the hashes."""
@@ -268,8 +284,10 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     if not large.isEmpty():
         # what is not in the largest component of its block searches the block's other chunks
         labelled = large.join(found, "doc_id", "left").select("block", "doc_id", "chunks", "chunk", F.coalesce("component", "doc_id").alias("group"))
-        held = labelled.groupBy("block", "group").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups"))
-        labelled = saved(labelled.join(held.where("groups > 1"), "block").withColumn("searches", F.col("group") != F.col("main")), "labelled")
+        labelled = saved(labelled, "labelled-all")
+        held = labelled.groupBy("block", "group").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("many"))
+        held = saved(held.where("groups > 1").select("block", "main", "many"), "main")
+        labelled = saved(even_join(labelled, held, ["block"], labelled.count()).withColumn("searches", F.col("group") != F.col("main")), "labelled")
         # task (i, j): searching documents of chunk i, all of chunk j
         asks = labelled.where("searches").select("block", F.col("chunk").alias("i"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("j"), "doc_id", "group", "searches")
         busy = asks.select("block", "i", "j").distinct()
@@ -280,8 +298,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
         if not more.isEmpty():
             found = components(links.unionAll(more), "components-all")
 
-    classes = reps.join(found.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    linked = full.select("doc_id", *key).join(classes, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = reps.join(found.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select(*key, "many", F.coalesce("component", "rep").alias("component_id"))
+    linked = even_join(full.select("doc_id", *key), saved(classes, "classes"), key, rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
 
@@ -294,6 +312,17 @@ def _lists(posts: DataFrame) -> DataFrame:
     return posts.groupBy("shingle").agg(F.min("doc_id").alias("block"), F.max("doc_id").alias("last")).where("block < last").select("shingle", "block")
 
 
+def _in_lists(posts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """doc_id, shingle, block of what stands in a list; ``hot`` shingles are never dealt by shingle."""
+    cold = posts if hot is None else posts.join(F.broadcast(hot), "shingle", "left_anti").select("doc_id", "shingle")
+    cold = cold.repartition("shingle")
+    out = cold.join(_lists(cold), "shingle")
+    if hot is not None:
+        warm = posts.join(F.broadcast(hot), "shingle", "left_semi")
+        out = out.unionByName(warm.join(F.broadcast(_lists(warm)), "shingle"))
+    return out
+
+
 #: What Spark would add to one side of a join alone.
 _FULL = "doc_id is not null and shingle is not null"
 
@@ -306,8 +335,7 @@ def _needed(inside: DataFrame) -> DataFrame:
     """
     others = Window.partitionBy("doc_id").orderBy("k", "block").rowsBetween(Window.unboundedPreceding, 0)
     kept = inside.withColumn("left", F.sum(F.when(F.col("doc_id") != F.col("block"), F.col("k")).otherwise(0)).over(others))
-    kept = kept.where("doc_id = block or left > (least - 1) div 2").select("block", "doc_id")
-    return kept.join(kept.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block"), "block", "left_semi")
+    return kept.where("doc_id = block or left > (least - 1) div 2").select("block", "doc_id")
 
 
 def _shingles(n: int):

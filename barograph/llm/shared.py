@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Most bytes of text that one numpy step takes, unless a single document is longer.
 STEP_BYTES = 2_000_000
 #: Rows of one Arrow batch: a few MB of ordinary documents.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder in the warehouse on a cluster, and a temporary one in local mode, as in tests.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='barograph-')}"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        folder = f"file://{tempfile.mkdtemp(prefix='barograph-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/barograph-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Folders of ``saved``, and how to remove each.
+_written: dict[str, Callable[[], None]] = {}
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
-    Shuffles of the write are removed when it ends; nothing reads them again.
+    Shuffles of the write are removed when it ends; nothing reads them again.  The tables go by ``forget``, at the
+    latest when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -48,13 +59,40 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
+    place, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+    _written[path] = lambda: place.getFileSystem(conf).delete(place, True)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers get, so that long texts don't add up."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def written() -> set[str]:
+    """The tables of ``saved`` that are still there."""
+    return set(_written)
+
+
+@atexit.register
+def forget(paths: set[str] | None = None) -> None:
+    """Remove tables of ``saved``, all of them by default: for when nothing reads them any more."""
+    for path in written() if paths is None else paths:
+        remove = _written.pop(path)
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            remove()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get, so that long texts don't add up; the same for all operators."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") != str(BATCH_ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def even_join(rows: DataFrame, one: DataFrame, keys: list[str], total: int, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row a key, and in ``many`` how many of ``total`` rows the key has.
+
+    Keys of more than a ``share``-th of all rows, so fewer than ``share``, are joined by broadcast, the others by a
+    shuffle; no task gets the rows of a hot key.  Both tables are read more than once.
+    """
+    hot = one.where(F.col("many") > total / share)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col("many") <= total / share), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
 def word_count(text: Column) -> Column:
@@ -208,15 +246,28 @@ def bounded_rows(df: DataFrame, most: int) -> list | None:
 BITMAPS = 2048
 
 
-def maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id may be in ``wanted``, before any shuffle; a join must follow.
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with ``may``: whether doc_id may be in ``wanted``.
 
     Hashes of the wanted ids set bits in a bitmap of fixed size, which is broadcast.  Nothing wanted is lost; the more
-    ids there are for the bitmap's bits, the more other rows stay.
+    ids there are for the bitmap's bits, the more other rows may be in it.
     """
     bits = 1 << 15
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAPS * bits))
     marks = wanted.groupBy((F.floor(place / bits)).alias("bucket")).agg(F.bitmap_construct_agg((place % bits).cast("int")).alias("bitmap"))
     byte = F.conv(F.hex(F.expr("substring(bitmap, cast(place % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    kept = docs.withColumn("place", place).join(F.broadcast(marks), F.floor(F.col("place") / bits) == F.col("bucket"))
-    return kept.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*docs.columns)
+    both = docs.withColumn("place", place).join(F.broadcast(marks), F.floor(F.col("place") / bits) == F.col("bucket"), "left")
+    may = F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1, F.lit(False))
+    return both.select(*docs.columns, may.alias("may"))
+
+
+def maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``wanted``, before any shuffle; a join must follow."""
+    return _marked(docs, wanted).where("may").drop("may")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``; only those that may be there are shuffled."""
+    marked = _marked(docs, gone)
+    unsure = marked.where("may").drop("may").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    return marked.where("not may").drop("may").unionByName(unsure.select(*docs.columns))
