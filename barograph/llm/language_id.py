@@ -3,13 +3,13 @@
 Filters of several widths run over the bytes of a fixed-length window; the largest response of each filter over
 the window, rectified, goes into a softmax layer.  On bytes as one-hot vectors a filter is a table of 256 weights
 for each of its places, so a convolution is a sum of looked-up rows.  The network is trained by Adam with label
-windows on the driver from a bounded sample: at most ``per_language`` documents of each of at most ``languages``
-labels, the ones of smallest seeded hash, a window at a hashed place of each.  It is applied to every window of every
+windows on the driver from a bounded sample: at most ``per_language`` documents of every label, fewer where all labels
+together would have more than ``most``, the ones of smallest seeded hash, a window at a hashed place of each.  It is applied to every window of every
 whole text; a text's probabilities are the normalised geometric mean over its windows, weighed by their bytes.
 
 Nulls and edges: a text that is null or has no letter gives ``und`` with score 0, and so does every text if no
 labelled row may be learned from.  Null labels are never learned.  Null and repeated ids give a row each; a null
-id is not held out.  An empty table gives no rows.  Other columns are not used.
+id is not held out.  An empty table gives no rows.  Other columns are not used; ``keep`` passes some of them on.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import raw, small_batches, steps, string_column
+from .shared import bounded_rows, raw, small_batches, steps, string_column
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -34,6 +35,8 @@ STEPS = 700
 #: Bytes of text whose windows are convolved in one step.
 STEP = 48_000
 UND = "und"
+#: Labels whose counts are sent to the scan; more are joined by a shuffle.
+LABELS = 10_000
 
 
 class ByteNet:
@@ -154,7 +157,8 @@ def _predict(net: ByteNet):
             letter = batch.column(batch.schema.get_field_index("letter")).to_numpy(zero_copy_only=False).astype(bool)
             best = p.argmax(1)
             lang = np.where(letter, np.array(net.languages, object)[best], UND)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")), pa.array(lang, pa.string()), pa.array(np.where(letter, p[np.arange(len(p)), best], 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            score = np.where(letter, p[np.arange(len(p)), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-2], "lang_pred", "score"])
 
     return run
 
@@ -163,34 +167,43 @@ def fold(doc_id: Column, folds: int = 4) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, per_language: int = 1024, languages: int = 64, seed: int = 7) -> pa.Table:
-    """At most ``per_language`` rows (sample, lang) of each of the ``languages`` most frequent labels.
+def training_rows(docs: DataFrame, per_language: int = 1024, most: int = 1 << 17, seed: int = 7) -> pa.Table:
+    """At most ``per_language`` rows (sample, lang) of every label, or ``most`` over the number of labels, but one at least.
 
     Labels are counted first, then a hash threshold leaves about four times the bound to rank, so that a hot
     label is never sorted as a whole.
     """
-    counts = docs.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(languages).collect()
-    if not counts:
-        return pa.table({"sample": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
+    counts = docs.groupBy("lang").agg(F.count("*").alias("k"))
+    rows = bounded_rows(counts, LABELS)
+    labels = len(rows) if rows is not None else counts.count()
+    each = max(1, min(per_language, most // max(labels, 1)))
+    counts = counts if rows is None else F.broadcast(docs.sparkSession.createDataFrame(rows, counts.schema))
     h = F.xxhash64(F.lit(seed), "doc_id", "text")
     share = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
-    # labels' bounds go into the filter as literals: at most ``languages`` of them
-    enough = F.lit(False)
-    for r in counts:
-        enough = enough | ((F.col("lang") == r["lang"]) & (share < min(1.0, 4 * per_language / r["k"])))
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
-    some = docs.where(enough).select("lang", h.alias("h"), F.substring("text", start, F.lit(WINDOW)).alias("sample"))
+    some = docs.select("lang", h.alias("h"), share.alias("share"), F.substring("text", start, F.lit(WINDOW)).alias("sample")).join(counts, "lang")
+    some = some.where(F.col("share") * F.col("k") < 4 * each)
     order = Window.partitionBy("lang").orderBy("h", "sample")
-    return some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).orderBy("lang", "r").select("sample", "lang").toArrow()
+    return some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).orderBy("lang", "r").select("sample", "lang").toArrow()
 
 
-def identify(docs: DataFrame, held_out: Column, per_language: int = 1024) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang); rows held out aren't learned from."""
-    small_batches(docs.sparkSession, 500)
+def identify(docs: DataFrame, held_out: Column, per_language: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang); rows held out aren't learned from.
+
+    keep: columns of ``docs`` that come before these as they are, so that no join has to bring them back.
+    """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     letter = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     learn = own.where(~F.col("held_out") & F.col("lang").isNotNull() & letter)
     net = train(training_rows(learn, per_language))
+    passed = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    given = [*passed, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")]
+    text = F.col("text").cast("string")
     if net is None:
-        return own.select("doc_id", "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return own.select("doc_id", "text", "held_out", letter.alias("letter")).mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+        out = docs.select(*given, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    else:
+        rows = docs.select(*given, text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letter"))
+        schema = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        out = rows.mapInArrow(_predict(net), schema)
+    return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *(c for c in ("doc_id", "held_out", "lang_pred", "score") if c not in keep))
