@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.normal import norm_cdf, norm_ppf, student_sf
-from .operators import adjust, backtest, costs, environment, evidence, metrics, panel, quality, stats, temporal
+from .operators import adjust, backtest, costs, environment, evidence, gates, metrics, panel, quality, stats, temporal
 from .plans import tables as t
 from .session import table
 
@@ -191,16 +191,144 @@ def _(s, d):
     return x.select("ticker", "passed", quality.independence(F.col("frac_identical")).alias("independence"))
 
 
-@query("g1_coverage", f"WITH {t.ONE_BAR}, {_CAL}, k AS (SELECT DISTINCT ticker FROM one), m AS (SELECT k.ticker, cal.date FROM k, cal WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.ticker = k.ticker AND x.date = cal.date)) SELECT 'coverage' AS gate, count(*) = 0 AS passed, count(*) AS n_problems, coalesce((SELECT string_agg(p, '; ' ORDER BY p) FROM (SELECT ticker || ' ' || date AS p FROM m ORDER BY p LIMIT 3)), '') AS detail FROM m")
+# ------------------------------------------------------------------ gates; each has faults planted by rule
+
+
+def _wanted(s, *names):
+    return s.createDataFrame([(n,) for n in names], "ticker string")
+
+
+#: From a CTE ``problems`` (d): the gate's row.
+_VERDICT = "SELECT '{name}' AS gate, count(*) = 0 AS passed, count(*) AS n_problems, coalesce((SELECT string_agg(d, '; ' ORDER BY d) FROM (SELECT d FROM problems ORDER BY d LIMIT 3)), '') AS detail FROM problems"
+_NOW = "1998-06-05 19:59:00"
+
+
+@query("g1_coverage", f"""WITH {t.ONE_BAR}, {_CAL}, w(ticker) AS (VALUES ('A'), ('N'), ('Z')), c AS (SELECT date FROM cal WHERE date < DATE '1998-06-05'),
+k AS (SELECT DISTINCT ticker, provider FROM last_store JOIN w USING (ticker)), m AS (SELECT k.ticker, k.provider, c.date FROM k, c WHERE NOT EXISTS (SELECT 1 FROM last_store x WHERE x.ticker = k.ticker AND x.provider = k.provider AND x.date = c.date)),
+problems AS (SELECT ticker || '/' || provider || ': ' || count(*) || ' missing, ' || min(date) || ' to ' || max(date) AS d FROM m GROUP BY ticker, provider
+  UNION ALL SELECT ticker || ': no data' FROM w WHERE ticker NOT IN (SELECT ticker FROM k)) {_VERDICT.format(name='coverage')}""")
+def _(s, d):
+    """A vanished ticker, sessions that providers lack, and a clock one minute before a close (20:00 UTC in June)."""
+    return gates.coverage(temporal.bars(t.line_bars(s, d)), _wanted(s, "A", "N", "Z"), _calendar(s, d), "1998-07-31", _NOW)
+
+
+@query("g2_phantom_sessions", f"""WITH {t.ONE_BAR}, x AS (SELECT DISTINCT ticker, provider, date FROM last_store WHERE isodow(date) > 5 AND ticker <> 'R'),
+problems AS (SELECT ticker || '/' || provider || ': ' || count(*) || ' from ' || min(date) AS d FROM x GROUP BY ticker, provider) {_VERDICT.format(name='phantom_sessions')}""")
+def _(s, d):
+    """Bars on weekends."""
+    return gates.phantom_sessions(temporal.bars(t.line_bars(s, d)), _wanted(s, "A", "N"), _calendar(s, d).where(F.weekday("date") < 5))
+
+
+_CASES = ("close", "both", "mirror", "absent")
+
+
+def _sources(s, d, case):
+    """Two sources of one ticker's closes, the second one up to 8 hundredths of a basis point off, with a fault by case."""
+    a = temporal.bars(t.line_bars(s, d), provider="F").select("ticker", "date", "close")
+    off = 1 + ((F.dayofmonth("date") % 5 + 1) * 8e-7 + F.when((F.lit(case) == "both") & (F.dayofmonth("date") == 9) & (F.month("date") == 3), 9.0).otherwise(0.0)) * F.lit(0.0 if case == "mirror" else 1.0)
+    b = a.withColumn("close", F.col("close") * off)
+    return a, b.where("ticker <> 'R'") if case == "absent" else b
+
+
+@query("g3_reconcile", f"""WITH {t.ONE_BAR}, w(ticker) AS (VALUES ('A'), ('R')), cases AS (SELECT unnest(['close', 'both', 'mirror', 'absent']) AS c),
+a AS (SELECT ticker, date, close FROM last_store WHERE provider = 'F'), x AS (SELECT c, ticker, date, close AS va, close * (1 + ((day(date) % 5 + 1) * 8e-7 + CASE WHEN c = 'both' AND day(date) = 9 AND month(date) = 3 THEN 9.0 ELSE 0.0 END) * CASE WHEN c = 'mirror' THEN 0.0 ELSE 1.0 END) AS vb
+  FROM a JOIN w USING (ticker), cases WHERE c <> 'absent' OR ticker <> 'R'),
+s AS (SELECT c, ticker, abs(va - vb) / abs(vb) * 10000 AS bps FROM x), g AS (SELECT c, ticker, count(*) AS n, quantile_cont(bps, 0.5) AS med, quantile_cont(bps, 0.95) AS p95, max(bps) AS top, count(*) FILTER (bps > 1) / count(*) AS over, count(*) FILTER (bps = 0) / count(*) AS same FROM s GROUP BY 1, 2),
+problems AS (SELECT c, ticker || ': ' || what AS d FROM (SELECT c, ticker, unnest(list_filter([CASE WHEN med > 1 THEN 'median_bps' END, CASE WHEN p95 > 5 THEN 'p95_bps' END, CASE WHEN top > 25 THEN 'max_bps' END, CASE WHEN over > 0.15 THEN 'frac_over_1bp' END], lambda v: v IS NOT NULL)) AS what FROM g)
+  UNION ALL SELECT c, ticker || ': no usable rows' FROM cases, w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.c = cases.c AND g.ticker = w.ticker)
+  UNION ALL SELECT c, 'independence: MIRROR_SUSPECTED' FROM g GROUP BY c HAVING avg(same) > 0.999)
+SELECT cases.c AS case_, 'reconcile' AS gate, count(d) = 0 AS passed, count(d) AS n_problems, coalesce(string_agg(d, '; ' ORDER BY d), '') AS detail FROM cases LEFT JOIN problems USING (c) GROUP BY cases.c""")
+def _(s, d):
+    """Sources that agree, one with outliers, one that is a mirror, one without a ticker."""
+    rows = None
+    for case in _CASES:
+        row = gates.reconcile(*_sources(s, d, case), _wanted(s, "A", "R")).select(F.lit(case).alias("case_"), "*")
+        rows = row if rows is None else rows.unionAll(row)
+    return rows
+
+
+_DST = "CASE WHEN {d} >= make_date(year({d}), 4, 1) + CAST((7 - isodow(make_date(year({d}), 4, 1))) AS INTEGER) AND {d} < make_date(year({d}), 10, 31) - CAST(isodow(make_date(year({d}), 10, 31)) % 7 AS INTEGER) THEN 4 ELSE 5 END"
+
+
+@query("g4_point_in_time", f"""WITH {t.ACTIONS}, b AS (SELECT ticker, date, date + to_hours(CASE WHEN day(date) = 13 THEN 9 ELSE 16 END + {_DST.format(d='date')}) + CASE WHEN day(date) = 13 THEN to_minutes(29) WHEN day(date) = 21 THEN to_minutes(-60) ELSE to_minutes(0) END AS stamp FROM one WHERE ticker <> 'R'),
+e AS (SELECT *, date + to_hours(16 + {_DST.format(d='date')}) AS close_at, date + to_hours(9 + {_DST.format(d='date')}) + to_minutes(29) AS probe FROM b),
+a AS (SELECT ticker, ex_date, kind, ex_date + to_hours(9 + {_DST.format(d='ex_date')}) + to_minutes(CASE WHEN year(ex_date) = 1995 THEN 0 ELSE 30 END) AS stamp, ex_date + to_hours(9 + {_DST.format(d='ex_date')}) + to_minutes(30) AS want FROM acts WHERE ticker <> 'R'),
+problems AS (SELECT ticker || ' ' || date || ': not public at its close' AS d FROM e WHERE stamp <> close_at UNION ALL SELECT ticker || ' ' || date || ': public before its opening' FROM e WHERE stamp <= probe
+  UNION ALL SELECT ticker || ' ' || ex_date || ' ' || kind || ': not public at its opening' FROM a WHERE stamp <> want UNION ALL SELECT 'Z: no data') {_VERDICT.format(name='point_in_time')}""")
+def _(s, d):
+    """Stamps of 09:29 on the 13th of a month and of an hour early on the 21st, actions of 1995 half an hour early."""
+    day, at = F.dayofmonth("date"), F.col("first_public_at")
+    b = t.one_bar(s, d).withColumn("first_public_at", F.when(day == 13, temporal.public_at(F.col("date"), "09:29:00")).when(day == 21, at - F.expr("interval 1 hour")).otherwise(at))
+    a = t.line_actions(s, d).withColumn("first_public_at", F.when(F.year("ex_date") == 1995, at - F.expr("interval 30 minutes")).otherwise(at))
+    return gates.point_in_time(b, a, _wanted(s, "A", "N", "Z"))
+
+
+@query("g5_corporate_actions", f"""WITH {_adjusted_sql()}, w(ticker) AS (VALUES ('A'), ('N'), ('R')), x AS (SELECT ticker, date, close * f AS a, 3 * close * f * CASE WHEN ticker = 'N' AND day(date) = 17 THEN 1.1 ELSE 1.0 END AS b FROM f WHERE ticker <> 'R'),
+r AS (SELECT ticker, abs((a / lag(a) OVER p - 1) - (b / lag(b) OVER p - 1)) * 10000 AS bps FROM x WINDOW p AS (PARTITION BY ticker ORDER BY date)),
+g AS (SELECT ticker, quantile_cont(bps, 0.5) AS med, quantile_cont(bps, 0.95) AS p95, max(bps) AS top, count(*) FILTER (bps > 1) / count(*) AS over FROM r WHERE bps IS NOT NULL GROUP BY 1),
+problems AS (SELECT ticker || ': ' || what AS d FROM (SELECT ticker, unnest(list_filter([CASE WHEN med > 1 THEN 'median_bps' END, CASE WHEN p95 > 5 THEN 'p95_bps' END, CASE WHEN top > 25 THEN 'max_bps' END, CASE WHEN over > 0.15 THEN 'frac_over_1bp' END], lambda v: v IS NOT NULL)) AS what FROM g)
+  UNION ALL SELECT ticker || ': no usable rows' FROM w WHERE ticker NOT IN (SELECT ticker FROM g)) {_VERDICT.format(name='corporate_actions')}""")
 def _(s, d):
-    m = temporal.missing_sessions(t.one_bar(s, d), _calendar(s, d), "ticker")
-    return quality.gate("coverage", m, F.concat_ws(" ", "ticker", F.col("date").cast("string")))
+    """A reference of another level that is off on the 17th of a month for one ticker and absent for another."""
+    b, a = t.one_bar(s, d), t.line_actions(s, d)
+    off = F.when((F.col("ticker") == "N") & (F.dayofmonth("date") == 17), 1.1).otherwise(1.0)
+    reference = adjust.adjusted(b, a).where("ticker <> 'R'").select("ticker", "date", (3 * F.col("adj_close") * off).alias("close"))
+    return gates.corporate_actions(b, a, reference, _wanted(s, "A", "N", "R"))
+
+
+_DIGEST_COLS = ("ticker", "date", "open", "high", "low", "close", "volume")
+_DIGEST = "concat_ws('|', ticker, CAST(date AS VARCHAR), " + ", ".join(f"CAST(CAST(floor({c} * 1e6 + 0.5) AS BIGINT) AS VARCHAR)" for c in _DIGEST_COLS[2:]) + ")"
+_DIGESTS = "SELECT count(*) AS n_rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum, CAST(bit_xor(h) AS VARCHAR) AS xor FROM (SELECT CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS h FROM {rows})"
 
 
-@query("g4_point_in_time", "SELECT 'point_in_time' AS gate, true AS passed, CAST(0 AS BIGINT) AS n_problems, '' AS detail")
+@query("g6_reproducible", f"""WITH {t.ONE_BAR}, a AS ({_DIGESTS.format(text=_DIGEST, rows='one')}), b AS ({_DIGESTS.format(text=_DIGEST, rows='(SELECT * REPLACE (close + CASE WHEN date = DATE ' + chr(39) + '1996-03-01' + chr(39) + ' THEN 0.01 ELSE 0 END AS close) FROM one)')}),
+cases AS (SELECT 'again' AS case_, false AS bad, n_rows AS x, n_rows AS y FROM a UNION ALL SELECT 'changed', a.sum <> b.sum OR a.xor <> b.xor, a.n_rows, b.n_rows FROM a, b)
+SELECT case_, 'reproducible' AS gate, NOT bad AS passed, CAST(bad AS BIGINT) AS n_problems, CASE WHEN bad THEN 'digests differ: ' || x || ' and ' || y || ' rows' ELSE '' END AS detail FROM cases""")
 def _(s, d):
-    p = quality.stamp_problems(t.line_bars(s, d), t.line_actions(s, d))
-    return quality.gate("point_in_time", p, F.concat_ws(" ", "what", "ticker", F.col("date").cast("string")))
+    """A second build in another order, and one with closes of one day changed by a cent."""
+    b = t.one_bar(s, d)
+    changed = b.withColumn("close", F.col("close") + F.when(F.col("date") == F.lit("1996-03-01").cast("date"), 0.01).otherwise(0.0))
+    again = gates.reproducible(b, b.repartition(3, "date"), *_DIGEST_COLS).select(F.lit("again").alias("case_"), "*")
+    return again.unionAll(gates.reproducible(b, changed, *_DIGEST_COLS).select(F.lit("changed").alias("case_"), "*"))
+
+
+_ANCHORS = [("A", "1995-03-20"), ("A", "1997-03-04"), ("N", "1996-02-07"), ("R", "1995-03-10"), ("Z", "1995-03-10"), ("A", "2020-01-01")]
+_ANCHOR_SQL = "anchors(ticker, date) AS (VALUES " + ", ".join(f"('{k}', DATE '{v}')" for k, v in _ANCHORS) + ")"
+
+
+def _anchors(s, b):
+    """What SQL and this query take as printed: twice the close for each split year after, off by 1 % for one ticker."""
+    a = s.createDataFrame(_ANCHORS, "ticker string, d string").select("ticker", F.col("d").cast("date").alias("date"))
+    close = b.select("ticker", "date", "close")
+    splits = F.size(F.filter(F.array(F.lit(1995), F.lit(1998), F.lit(2001)), lambda y: y > F.year("date")))
+    return a.join(close, ["ticker", "date"], "left").select("ticker", "date", (F.coalesce("close", F.lit(1.0)) * F.pow(F.lit(2.0), splits) * F.when(F.col("ticker") == "R", 1.01).otherwise(1.0)).alias("printed"))
+
+
+@query("g7_printed_prices", f"""WITH {t.ACTIONS}, {_ANCHOR_SQL}, x AS (SELECT p.ticker, p.date, b.close * {_SPLIT_SQL} AS traded, coalesce(b.close, 1.0) * pow(2, len(list_filter([1995, 1998, 2001], lambda y: y > year(p.date)))) * CASE WHEN p.ticker = 'R' THEN 1.01 ELSE 1.0 END AS printed FROM anchors p LEFT JOIN one b ON b.ticker = p.ticker AND b.date = p.date),
+problems AS (SELECT ticker || ' ' || date || CASE WHEN traded IS NULL THEN ': no bar' ELSE ': not as printed' END AS d FROM x WHERE NOT coalesce(abs(traded / printed - 1) * 10000 <= 25, false)) {_VERDICT.format(name='printed_prices')}""")
+def _(s, d):
+    """Anchors that hold, one that is off by 1 %, one of a vanished ticker, one without a bar."""
+    b = t.one_bar(s, d)
+    return gates.printed_prices(b, t.line_actions(s, d), _anchors(s, b))
+
+
+@query("g0_run_gates", f"""WITH {t.ACTIONS}, v(i, gate) AS (VALUES (0, 'coverage'), (1, 'phantom_sessions'), (2, 'reconcile'), (3, 'point_in_time'), (4, 'corporate_actions'), (5, 'printed_prices')),
+o AS (SELECT date FROM last_store WHERE ticker = 'A' AND provider = 'F'), days AS (SELECT DISTINCT date FROM last_store WHERE date <= DATE '1996-12-31' OR isodow(date) < 7),
+bare AS (SELECT 0 AS i, count(*) AS n FROM days WHERE date <= DATE '1996-12-31' AND date NOT IN (SELECT date FROM o) UNION ALL SELECT 1, count(*) FROM o WHERE date NOT IN (SELECT date FROM days)
+  UNION ALL SELECT 2, 2 - count(DISTINCT provider) FROM last_store WHERE ticker = 'A' AND provider = 'F' UNION ALL SELECT 3, CAST(count(*) = 0 AS BIGINT) FROM o UNION ALL SELECT 4, 1 UNION ALL SELECT 5, 1)
+SELECT 'bare' AS case_, CAST(i AS INTEGER) AS i, gate, bare.n = 0 AS passed FROM v JOIN bare USING (i) UNION ALL SELECT 'whole', CAST(i AS INTEGER), gate, (SELECT count(*) > 0 FROM o) FROM v""")
+def _(s, d):
+    """One provider without reference and anchors, where all that can't be checked fails; and a store without a fault."""
+    b = temporal.bars(t.line_bars(s, d), provider="F").where("ticker = 'A'")
+    a = t.line_actions(s, d)
+    days = _calendar(s, d).where("date <= '1996-12-31' or weekday(date) < 6")
+    none = s.createDataFrame([], "ticker string, date date, close double, printed double")
+    bare = gates.run(b, a, _wanted(s, "A"), days, none, none, "1996-12-31")
+    two = b.unionByName(b.withColumns({"provider": F.lit("G"), "close": F.col("close") * (1 + (F.dayofmonth("date") % 5 + 1) * 8e-7)}))
+    reference = adjust.adjusted(b, a).select("ticker", "date", (3 * F.col("adj_close")).alias("close"))
+    anchors = adjust.as_traded(b, a).where("dayofmonth(date) = 7").select("ticker", "date", (F.col("traded_close") * 1.0001).alias("printed"))
+    whole = gates.run(two, a, _wanted(s, "A"), b.select("date"), reference, anchors)
+    return bare.select(F.lit("bare").alias("case_"), "i", "gate", "passed").unionAll(whole.select(F.lit("whole"), "i", "gate", "passed"))
 
 
 @query("p6_public_stamps", """WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem),
@@ -210,10 +338,9 @@ def _(s, d):
     return _calendar(s, d).select("date", F.hour(temporal.bar_public_at(F.col("date"))).alias("utc_hour"))
 
 
-@query("k6_content_digest")
+@query("k6_content_digest", f"WITH {t.LINE_BARS} {_DIGESTS.format(text=_DIGEST, rows='store')}")
 def _(s, d):
-    b = t.line_bars(s, d)
-    return quality.content_digest(b, *b.columns)
+    return quality.content_digest(t.line_bars(s, d), *_DIGEST_COLS)
 
 
 @query("a1_group_by_provider", f"WITH {t.ONE_BAR} SELECT ticker, provider, year(date) AS year, count(*) AS n, min(date) AS first, max(date) AS last FROM last_store GROUP BY 1, 2, 3", "first last")

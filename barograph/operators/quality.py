@@ -1,12 +1,10 @@
-"""Data-quality gates: reconciliation of two sources, coverage, stamps, printed prices."""
+"""Comparison of two sources, printed prices, digests of content; the gates themselves are in ``gates``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import temporal
-
 # Ceilings of a reconciliation in basis points, and of the share beyond one of them.
 CEILINGS = {"median_bps": 1.0, "p95_bps": 5.0, "max_bps": 25.0, "frac_over_1bp": 0.15}
 # Closes that were printed before and on the ex-dates of three splits.
@@ -54,17 +52,6 @@ def scored(stats: DataFrame) -> DataFrame:
     return s.withColumn("breaches", breach).withColumn("passed", F.size("breaches") == 0)
 
 
-def gate(name: str, problems: DataFrame, detail: Column) -> DataFrame:
-    """One row: passed if there is no problem, else up to three in order."""
-    return problems.select(detail.alias("d")).agg(F.count("*").alias("n_problems"), F.array_join(F.slice(F.array_sort(F.collect_set("d")), 1, 3), "; ").alias("detail")).select(F.lit(name).alias("gate"), (F.col("n_problems") == 0).alias("passed"), "n_problems", "detail")
-
-
-def stamp_problems(bars: DataFrame, acts: DataFrame) -> DataFrame:
-    """Rows whose public time isn't that of their day."""
-    b = bars.where(~F.col("first_public_at").eqNullSafe(temporal.bar_public_at(F.col("date")))).select(F.lit("bar").alias("what"), "ticker", "date")
-    return b.unionAll(acts.where(~F.col("first_public_at").eqNullSafe(temporal.action_public_at(F.col("ex_date")))).select(F.lit("action"), "ticker", "ex_date"))
-
-
 def printed_prices(traded: DataFrame, anchors: DataFrame, most_bps: float = 25.0) -> DataFrame:
     """anchors (ticker, date, printed) with the as-traded close and whether it agrees; an absent bar doesn't."""
     out = F.broadcast(anchors).join(traded.select("ticker", "date", "traded_close"), ["ticker", "date"], "left")
@@ -73,6 +60,12 @@ def printed_prices(traded: DataFrame, anchors: DataFrame, most_bps: float = 25.0
 
 
 def content_digest(df: DataFrame, *cols: str) -> DataFrame:
-    """One row: number of rows and an order-insensitive digest of their content."""
-    h = F.xxhash64(*cols)
-    return df.agg(F.count("*").alias("n_rows"), F.sum((h % 1000003).cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor(h).cast("string").alias("xor"))
+    """One row: number of rows, and a sum and an exclusive-or of their digests, whatever the order and the files.
+
+    A row's digest is the first 60 bits of the MD5 of its values as text: doubles as whole millionths, null as \\N.
+    """
+    kinds = dict(df.dtypes)
+    shown = [F.floor(F.col(c) * 1e6 + 0.5).cast("string") if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in cols]
+    text = F.concat_ws("|", *[F.coalesce(x, F.lit("\\N")) for x in shown])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"), F.coalesce(F.bit_xor(h), F.lit(0)).cast("string").alias("xor"))

@@ -113,10 +113,21 @@ def last_complete_session(calendar: DataFrame, now) -> DataFrame:
     return calendar.where(bar_public_at(F.col("date")) <= F.lit(now).cast("timestamp")).agg(F.max("date").alias("date"))
 
 
-def missing_sessions(data: DataFrame, calendar: DataFrame, *keys: str) -> DataFrame:
-    """Sessions of the calendar that a key's data lacks; keys are those that have any row."""
-    wanted = data.select(*keys).distinct().crossJoin(F.broadcast(calendar)) if keys else calendar
-    return wanted.join(data.select(*keys, "date").distinct(), [*keys, "date"], "left_anti")
+def missing_sessions(data: DataFrame, calendar: DataFrame, *keys: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Sessions of the calendar that a key's data lacks; ``wanted`` keys without any row lack all of them.
+
+    Sessions are numbered; a gap lies between neighbouring numbers of a key, and before the end, so nothing is put
+    out but what is missing.
+    """
+    numbered = calendar.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))
+    after = numbered.agg((F.count("*") + 1).cast("int").alias("i"))
+    known = data.select(*keys).distinct() if keys else after.select()
+    if wanted is not None:
+        known = known.unionByName(wanted.select(*keys)).distinct()
+    there = data.select(*keys, "date").distinct().join(numbered, "date").select(*keys, "i")
+    w = Window.partitionBy(*keys).orderBy("i")
+    gaps = there.unionByName(known.crossJoin(after)).withColumn("before", F.lag("i", 1, 0).over(w)).where("i - before > 1")
+    return gaps.select(*keys, F.explode(F.sequence(F.col("before") + 1, F.col("i") - 1)).alias("i")).join(numbered, "i").select(*keys, "date")
 
 
 def unexpected_sessions(data: DataFrame, calendar: DataFrame, *keys: str) -> DataFrame:

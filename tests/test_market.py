@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barograph.functions.normal import norm_cdf, norm_ppf, student_sf
-from barograph.operators import adjust, costs, evidence, quality, stats, temporal
+from barograph.operators import adjust, costs, evidence, gates, quality, stats, temporal
 from barograph.sources import ledger
 from barograph.sources.store import Store, new_ingest_id, unpivot_actions
 
@@ -79,7 +79,8 @@ def test_gates_can_fail(spark):
     traded = adjust.as_traded(bars(spark, DAYS), acts(spark, (D(2020, 6, 15), "split", 2.0)))
     assert {r.ticker: r.passed for r in quality.printed_prices(traded, anchors).collect()} == {"T": True, "X": False}
     stamped = b.withColumn("first_public_at", F.col("date").cast("timestamp"))
-    assert quality.stamp_problems(stamped, acts(spark, (D(2020, 6, 15), "split", 2.0))).count() == 4
+    row = gates.point_in_time(stamped, acts(spark, (D(2020, 6, 15), "split", 2.0)), spark.createDataFrame([("T",)], "ticker string")).first()
+    assert row.n_problems >= 4 and not row.passed
 
 
 def test_ledger_shows_edits_and_deletions(spark, tmp_path):
@@ -161,3 +162,95 @@ def test_sharpe_se_of_a_long_series_has_all_lags(spark):
             omega += (1 - j / (lag + 1)) * (g + g.T)
         grad = np.array([1 / r.std(), -r.mean() / (2 * r.std() ** 3)])
         assert got[k].lag == lag and got[k].se_hac == pytest.approx(np.sqrt(grad @ omega @ grad / n))
+
+
+# ------------------------------------------------------------------ gates: each must be able to fail
+
+SESSIONS = [D(2024, 1, 2) + dt.timedelta(i) for i in range(120) if (D(2024, 1, 2) + dt.timedelta(i)).weekday() < 5]
+
+
+def gate_store(spark, days=None, tickers=("X",), stamp=None):
+    """Two providers' bars of each ticker; the second is off by less than a thousandth of a basis point."""
+    rows = []
+    for k in tickers:
+        for i, day in enumerate(days or SESSIONS):
+            close = 100 + 0.1 * i
+            for p, c in (("one", close), ("two", round(close * (1 + ((i % 5) - 2) * 1e-7), 6))):
+                rows.append((k, day, 0.99 * c, 1.01 * c, 0.98 * c, c, 1e6 + i, p))
+    df = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double, provider string")
+    return df.withColumn("first_public_at", temporal.bar_public_at(F.col("date")) if stamp is None else stamp)
+
+
+def calendar(spark):
+    return spark.createDataFrame([(d,) for d in SESSIONS], "date date")
+
+
+def names(spark, *t):
+    return spark.createDataFrame([(x,) for x in t], "ticker string")
+
+
+def no_actions(spark):
+    return spark.createDataFrame([], "ticker string, ex_date date, kind string, value double, provider string, first_public_at timestamp")
+
+
+def test_coverage_fails_for_truncated_and_broken_series(spark):
+    whole = gates.coverage(gate_store(spark), names(spark, "X"), calendar(spark)).first()
+    cut = gates.coverage(gate_store(spark, SESSIONS[:30]), names(spark, "X"), calendar(spark)).first()
+    holes = [d for i, d in enumerate(SESSIONS) if i not in (10, 11, 40, 50, 60)]
+    broken = gates.coverage(gate_store(spark, holes), names(spark, "X"), calendar(spark)).first()
+    gone = gates.coverage(gate_store(spark), names(spark, "X", "Y"), calendar(spark)).first()
+    assert whole.passed and not cut.passed and f"X/one: {len(SESSIONS) - 30} missing, {SESSIONS[30]}" in cut.detail
+    assert "X/one: 5 missing" in broken.detail and gone.detail == "Y: no data"
+    # a session that is not over yet is not missing
+    now = f"{SESSIONS[29]} 23:00:00"
+    assert gates.coverage(gate_store(spark, SESSIONS[:30]), names(spark, "X"), calendar(spark), now=now).first().passed
+
+
+def test_phantom_and_reconcile_gates(spark):
+    b = gate_store(spark, [*SESSIONS, D(2024, 1, 6)])
+    assert not gates.phantom_sessions(b, names(spark, "X"), calendar(spark)).first().passed
+    assert gates.phantom_sessions(gate_store(spark), names(spark, "X"), calendar(spark)).first().passed
+    one, two = (gate_store(spark).where(F.col("provider") == p) for p in ("one", "two"))
+    assert gates.reconcile(one, two, names(spark, "X")).first().passed
+    ten = two.withColumn("close", F.col("close") * F.when(F.col("date") == F.lit(SESSIONS[9]), 10).otherwise(1))
+    assert "max_bps" in gates.reconcile(one, ten, names(spark, "X")).first().detail
+    assert "MIRROR" in gates.reconcile(one, one, names(spark, "X")).first().detail
+    assert "no usable rows" in gates.reconcile(one, two, names(spark, "X", "Y")).first().detail
+
+
+def test_stamps_before_the_opening_fail(spark):
+    early = F.when(F.col("date") == F.lit(SESSIONS[3]), temporal.public_at(F.col("date"), "09:29:00")).otherwise(temporal.bar_public_at(F.col("date")))
+    row = gates.point_in_time(gate_store(spark, stamp=early), no_actions(spark), names(spark, "X")).first()
+    assert not row.passed and row.n_problems == 4 and "public before its opening" in row.detail
+    assert gates.point_in_time(gate_store(spark), no_actions(spark), names(spark, "X")).first().passed
+    acts = spark.createDataFrame([("X", SESSIONS[5], "split", 2.0)], "ticker string, ex_date date, kind string, value double").withColumn("first_public_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert "split" in gates.point_in_time(gate_store(spark), acts, names(spark, "X")).first().detail
+
+
+def test_corporate_actions_need_a_reference(spark):
+    b = gate_store(spark).where("provider = 'one'")
+    ref = b.select("ticker", "date", (F.col("close") * 7).alias("close"))
+    assert gates.corporate_actions(b, no_actions(spark), ref, names(spark, "X")).first().passed
+    assert not gates.corporate_actions(b, no_actions(spark), ref.where("false"), names(spark, "X")).first().passed
+    ten = ref.withColumn("close", F.col("close") * F.when(F.col("date") == F.lit(SESSIONS[9]), 10).otherwise(1))
+    assert "max_bps" in gates.corporate_actions(b, no_actions(spark), ten, names(spark, "X")).first().detail
+
+
+def test_printed_prices_around_splits(spark):
+    """What the tape printed before and on three ex-dates, recovered from stored prices that are split-adjusted."""
+    splits = {"NVDA": (D(2024, 6, 10), 10.0), "TSLA": (D(2022, 8, 25), 3.0), "AAPL": (D(2020, 8, 31), 4.0)}
+    rows = [(k, dt.date.fromisoformat(d), p / (splits[k][1] if dt.date.fromisoformat(d) < splits[k][0] else 1)) for k, d, p in quality.PRINTED]
+    b = spark.createDataFrame(rows, "ticker string, date date, close double")
+    b = b.withColumns({c: F.col("close") for c in ("open", "high", "low", "volume")})
+    acts = lambda shift: spark.createDataFrame([(k, d + dt.timedelta(shift), "split", v, None) for k, (d, v) in splits.items()], "ticker string, ex_date date, kind string, value double, first_public_at timestamp")
+    anchors = spark.createDataFrame([(k, dt.date.fromisoformat(d), p) for k, d, p in quality.PRINTED], "ticker string, date date, printed double")
+    assert gates.printed_prices(b, acts(0), anchors).first().passed
+    assert gates.printed_prices(b, acts(1), anchors).first().n_problems == 3  # an ex-date one session late
+    assert "NVDA 2024-06-07: no bar" in gates.printed_prices(b.where("ticker <> 'NVDA'"), acts(0), anchors).first().detail
+    assert not gates.printed_prices(b, acts(0), anchors.where("false")).first().passed
+
+
+def test_gates_run_in_order_and_need_two_providers(spark):
+    got = gates.run(gate_store(spark).where("provider = 'one'"), no_actions(spark), names(spark, "X"), calendar(spark), gate_store(spark).where("false").select("ticker", "date", "close"), spark.createDataFrame([], "ticker string, date date, printed double")).orderBy("i").collect()
+    assert [r.gate for r in got] == list(gates.ORDER)
+    assert [r.passed for r in got] == [True, True, False, True, False, False] and got[2].detail == "only 1 providers"
