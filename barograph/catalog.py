@@ -449,7 +449,7 @@ v AS (SELECT * FROM q WHERE t >= 5 AND r IS NOT NULL),
 h AS (SELECT *, w * (1 + r) / (sum(w * (1 + r)) OVER d + 1 - sum(w) OVER d) AS drifted FROM v WINDOW d AS (PARTITION BY date)),
 walk AS (SELECT *, w - coalesce(lag(drifted) OVER (PARTITION BY ticker ORDER BY date), 0) AS dw FROM h)"""
 _WALK_OUT = "SELECT ticker, date, round(w, 6) AS w, round(r, 6) AS r, round(dw, 6) AS dw FROM walk"
-_EW = _WALK.format(score="", weight="0.2")
+_EW = _WALK.format(score="", weight="CAST(0.2 AS DOUBLE)")
 _TOP = "CASE WHEN row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, ticker) <= {k} AND score > 0 THEN 1.0 / {k} ELSE 0.0 END"
 _MOM = _WALK.format(score=", close / nullif(lag(close, 5) OVER w, 0) - 1 AS score", weight=f"CASE WHEN t < 5 THEN 0.2 ELSE {_TOP.format(k=2)} END")
 _ORACLE = _WALK.format(score=", lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS score", weight=_TOP.format(k=1))
@@ -498,60 +498,82 @@ def _(s, d):
 _COST_LEVELS = "levels(level, spread, eta, cap) AS (VALUES ('free', 0.0, 0.0, 1.0), ('realistic', 1.0, 0.1, 0.01), ('pessimistic', 2.0, 0.3, 0.005))"
 
 
-def _trades(s, d):
-    liq = panel.liquidity(_panel(s, d)).select("ticker", "date", "adv", "vol")
-    return _walk(s, d, backtest.momentum(5, 5, 2)).join(liq, ["ticker", "date"])
+#: Liquidity at the exit date of a decision, filled back where there is none yet.
+_AT_EXIT = """exits AS (SELECT ticker, date, lead(a, 2) OVER w AS adv, lead(v, 2) OVER w AS vol FROM (SELECT ticker, date, first_value(adv IGNORE NULLS) OVER f AS a, first_value(vol IGNORE NULLS) OVER f AS v
+  FROM liq WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
 
 
-@query("b5_trade_costs", f"""WITH {t.EVENT_BARS}, {_LIQ}, {_MOM}, {_COST_LEVELS},
-x AS (SELECT level, walk.date, abs(dw) * 1000000 AS n, least(abs(dw) * 1000000, coalesce(cap * adv, 1e300)) AS f, cap * adv AS lim, adv, vol, spread, eta FROM walk JOIN liq USING (ticker, date), levels)
-SELECT level, date, round(sum(f * spread * 1e-4 + CASE WHEN eta > 0 AND adv > 0 AND vol > 0 THEN f * eta * vol * sqrt(f / adv) ELSE 0 END) / 1000000, 6) AS cost,
-  count(*) FILTER (n > lim + 1e-9) AS n_capped, round(sum(CASE WHEN n > lim + 1e-9 THEN n - lim ELSE 0 END), 4) AS unfilled FROM x GROUP BY 1, 2""", "date")
-def _(s, d):
-    legs = _trades(s, d).withColumn("value", F.lit(1e6)).crossJoin(F.broadcast(costs.levels(s)))
-    return rounded(costs.trade_costs(legs, "level", "date").withColumn("unfilled", F.round("unfilled", 4)))
+def _liquid(s, d):
+    """The panel with the liquidity at each decision's exit."""
+    w = panel.by("ticker")
+    p = panel.liquidity(_panel(s, d)).withColumns({c: temporal.fill_back(c, "ticker", order="date") for c in ("adv", "vol")})
+    return p.withColumns({c: F.lead(c, 2).over(w) for c in ("adv", "vol")})
+
 
+def _legs(s, d, **strategies):
+    return backtest.walks(_liquid(s, d), strategies, 5, "adv", "vol")
 
-@query("b6_cost_recursion", f"""WITH RECURSIVE {t.EVENT_BARS}, {_LIQ}, {_MOM}, {_COST_LEVELS},
-g AS (SELECT exit_date, sum(w * r) AS gross, row_number() OVER (ORDER BY exit_date) AS i FROM walk GROUP BY 1),
-legs AS (SELECT g.i, abs(dw) AS dw, adv, vol FROM walk JOIN liq USING (ticker, date) JOIN g ON g.exit_date = walk.exit_date),
-book AS (SELECT level, spread, eta, cap, CAST(0 AS BIGINT) AS i, CAST(1000000 AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS net FROM levels
-  UNION ALL SELECT b.level, b.spread, b.eta, b.cap, g.i, b.value * (1 + g.gross - c.c), g.gross - c.c FROM book b JOIN g ON g.i = b.i + 1,
+
+@query("b5_trade_costs", f"""WITH {t.EVENT_BARS}, {_LIQ}, {_AT_EXIT}, {_MOM}, {_COST_LEVELS},
+x AS (SELECT level, walk.date, abs(dw) * 1000000 AS n, least(abs(dw) * 1000000, coalesce(cap * adv, 1e300)) AS f, cap * adv AS lim, adv, vol, spread, eta FROM walk JOIN exits USING (ticker, date), levels)
+SELECT level, date, round(sum(f * spread * 1e-4 + CASE WHEN eta > 0 AND adv > 0 AND vol > 0 THEN f * eta * vol * sqrt(f / adv) ELSE 0 END) / 1000000, 6) AS cost,
+  count(*) FILTER (n > lim + 1e-9) AS n_capped, round(sum(CASE WHEN n > lim + 1e-9 THEN n - lim ELSE 0 END), 2) AS unfilled FROM x GROUP BY 1, 2""", "date")
+def _(s, d):
+    legs = _legs(s, d, momentum=backtest.momentum(5, 5, 2)).withColumn("value", F.lit(1e6)).crossJoin(F.broadcast(costs.levels(s)))
+    return rounded(costs.trade_costs(legs, "level", "date").withColumn("unfilled", F.round("unfilled", 2)))
+
+
+#: Three strategies in one walk, and their books at three cost levels by recursion.
+_WALKS = f"""p AS (SELECT ticker, date, open, close, row_number() OVER w - 1 AS t, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS r, lead(date, 2) OVER w AS exit_date, close / nullif(lag(close, 5) OVER w, 0) - 1 AS score FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+once AS (SELECT *, coalesce(product(1 + r) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS c FROM p WHERE t >= 5 AND r IS NOT NULL),
+q AS (SELECT 'equal_weight' AS strategy, ticker, date, exit_date, t, r, CAST(0.2 AS DOUBLE) AS w FROM p UNION ALL SELECT 'momentum', ticker, date, exit_date, t, r, CASE WHEN t < 5 THEN 0.2 ELSE {_TOP.format(k=2)} END FROM p
+  UNION ALL SELECT 'buy_and_hold', ticker, date, exit_date, t, r, c / sum(c) OVER (PARTITION BY date) FROM once),
+h AS (SELECT *, w * (1 + r) / (sum(w * (1 + r)) OVER d + 1 - sum(w) OVER d) AS drifted FROM q WHERE t >= 5 AND r IS NOT NULL WINDOW d AS (PARTITION BY strategy, date)),
+walk AS (SELECT *, w - coalesce(lag(drifted) OVER (PARTITION BY strategy, ticker ORDER BY date), 0) AS dw FROM h)"""
+_BOOKS = """g AS (SELECT strategy, exit_date, sum(w * r) AS gross, sum(abs(dw)) / 2 AS half, row_number() OVER (PARTITION BY strategy ORDER BY exit_date) AS i FROM walk GROUP BY 1, 2),
+legs AS (SELECT walk.strategy, g.i, abs(dw) AS dw, adv, vol FROM walk JOIN exits USING (ticker, date) JOIN g ON g.strategy = walk.strategy AND g.exit_date = walk.exit_date),
+book AS (SELECT strategy, level, spread, eta, cap, CAST(0 AS BIGINT) AS i, CAST(1000000 AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS net FROM levels, (SELECT DISTINCT strategy FROM walk)
+  UNION ALL SELECT b.strategy, b.level, b.spread, b.eta, b.cap, g.i, b.value * (1 + g.gross - c.c), g.gross - c.c FROM book b JOIN g ON g.i = b.i + 1 AND g.strategy = b.strategy,
   LATERAL (SELECT sum(f * b.spread * 1e-4 + CASE WHEN b.eta > 0 AND adv > 0 AND vol > 0 THEN f * b.eta * vol * sqrt(f / adv) ELSE 0 END) / b.value AS c
-    FROM (SELECT least(dw * b.value, coalesce(b.cap * adv, 1e300)) AS f, adv, vol FROM legs WHERE legs.i = g.i)) c)
-SELECT level, exit_date AS date, round(net, 6) + 0.0 AS net, round(value, 2) AS value FROM book JOIN g USING (i)""", "date")
+    FROM (SELECT least(dw * b.value, coalesce(b.cap * adv, 1e300)) AS f, adv, vol FROM legs WHERE legs.i = g.i AND legs.strategy = b.strategy)) c),
+books AS (SELECT strategy, level, exit_date AS date, gross, net, value FROM book JOIN g USING (strategy, i))"""
+_EVALUATED = """e AS (SELECT *, product(1 + net) OVER (PARTITION BY strategy, level ORDER BY date) AS equity FROM books), x AS (SELECT *, equity / max(equity) OVER (PARTITION BY strategy, level ORDER BY date) - 1 AS dd FROM e),
+m AS (SELECT strategy, level, count(*) AS n, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe, CASE WHEN count(*) FILTER (net < 0) >= 2 THEN avg(net) / nullif(sqrt(avg(net * net) FILTER (net < 0)), 0) * sqrt(252) END AS sortino,
+  pow(arg_max(equity, date) / arg_min(equity, date), 1 / ((count(*) - 1) / 252)) - 1 AS cagr, min(dd) AS mdd, arg_max(equity, date) - 1 AS total_return, stddev_samp(net) * sqrt(252) AS vol_annual, sum(gross - net) * 1e4 AS total_cost_bps FROM x GROUP BY 1, 2),
+turned AS (SELECT strategy, avg(half) AS turnover FROM g GROUP BY 1)"""
+_EVALUATE = f"WITH RECURSIVE {t.EVENT_BARS}, {_LIQ}, {_AT_EXIT}, {_WALKS}, {_COST_LEVELS}, {_BOOKS}, {_EVALUATED}"
+
+
+@query("b6_cost_recursion", f"WITH RECURSIVE {t.EVENT_BARS}, {_LIQ}, {_AT_EXIT}, {_WALKS}, {_COST_LEVELS}, {_BOOKS} SELECT strategy, level, date, round(net, 6) + 0.0 AS net, round(ln(value), 6) AS log_value FROM books", "date")
 def _(s, d):
-    w = _trades(s, d)
-    out = costs.apply_costs(backtest.gross(w).withColumn("strategy", F.lit("momentum")), w.select(F.lit("momentum").alias("strategy"), F.col("exit_date").alias("date"), "dw", "adv", "vol"), 1e6, "strategy")
-    return rounded(out.select("level", "date", "net", F.round("value", 2).alias("value")))
+    w = _legs(s, d, **_STRATEGIES)
+    out = costs.apply_costs(backtest.gross(w, "strategy"), w.select("strategy", F.col("exit_date").alias("date"), "dw", "adv", "vol"), 1e6, "strategy")
+    return rounded(out.select("strategy", "level", "date", "net", F.ln("value").alias("log_value")))
 
 
-def _books(s, d):
-    """strategy, level, date, net: three strategies in one plan at three cost levels."""
-    liq = panel.liquidity(_panel(s, d)).select("ticker", "date", "adv", "vol")
-    walks = None
-    for name, w in (("equal_weight", _walk(s, d, backtest.equal_weight(5))), ("momentum", _walk(s, d, backtest.momentum(5, 5, 2))), ("buy_and_hold", backtest.buy_and_hold_walk(_panel(s, d), 5, 5))):
-        w = w.select(F.lit(name).alias("strategy"), "ticker", "date", "exit_date", "w", "r", "dw")
-        walks = w if walks is None else walks.unionByName(w)
-    walks = walks.join(liq, ["ticker", "date"])
-    return costs.apply_costs(backtest.gross(walks, "strategy"), walks.select("strategy", F.col("exit_date").alias("date"), "dw", "adv", "vol"), 1e6, "strategy")
+_STRATEGIES = {"equal_weight": backtest.equal_weight(5), "momentum": backtest.momentum(5, 5, 2), "buy_and_hold": backtest.buy_and_hold(5)}
 
 
-@query("b7_evaluate")
+def _evaluated(s, d):
+    return backtest.evaluate(_legs(s, d, **_STRATEGIES), 1e6)
+
+
+@query("b7_evaluate", f"{_EVALUATE} SELECT strategy, level, n, round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(ln(1 + cagr), 4) AS log_cagr, round(mdd, 6) AS mdd, round(ln(1 + total_return), 6) AS log_return, round(vol_annual, 6) AS vol_annual, round(CASE WHEN mdd < 0 AND cagr > 0 THEN ln(cagr / abs(mdd)) END, 4) AS log_calmar, round(total_cost_bps, 4) AS total_cost_bps, round(turnover, 6) AS turnover FROM m JOIN turned USING (strategy)")
 def _(s, d):
-    return rounded(metrics.summary(_books(s, d).withColumnRenamed("net", "ret"), "strategy", "level"))
+    """Growth as logarithms: the events' returns are far beyond those of markets."""
+    e = _evaluated(s, d)
+    e = e.withColumns({"log_cagr": F.round(F.log1p("cagr"), 4), "log_return": F.log1p("total_return"), "log_calmar": F.round(F.when(F.col("calmar") > 0, F.ln("calmar")), 4), "total_cost_bps": F.round("total_cost_bps", 4)})
+    return rounded(e.drop("cagr", "total_return", "calmar"))
 
 
-@query("a10_best_strategy")
+@query("a10_best_strategy", f"{_EVALUATE} SELECT level, arg_max(strategy, sharpe) AS best, round(max(sharpe), 6) AS sharpe FROM m GROUP BY 1")
 def _(s, d):
-    m = metrics.summary(_books(s, d).withColumnRenamed("net", "ret"), "strategy", "level")
-    return rounded(m.groupBy("level").agg(F.max_by("strategy", F.struct("sharpe", "strategy")).alias("best"), F.max("sharpe").alias("sharpe")))
+    return rounded(_evaluated(s, d).groupBy("level").agg(F.max_by("strategy", F.struct("sharpe", "strategy")).alias("best"), F.max("sharpe").alias("sharpe")))
 
 
-@query("k8_result_table")
+@query("k8_result_table", f"{_EVALUATE} SELECT strategy, round(max(sharpe) FILTER (level = 'free'), 6) AS free, round(max(sharpe) FILTER (level = 'realistic'), 6) AS realistic, round(max(sharpe) FILTER (level = 'pessimistic'), 6) AS pessimistic FROM m GROUP BY 1")
 def _(s, d):
-    m = metrics.summary(_books(s, d).withColumnRenamed("net", "ret"), "strategy", "level")
-    return rounded(m.groupBy("strategy").pivot("level", ["free", "realistic", "pessimistic"]).agg(F.first("sharpe")))
+    return rounded(_evaluated(s, d).groupBy("strategy").pivot("level", ["free", "realistic", "pessimistic"]).agg(F.first("sharpe")))
 
 
 _EQ = "r AS (SELECT ticker, date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r, {epoch} AS epoch FROM bars), c AS (SELECT *, coalesce(product(1 + r) OVER (PARTITION BY ticker, epoch ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS c FROM r WHERE r IS NOT NULL)"
@@ -582,21 +604,56 @@ def _(s, d):
     return rounded(t.returns(s, d).select("ticker", "date", backtest.softmax_with_cash(10 * F.col("ret"), "date").alias("w")))
 
 
-@query("b17_environment")
+#: Lists by ticker for each date of the panel; adv: a fifth of the median value traded, as if the tickers were small.
+_DAYS = """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t, list(open ORDER BY ticker) AS o, list(close ORDER BY ticker) AS c, list(coalesce(ret, 0) ORDER BY ticker) AS r, list(coalesce(adv, 0) ORDER BY ticker) AS a, list(coalesce(vol, 0) ORDER BY ticker) AS v FROM liq GROUP BY 1),
+ahead AS (SELECT *, lead(o, 1) OVER w AS o1, lead(o, 2) OVER w AS o2, lead(date, 2) OVER w AS exit_date FROM days WINDOW w AS (ORDER BY date))"""
+_SOFT = "list_transform({z}, lambda x: exp(x - greatest(list_max({z}), 0)) / (list_sum(list_transform({z}, lambda y: exp(y - greatest(list_max({z}), 0)))) + exp(-greatest(list_max({z}), 0))))"
+_MOVE = "list_transform(list_zip(o2, o1), lambda z: z[1] / z[2] - 1)"
+_DRIFT = "list_transform(list_zip(w, move), lambda z: z[1] * (1 + z[2]) / (list_sum(list_transform(list_zip(w, move), lambda y: y[1] * (1 + y[2]))) + 1 - list_sum(w)))"
+_SCALES = (("wide", 1e6), ("tight", 1.0))
+
+
+@query("b17_environment", f"""WITH RECURSIVE {t.EVENT_BARS}, {_LIQ}, {_DAYS}, episodes(episode, scale) AS (VALUES ('wide', 1e6), ('tight', 1.0)),
+step AS (SELECT episode, scale, CAST(5 AS BIGINT) AS t, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS held, CAST(1000000 AS DOUBLE) AS value, CAST(NULL AS DATE) AS date, 0.0::DOUBLE AS gross, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS turnover, CAST(0 AS BIGINT) AS n_capped FROM episodes
+UNION ALL SELECT episode, scale, t, {_DRIFT}, value * (1 + list_sum(list_transform(list_zip(w, move), lambda z: z[1] * z[2])) - cost), exit_date, list_sum(list_transform(list_zip(w, move), lambda z: z[1] * z[2])), cost, turnover, n_capped FROM (
+  SELECT *, list_transform(list_zip(held, goal, filled), lambda z: z[1] + sign(z[2] - z[1]) * z[3] / value) AS w, {_MOVE} AS move, list_sum(filled) / value AS turnover,
+    list_sum(list_transform(list_zip(filled, a, v), lambda z: z[1] * (1e-4 + 0.1 * z[3] * CASE WHEN z[2] > 0 THEN sqrt(z[1] / (scale * z[2])) ELSE 0 END))) / value AS cost FROM (
+    SELECT *, list_transform(list_zip(held, goal, a), lambda z: least(abs(z[2] - z[1]) * value, 0.01 * scale * z[3])) AS filled, len(list_filter(list_zip(held, goal, a), lambda z: abs(z[2] - z[1]) * value > 0.01 * scale * z[3] + 1e-9)) AS n_capped FROM (
+      SELECT s.episode, s.scale, ahead.t, s.held, s.value, a, v, o1, o2, exit_date, {_SOFT.format(z='list_transform(r, lambda x: 5 * greatest(-1, least(1, x)))')} AS goal FROM step s JOIN ahead ON ahead.t = s.t + 1 WHERE o2 IS NOT NULL))))
+SELECT episode, CAST(t AS INTEGER) AS t, date, round(gross, 6) + 0.0 AS gross, round(cost, 6) + 0.0 AS cost, round(gross - cost, 6) + 0.0 AS net, round(value, 2) AS value, round(ln(1 + gross - cost) - 0.01 * turnover, 6) + 0.0 AS reward, CAST(n_capped AS INTEGER) AS n_capped, round(turnover, 6) + 0.0 AS turnover, false AS turbulent, round(1 - list_sum(held), 6) + 0.0 AS cash FROM step WHERE t > 5""", "date")
+def _(s, d):
+    """Two episodes whose actions are the tickers' last returns: one with plenty of volume, one that the cap binds."""
+    p = panel.liquidity(_panel(s, d)).withColumn("e", F.explode(F.array(*[F.struct(F.lit(n).alias("episode"), F.lit(x).alias("scale")) for n, x in _SCALES])))
+    ret = F.coalesce("ret", F.lit(0.0))
+    rows = p.select("e.episode", "date", "ticker", "open", "ret", (F.col("adv") * F.col("e.scale")).alias("adv"), "vol", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ret)).alias("action"))
+    return rounded(environment.simulate(rows, "episode", lookback=6, penalty=0.01).withColumn("value", F.round("value", 2)))
+
+
+@query("b19_turbulence")
 def _(s, d):
-    p = panel.liquidity(_panel(s, d)).select(F.lit("momentum").alias("episode"), "date", "ticker", "open", "ret", "adv", "vol", (5 * F.coalesce("ret", F.lit(0.0))).alias("logit"))
-    return rounded(environment.simulate(p, "episode", lookback=6, threshold=50.0, trailing=10))
+    """With a threshold: dates far from the trailing ones have all cash as their target; the pseudo-inverse has no SQL."""
+    p = panel.liquidity(_panel(s, d)).select(F.lit("e").alias("episode"), "date", "ticker", "open", "ret", (F.col("adv") * 1e6).alias("adv"), "vol", F.lit(0.2).alias("action"))
+    return rounded(environment.simulate(p, "episode", lookback=6, threshold=8.0, trailing=10).select("t", "date", "turbulent", "cash"))
 
 
-def _tilt(x):
-    """A stand-in policy: the mean of each ticker's window."""
-    return x.reshape(len(x), 5, -1).mean(1)
+def _stand_in(x):
+    """A stand-in policy on an observation of five tickers: their mean returns, less of what is held, more out of cash."""
+    x = x.astype(float)
+    return x[:-6].reshape(-1, 5).mean(0) - 0.2 * x[-6:-1] + 0.1 * x[-1]
 
 
-@query("b20_policy_adapter")
+@query("b20_policy_adapter", f"""WITH RECURSIVE {t.EVENT_BARS}, {_LIQ}, {_DAYS}, seen AS (SELECT *, list(c) OVER (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS cs FROM ahead),
+means AS (SELECT *, list_transform([1, 2, 3, 4, 5], lambda k: list_sum(list_transform([2, 3, 4, 5, 6], lambda j: CAST(CAST(cs[j][k] / cs[j - 1][k] - 1 AS FLOAT) AS DOUBLE))) / 5) AS mean FROM seen WHERE len(cs) = 6),
+step AS (SELECT CAST(4 AS BIGINT) AS t, CAST(NULL AS DATE) AS date, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS held, CAST(NULL AS DOUBLE[]) AS w, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS before
+UNION ALL SELECT t, date, {_DRIFT}, w, held FROM (SELECT *, {_SOFT.format(z='z')} AS w FROM (
+  SELECT m.t, m.date, s.held, {_MOVE} AS move, list_transform(list_zip(mean, s.held), lambda y: 5 * (y[1] - 0.2 * CAST(CAST(y[2] AS FLOAT) AS DOUBLE) + 0.1 * CAST(CAST(greatest(0, 1 - list_sum(s.held)) AS FLOAT) AS DOUBLE))) AS z FROM step s JOIN means m ON m.t = s.t + 1 WHERE o2 IS NOT NULL))),
+names AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS k FROM (SELECT DISTINCT ticker FROM bars))
+SELECT date, ticker, round(w[k], 5) + 0.0 AS w, round(w[k] - before[k], 5) + 0.0 AS dw FROM step, names WHERE w IS NOT NULL""", "date")
 def _(s, d):
-    out = environment.score_policy(panel.feature_windows(t.returns(s, d), 5), _tilt, 5)
-    return rounded(out.select("date", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x).alias("invested")))
+    """A policy that sees what it holds, walked like any strategy."""
+    p = _panel(s, d).withColumn("portfolio", F.lit("one"))
+    legs = environment.walk(p, "portfolio", environment.policy_strategy(_stand_in, 5), 5)
+    return rounded(legs.select("date", "ticker", "w", "dw"), 5)
 
 
 # ------------------------------------------------------------------ statistics

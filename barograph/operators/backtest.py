@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import panel
+from . import costs, metrics, panel
 
 
 def folds(spark: SparkSession, start: str, end: str, train_years: float = 4, test_years: float = 1, step_years: float = 1, embargo_days: int = 0) -> DataFrame:
@@ -108,6 +108,60 @@ def buy_and_hold_walk(p: DataFrame, n: int, warmup: int = 20) -> DataFrame:
     return q.withColumn("held", F.when(F.col("t") == warmup, 0.0).otherwise(F.col("w"))).withColumn("dw", F.col("w") - F.col("held")).drop("c")
 
 
+def buy_and_hold(warmup: int = 20) -> Callable[[DataFrame], DataFrame]:
+    """1/n bought once, at the first decision: weights are shares of the running products of 1 + r; for ``walks``."""
+
+    def weigh(p: DataFrame) -> DataFrame:
+        w = panel.by("ticker")
+        r = F.lead("open", 2).over(w) / F.lead("open", 1).over(w) - 1
+        back = w.rowsBetween(Window.unboundedPreceding, -1)
+        q = p.withColumn("_r", F.when(F.col("t") >= warmup, r)).withColumn("_c", F.coalesce(F.product(1 + F.col("_r")).over(back), F.lit(1.0)))
+        return q.withColumn("w", F.col("_c") / F.sum("_c").over(Window.partitionBy("date"))).drop("_r", "_c")
+
+    return weigh
+
+
+def walks(p: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]], warmup: int = 20, *carry: str) -> DataFrame:
+    """strategy, date, exit_date, ticker, w, r, held, dw and ``carry`` of several strategies in one pass over the panel.
+
+    Every strategy adds its weights as a column; rows are stacked then, so the panel is read and sorted once.  As in
+    ``walk``, targets don't depend on what is held, but for those that never trade again.
+    """
+    w = panel.by("ticker")
+    q = indexed(p)
+    for name, weigh in strategies.items():
+        q = weigh(q).withColumnRenamed("w", f"w_{name}")
+    q = q.withColumn("r", F.lead("open", 2).over(w) / F.lead("open", 1).over(w) - 1).withColumn("exit_date", F.lead("date", 2).over(w))
+    q = q.where((F.col("t") >= warmup) & F.col("r").isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"w_{n}").alias("w")) for n in strategies]))
+    q = q.select(each.alias("s"), "date", "exit_date", "ticker", "r", *carry).select("s.*", "date", "exit_date", "ticker", "r", *carry)
+    day = Window.partitionBy("strategy", "date")
+    whole = F.sum(F.col("w") * (1 + F.col("r"))).over(day) + 1 - F.sum("w").over(day)
+    q = q.withColumn("_after", F.when(whole > 0, F.col("w") * (1 + F.col("r")) / whole).otherwise(F.col("w") * (1 + F.col("r"))))
+    own = panel.by("strategy", "ticker")
+    return q.withColumn("held", F.coalesce(F.lag("_after").over(own), F.lit(0.0))).withColumn("dw", F.col("w") - F.col("held")).drop("_after")
+
+
+def evaluate(legs: DataFrame, start: float = 1e6) -> DataFrame:
+    """strategy, level and the summary of its net returns, with turnover and total_cost_bps, at every cost level.
+
+    legs: strategy, exit_date, ticker, w, r, dw, adv, vol.  turnover: mean over dates of half the absolute trades.
+    """
+    books = costs.apply_costs(gross(legs, "strategy"), legs.select("strategy", F.col("exit_date").alias("date"), "dw", "adv", "vol"), start, "strategy")
+    traded = legs.groupBy("strategy", "exit_date").agg((F.sum(F.abs("dw")) / 2).alias("half")).groupBy("strategy").agg(F.avg("half").alias("turnover"))
+    cost = books.groupBy("strategy", "level").agg((F.sum(F.col("gross") - F.col("net")) * 1e4).alias("total_cost_bps"))
+    table = metrics.summary(books.withColumnRenamed("net", "ret"), "strategy", "level")
+    return table.join(cost, ["strategy", "level"]).join(F.broadcast(traded), "strategy")
+
+
+def record(ledger, table: DataFrame, warmup: int, note: str = "") -> list[dict]:
+    """One trial of each strategy of ``evaluate`` (their number is the caller's) appended to a ledger, with its Sharpe ratios by level."""
+    out: dict[str, dict] = {}
+    for r in table.select("strategy", "level", "sharpe").orderBy("strategy", "level").collect():
+        out.setdefault(r.strategy, {})[r.level] = r.sharpe
+    return [ledger.append("evaluation", {"strategy": s, "warmup": warmup, "levels": sorted(v)}, v, note) for s, v in out.items()]
+
+
 def gross(walked: DataFrame, *keys: str) -> DataFrame:
     return walked.groupBy(*keys, F.col("exit_date").alias("date")).agg(F.sum(F.col("w") * F.col("r")).alias("gross"))
 

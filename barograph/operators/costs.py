@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,22 +34,37 @@ def trade_costs(trades: DataFrame, *keys: str) -> DataFrame:
 
 
 def apply_costs(path: DataFrame, legs: DataFrame, start: float, *keys: str) -> DataFrame:
-    """keys, date, gross, net, value: r = gross - cost(V), V <- V (1 + r), an ordered fold for each key and cost level.
+    """keys, level, date, gross, net, value: r = gross - cost(V), V <- V (1 + r), an ordered fold for each key and cost level.
 
-    path: keys, date, gross.  legs: keys, date, dw, adv, vol.  Only one path a (key, level) is gathered, never
-    several keys in one task.
+    path: keys, date, gross.  legs: keys, date, dw, adv, vol.  A key's dates and legs are one task's, since each value
+    needs the one before; keys run in parallel.  A null adv has no cap.
     """
-    day = legs.groupBy(*keys, "date").agg(F.collect_list(F.struct("dw", "adv", "vol")).alias("legs"))
-    rows = path.join(day, [*keys, "date"], "left").select(*keys, F.struct("date", "gross", F.coalesce("legs", F.array().cast("array<struct<dw:double,adv:double,vol:double>>")).alias("legs")).alias("s"))
-    book = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("days")).crossJoin(F.broadcast(levels(path.sparkSession)))
-    step = "array<struct<date:date,gross:double,net:double,value:double>>"
-
-    def merge(acc: Column, s: Column) -> Column:
-        money = F.aggregate(s["legs"], F.lit(0.0), lambda a, x: a + F.coalesce(leg(x["dw"], acc["v"], x["adv"], x["vol"], F.col("commission_bps"), F.col("half_spread_bps"), F.col("impact_eta"), F.col("adv_cap"))["cost"], F.lit(0.0)))
-        net = s["gross"] - F.when(acc["v"] > 0, money / F.nullif(acc["v"], F.lit(0.0))).otherwise(0.0)
-        value = acc["v"] * (1 + net)
-        row = F.struct(s["date"].alias("date"), s["gross"].alias("gross"), net.alias("net"), value.alias("value"))
-        return F.struct(value.alias("v"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    init = F.struct(F.lit(float(start)).alias("v"), F.array().cast(step).alias("out"))
-    return book.select(*keys, "level", F.explode(F.aggregate("days", init, merge)["out"]).alias("d")).select(*keys, "level", "d.*")
+    none = [F.lit(None).cast("double").alias(c) for c in ("dw", "adv", "vol")]
+    rows = legs.select(*keys, "date", F.lit(None).cast("double").alias("gross"), *(F.col(c).cast("double") for c in ("dw", "adv", "vol")))
+    rows = rows.unionAll(path.select(*keys, "date", F.col("gross").cast("double"), *none))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        days = pdf[pdf.dw.isna() & pdf.gross.notna()].sort_values("date")
+        trades = pdf[pdf.dw.notna()].sort_values("date")
+        first = trades.date.searchsorted(days.date, "left")
+        last = trades.date.searchsorted(days.date, "right")
+        dw, adv, vol = (trades[c].to_numpy(float) for c in ("dw", "adv", "vol"))
+        dw, whole, vol = np.abs(dw), np.where(np.isnan(adv), np.inf, adv), np.nan_to_num(vol)
+        out = []
+        for name, commission, spread, eta, cap in LEVELS:
+            value = start
+            for day, g, a, b in zip(days.date, days.gross, first, last, strict=True):
+                filled = np.minimum(dw[a:b] * value, cap * whole[a:b])
+                share = np.sqrt(np.divide(filled, adv[a:b], out=np.zeros_like(filled), where=adv[a:b] > 0))
+                money = (filled * ((spread + commission) * 1e-4 + (eta * vol[a:b] * share if eta > 0 else 0.0))).sum()
+                net = g - (money / value if value > 0 else 0.0)
+                value *= 1 + net
+                out.append((name, day, g, net, value))
+        book = pd.DataFrame(out, columns=["level", "date", "gross", "net", "value"])
+        for i, k in enumerate(keys):
+            book.insert(i, k, pdf[k].iloc[0])
+        return book
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "level string, date date, gross double, net double, value double"])
+    return rows.groupBy(*keys).applyInPandas(fold, schema)

@@ -37,6 +37,32 @@ def complete_dates(panel: DataFrame, tickers: int, *cols: str) -> DataFrame:
     return panel.groupBy("date").agg(ok.alias("n")).where(F.col("n") == tickers).select("date")
 
 
+def total_return_panel(tape: DataFrame, tickers: DataFrame, start, end) -> DataFrame:
+    """date, ticker, open, close, traded_close, traded_volume of a tape: prices times their dividend factor, from start to end.
+
+    Every date that one ticker has all must have; a wanted ticker without rows, or a date without a ticker, is an error.
+    """
+    day = F.col("date")
+    rows = tape.join(F.broadcast(tickers), "ticker", "left_semi").where((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date")))
+    rows = rows.select("date", "ticker", F.col("adj_open").alias("open"), F.col("adj_close").alias("close"), "traded_close", "traded_volume")
+    wanted = tickers.agg(F.count_distinct("ticker").alias("wanted"))
+    checked = rows.crossJoin(F.broadcast(wanted)).withColumn("n", F.count("close").over(Window.partitionBy("date")))
+    bad = F.raise_error(F.concat(F.lit("a ticker is missing on "), day.cast("string"))).cast("double")
+    return checked.withColumn("close", F.when(F.col("n") != F.col("wanted"), bad).otherwise(F.col("close"))).drop("n", "wanted")
+
+
+def reindexed(rows: DataFrame, index: DataFrame, tickers: DataFrame) -> DataFrame:
+    """One row a date of ``index`` and ticker; null where ``rows`` (date, ticker, ..) have none."""
+    names = tickers.agg(F.array_sort(F.collect_set("ticker")).alias("names"))
+    grid = index.select("date").distinct().crossJoin(F.broadcast(names)).select("date", F.explode("names").alias("ticker"))
+    return grid.join(rows, ["date", "ticker"], "left")
+
+
+def split(rows: DataFrame, train_end, test_start) -> tuple[DataFrame, DataFrame]:
+    """Rows up to the end of training, and from the start of the test on."""
+    return rows.where(F.col("date") <= F.lit(train_end).cast("date")), rows.where(F.col("date") >= F.lit(test_start).cast("date"))
+
+
 def aligned(panel: DataFrame, tickers: int, *cols: str) -> DataFrame:
     """The panel, or an error if a date lacks a ticker's value: an outer alignment in long form."""
     n = F.count(F.struct(*cols)).over(Window.partitionBy("date"))
