@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import statistics
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -480,9 +482,18 @@ def _(s, d):
     return rounded(backtest.buy_and_hold_walk(_panel(s, d), 5, 5).select("ticker", "date", "w"))
 
 
-@query("b12_random_policy")
+def _hashed(seed, k, *cols):
+    text = " || '|' || ".join([f"'{seed}|{k}'", *cols])
+    return f"((CAST('0x' || substr(md5({text}), 1, 10) AS BIGINT) + 0.5) / 1099511627776.0)"
+
+
+def _normal(*cols):
+    return f"sqrt(-2 * ln({_hashed(7, 1, *cols)})) * cos({_hashed(7, 2, *cols)} * 6.283185307179586)"
+
+
+@query("b12_random_policy", f"""WITH {t.EVENT_BARS}, {_WALK.format(score=f', exp({_normal("CAST(date AS VARCHAR)", "ticker")}) AS e, exp({_normal("CAST(date AS VARCHAR)")}) AS cash', weight='e / (sum(e) OVER (PARTITION BY date) + cash)')} {_WALK_OUT}""", "date")
 def _(s, d):
-    return _walk(s, d, backtest.random_softmax(7)).groupBy("date").agg(F.sum("w").alias("gross_weight"))
+    return rounded(_walk(s, d, backtest.random_softmax(7)).select("ticker", "date", "w", "r", "dw"))
 
 
 @query("p11_weight_check", f"WITH {t.EVENT_BARS}, {_MOM} SELECT date, round(sum(w), 6) AS total FROM walk GROUP BY 1", "date")
@@ -666,19 +677,31 @@ def _series(s, d):
 _POS = "x AS (SELECT ticker, date, ret, ret - avg(ret) OVER p AS h1, pow(ret - avg(ret) OVER p, 2) - var_pop(ret) OVER p AS h2, avg(ret) OVER p AS mu, stddev_pop(ret) OVER p AS sd, count(*) OVER p AS n FROM rets WINDOW p AS (PARTITION BY ticker))"
 
 
-@query("q4_sharpe_se", f"""WITH {t.RETURNS}, {_POS}, l AS (SELECT *, floor(4 * pow(n / 100, 2.0 / 9)) AS L FROM x),
-y AS (SELECT a.*, {', '.join(f'coalesce(lag(h1, {k}) OVER w, 0) AS a{k}, coalesce(lag(h2, {k}) OVER w, 0) AS b{k}' for k in (1, 2, 3, 4))} FROM l a WINDOW w AS (PARTITION BY ticker ORDER BY date)),
-o AS (SELECT ticker, any_value(n) AS n, any_value(mu) AS mu, any_value(sd) AS sd, any_value(L) AS L,
-  sum(h1 * h1{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * 2 * h1 * a{k}' for k in (1, 2, 3, 4))}) / any_value(n) AS o11,
-  sum(h1 * h2{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * (h1 * b{k} + h2 * a{k})' for k in (1, 2, 3, 4))}) / any_value(n) AS o12,
-  sum(h2 * h2{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * 2 * h2 * b{k}' for k in (1, 2, 3, 4))}) / any_value(n) AS o22 FROM y GROUP BY ticker)
-SELECT ticker, n, round(mu / sd, 6) AS sharpe, CAST(L AS INTEGER) AS lag, round(sqrt((1 + pow(mu / sd, 2) / 2) / n), 6) AS se_iid,
-  round(sqrt((o11 / (sd * sd) + 2 * (1 / sd) * (-mu / (2 * pow(sd, 3))) * o12 + pow(mu / (2 * pow(sd, 3)), 2) * o22) / n), 6) AS se_hac FROM o""")
+_LAGS = range(1, 13)
+
+
+def _lagged(x, y):
+    """SQL: Bartlett's sum over lags up to L, which the table's series keep below 13."""
+    return f"(sum({x} * {y}{''.join(f' + CASE WHEN {k} <= L THEN 1 - {k} / (L + 1) ELSE 0 END * ({x} * {y}_{k} + {y} * {x}_{k})' for k in _LAGS)}) / any_value(n))"
+
+
+_SE_SQL = f"""WITH {t.RETURNS}, {_POS}, l AS (SELECT *, floor(4 * pow(n / 100, 2.0 / 9)) AS L FROM x),
+y AS (SELECT l.*, {', '.join(f'coalesce(lag({h}, {k}) OVER w, 0) AS {h}_{k}' for h in ('h1', 'h2') for k in _LAGS)} FROM l WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+o AS (SELECT ticker, any_value(n) AS n, any_value(mu) AS mu, any_value(sd) AS sd, any_value(L) AS L, {_lagged('h1', 'h1')} AS o11, {_lagged('h1', 'h2')} AS o12, {_lagged('h2', 'h2')} AS o22 FROM y GROUP BY ticker)
+SELECT ticker, n, mu / sd AS sharpe, CAST(L AS INTEGER) AS lag, sqrt((1 + pow(mu / sd, 2) / 2) / n) AS se_iid, sqrt((o11 / (sd * sd) - mu / pow(sd, 4) * o12 + pow(mu / (2 * pow(sd, 3)), 2) * o22) / n) AS se_hac FROM o"""
+_SE_OUT = "ticker, n, round(sharpe, 6) AS sharpe, lag, round(se_iid, 6) AS se_iid, round(se_hac, 6) AS se_hac"
+
+
+@query("q4_sharpe_se", f"SELECT {_SE_OUT} FROM ({_SE_SQL})")
 def _(s, d):
     return rounded(stats.sharpe_se(_series(s, d), "ticker"))
 
 
-@query("q5_sharpe_ci")
+def _ppf(p):
+    return statistics.NormalDist().inv_cdf(p)
+
+
+@query("q5_sharpe_ci", f"SELECT {_SE_OUT}, round(sharpe - {_ppf(0.975)} * se_hac, 6) AS lower, round(sharpe + {_ppf(0.975)} * se_hac, 6) AS upper FROM ({_SE_SQL})")
 def _(s, d):
     return rounded(stats.sharpe_ci(stats.sharpe_se(_series(s, d), "ticker")))
 
@@ -690,16 +713,39 @@ def _(s, d):
     return rounded(stats.annualisation(_series(s, d), 5, "ticker"))
 
 
-@query("q7_psr")
+def _cdf(x):
+    """SQL: the normal distribution by its series in odd double factorials."""
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 250), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))))"
+
+
+def _moments(keys):
+    by = f"PARTITION BY {keys}" if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""mo AS (SELECT {keys + ',' if keys else ''} count(*) AS n, any_value(mu) / sqrt(avg(pow(ret - mu, 2))) AS sr, avg(pow(ret - mu, 3)) / pow(avg(pow(ret - mu, 2)), 1.5) AS skew, avg(pow(ret - mu, 4)) / pow(avg(pow(ret - mu, 2)), 2) AS kurt
+  FROM (SELECT *, avg(ret) OVER ({by}) AS mu FROM rets) {group})"""
+
+
+def _psr(benchmark):
+    return f"(sr - {benchmark}) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)"
+
+
+def _benchmark(trials):
+    """SQL: the ratio that the best of some trials is expected to have, their deviation being 1 / sqrt(n)."""
+    return f"({(1 - stats.EULER) * _ppf(1 - 1 / trials) + stats.EULER * _ppf(1 - 1 / (trials * math.e))} / sqrt(n))"
+
+
+def _sample(s, d, *keys):
+    return t.returns(s, d).groupBy(*keys).agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").cast("double").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+
+
+@query("q7_psr", f"WITH {t.RETURNS}, {_moments('ticker')}, z AS (SELECT ticker, {_psr(0)} AS z FROM mo) SELECT ticker, round({_cdf('z')}, 6) AS psr FROM z")
 def _(s, d):
-    g = t.returns(s, d).groupBy("ticker").agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
-    return rounded(g.select("ticker", stats.psr(F.col("sr"), F.col("n").cast("double"), F.col("skew"), F.col("kurt")).alias("psr")))
+    return rounded(_sample(s, d, "ticker").select("ticker", stats.psr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt")).alias("psr")))
 
 
-@query("q9_dsr")
+@query("q9_dsr", f"WITH {t.RETURNS}, {_moments('ticker')}, z AS (SELECT ticker, {_psr(_benchmark(5))} AS z FROM mo) SELECT ticker, round({_cdf('z')}, 6) AS dsr FROM z")
 def _(s, d):
-    g = t.returns(s, d).groupBy("ticker").agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
-    return rounded(g.select("ticker", stats.dsr(F.col("sr"), F.col("n").cast("double"), F.col("skew"), F.col("kurt"), F.lit(5)).alias("dsr")))
+    return rounded(_sample(s, d, "ticker").select("ticker", stats.dsr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.lit(5)).alias("dsr")))
 
 
 def _trials(s, d):
@@ -742,33 +788,71 @@ def _errors(s, d):
     return r.select("t", F.coalesce("a", "top").alias("a"), F.coalesce("b", "low").alias("b"))
 
 
-@query("q11_diebold_mariano", f"""WITH {t.RETURNS}, e AS (SELECT date, coalesce(max(ret) FILTER (ticker = 'click'), max(ret)) AS a, coalesce(max(ret) FILTER (ticker = 'view'), min(ret)) AS b FROM rets GROUP BY 1),
-x AS (SELECT a * a - b * b AS d, date FROM e), m AS (SELECT avg(d) AS m, count(*) AS n FROM x), y AS (SELECT d - m AS e, n, m, lag(d - m) OVER (ORDER BY date) AS e1 FROM x, m),
-z AS (SELECT any_value(n) AS n, any_value(m) AS m, sum(e * e) + 2 * sum(e * e1) AS v FROM y)
-SELECT n, round(m, 6) AS mean_diff, round(m / sqrt(v / n / n) * sqrt((n + 1 - 4 + 2.0 / n) / n), 6) AS statistic, CASE WHEN m < 0 THEN 'a' WHEN m > 0 THEN 'b' ELSE 'tie' END AS better FROM z""")
+_ERRORS = "e AS (SELECT date, coalesce(max(ret) FILTER (ticker = 'click'), max(ret)) AS a, coalesce(max(ret) FILTER (ticker = 'view'), min(ret)) AS b FROM rets GROUP BY 1)"
+
+
+def _dm(loss, h):
+    """SQL: Diebold and Mariano's statistic and its p-values; Student's distribution by the finite sums for whole degrees of freedom."""
+    lags = " + ".join(["sum(e * e)", *(f"2 * sum(e * e{k})" for k in range(1, h))])
+    before = "".join(f", lag(d - m, {k}) OVER (ORDER BY date) AS e{k}" for k in range(1, h))
+    return f"""dx AS (SELECT {loss.format('a')} - {loss.format('b')} AS d, date FROM e), dmean AS (SELECT avg(d) AS m, count(*) AS n FROM dx), dy AS (SELECT d - m AS e, n, m{before} FROM dx, dmean),
+dz AS (SELECT any_value(n) AS n, any_value(m) AS m, ({lags}) / any_value(n) AS v FROM dy), ds AS (SELECT *, m / sqrt(v / n) * sqrt((n + 1 - 2 * {h} + {h} * ({h} - 1) / n) / n) AS stat, n - 1 AS f FROM dz),
+terms AS (SELECT f, cos(atan(stat / sqrt(f))) AS c, CAST(1 AS BIGINT) AS j, sin(atan(stat / sqrt(f))) * CASE WHEN f % 2 = 0 THEN 1 ELSE cos(atan(stat / sqrt(f))) END AS term FROM ds
+  UNION ALL SELECT f, c, j + 1, term * c * c * CASE WHEN f % 2 = 0 THEN (2 * j - 1) / (2 * j) ELSE 2 * j / (2 * j + 1) END FROM terms WHERE j < CASE WHEN f % 2 = 0 THEN f // 2 ELSE (f - 1) // 2 END),
+dp AS (SELECT *, 1 - (CASE WHEN f % 2 = 0 THEN s ELSE 2 / pi() * (s + atan(stat / sqrt(f))) END) AS two FROM ds, (SELECT sum(term) AS s FROM terms)),
+dm AS (SELECT n, m, v, stat, least(two, 2 - two) AS p, 1 - two / 2 AS a_better, two / 2 AS b_better, CASE WHEN m < 0 THEN 'a' WHEN m > 0 THEN 'b' ELSE 'tie' END AS better FROM dp)"""
+
+
+@query("q11_diebold_mariano", f"""WITH RECURSIVE {t.RETURNS}, {_ERRORS}, {_dm('{0} * {0}', 2)}, k(alternative) AS (VALUES ('two-sided'), ('a-better'), ('b-better'))
+SELECT alternative, n, round(m, 6) AS mean_diff, round(v, 6) AS variance, round(stat, 6) AS statistic, round(CASE alternative WHEN 'two-sided' THEN p WHEN 'a-better' THEN a_better ELSE b_better END, 6) AS p_value, better FROM dm, k""")
+def _(s, d):
+    rows = None
+    for k in ("two-sided", "a-better", "b-better"):
+        one = stats.diebold_mariano(_errors(s, d), h=2, alternative=k).select(F.lit(k).alias("alternative"), "*")
+        rows = one if rows is None else rows.unionAll(one)
+    return rounded(rows)
+
+
+def _resample(n, block, replicates, seed):
+    """SQL: b, t, i of the stationary bootstrap; n may be an expression over the CTE ``size``."""
+    return f"""grid AS (SELECT b, t, n FROM (SELECT unnest(range(0, {replicates})) AS b), (SELECT n, unnest(range(0, n)) AS t FROM (SELECT CAST({n} AS BIGINT) AS n))),
+jumps AS (SELECT b, t, n, t = 0 OR {_hashed(seed, 1, 'b', 't')} < 1.0 / {block} AS jump, CAST(floor({_hashed(seed, 2, 'b', 't')} * n) AS BIGINT) AS fresh FROM grid),
+places AS (SELECT b, t, (last_value(CASE WHEN jump THEN fresh END IGNORE NULLS) OVER w + t - last_value(CASE WHEN jump THEN t END IGNORE NULLS) OVER w) % n AS i FROM jumps WINDOW w AS (PARTITION BY b ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("q12_bootstrap_indices", f"WITH {_resample(200, 10, 50, 1)} SELECT b, CAST(t AS INTEGER) AS t, i FROM places")
 def _(s, d):
-    return rounded(stats.diebold_mariano(_errors(s, d), h=2).drop("p_value"))
+    return stats.bootstrap_indices(s, 200, 10, 50, 1).select("b", "t", F.col("i").cast("long").alias("i"))
 
 
-@query("q12_bootstrap_indices")
+@query("q13_bootstrap_variance", f"""WITH {t.RETURNS}, x AS (SELECT ticker, row_number() OVER p AS i, ret - avg(ret) OVER a AS d, count(*) OVER a AS n FROM rets WINDOW p AS (PARTITION BY ticker ORDER BY date), a AS (PARTITION BY ticker)),
+g AS (SELECT a.ticker, b.i - a.i AS k, any_value(a.n) AS n, sum(a.d * b.d) AS s FROM x a JOIN x b ON a.ticker = b.ticker AND b.i >= a.i GROUP BY 1, 2)
+SELECT ticker, round(sum(CASE WHEN k = 0 THEN 1 ELSE 2 * ((1 - k / n) * pow(0.8, k) + k / n * pow(0.8, n - k)) END * s / n) / any_value(n), 8) AS variance FROM g GROUP BY 1""")
 def _(s, d):
-    return stats.bootstrap_indices(s, 200, 10, 50, 1).groupBy("i").agg(F.count("*").alias("n"))
+    return rounded(stats.bootstrap_variance(_series(s, d), 5.0, "ticker"), 8)
 
 
-@query("q13_bootstrap_variance", f"""WITH {t.RETURNS}, x AS (SELECT row_number() OVER (ORDER BY date) AS i, ret - avg(ret) OVER () AS d, count(*) OVER () AS n FROM rets WHERE ticker = (SELECT min(ticker) FROM rets)),
-g AS (SELECT b.i - a.i AS k, any_value(a.n) AS n, sum(a.d * b.d) AS s FROM x a JOIN x b ON b.i >= a.i GROUP BY 1)
-SELECT round(sum(CASE WHEN k = 0 THEN 1 ELSE 2 * ((1 - k / n) * pow(0.8, k) + k / n * pow(0.8, n - k)) END * s / n) / any_value(n), 8) AS variance FROM g""")
+def _interval(method):
+    low, high = ("lo", "hi") if method == "percentile" else ("2 * theta - hi", "2 * theta - lo")
+    return f"""cut AS (SELECT quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi, least(1.0, 2 * least(avg(CASE WHEN stat <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN stat >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM reps)
+SELECT round(theta, 6) AS theta, round({low}, 6) AS lower, round({high}, 6) AS upper, round(p, 6) AS p_value FROM own, cut"""
+
+
+@query("q14_bootstrap_interval", f"""WITH {t.RETURNS}, day AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, m FROM (SELECT date, avg(ret) AS m FROM rets GROUP BY 1)), {_resample('(SELECT count(*) FROM day)', 4, 100, 11)},
+reps AS (SELECT b, median(m) AS stat FROM places JOIN day USING (i) GROUP BY 1), own AS (SELECT median(m) AS theta FROM day), {_interval('basic')}""")
 def _(s, d):
-    r = _series(s, d)
-    one = r.join(F.broadcast(r.agg(F.min("ticker").alias("ticker"))), "ticker", "left_semi")
-    return rounded(stats.bootstrap_variance(one, 5.0), 8)
+    """The basic interval of a statistic of one's own: the median of daily means."""
+    days = _series(s, d).groupBy("t").agg(F.avg("ret").alias("m"))
+    return rounded(stats.bootstrap_statistic(days, lambda sample: sample["m"].median(), 4, 100, 11, method="basic"))
+
+
+_DIFFERENCE = f"""pairs AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, a, b AS o FROM e), {_resample('(SELECT count(*) FROM pairs)', 5, 200, 3)},
+reps AS (SELECT b, avg(a) / stddev_pop(a) - avg(o) / stddev_pop(o) AS stat FROM places JOIN pairs USING (i) GROUP BY 1), own AS (SELECT avg(a) / stddev_pop(a) - avg(o) / stddev_pop(o) AS theta FROM pairs)"""
 
 
-@query("q15_sharpe_difference")
+@query("q15_sharpe_difference", f"WITH {t.RETURNS}, {_ERRORS}, {_DIFFERENCE}, {_interval('percentile')}")
 def _(s, d):
-    w = Window.orderBy("t")
-    e = _errors(s, d).withColumn("t", F.row_number().over(w) - 1)
-    return rounded(stats.sharpe_difference_ci(e, 29, 5, 200, 3))
+    return rounded(stats.sharpe_difference_ci(_errors(s, d), 5, 200, 3))
 
 
 @query("q16_benjamini_hochberg", """WITH x AS (SELECT p_partkey AS id, (p_partkey * 7919 % 10007) / 10007.0 * (p_partkey % 7) / 7.0 AS p FROM part),
@@ -780,18 +864,21 @@ def _(s, d):
     return rounded(stats.benjamini_hochberg(x).select("id", "rank", "adjusted", "rejected"))
 
 
-@query("q17_q19_distributions")
+@query("q17_q19_distributions", f"""WITH v AS (SELECT DISTINCT p_partkey % 700 / 100.0 - 3.5 AS x0 FROM part), u AS (SELECT CAST(x0 AS DOUBLE) AS x, atan(CAST(x0 AS DOUBLE) / 3) AS h FROM v)
+SELECT round(x, 9) + 0.0 AS x, round({_cdf('x')}, 9) AS cdf, round(x, 9) + 0.0 AS back, round(0.5 - (h + sin(h) * cos(h) * (1 + 2 / 3 * pow(cos(h), 2) + 8 / 15 * pow(cos(h), 4) + 48 / 105 * pow(cos(h), 6))) / pi(), 9) AS t9 FROM u""")
 def _(s, d):
     x = table(s, d, "part").select(((F.col("p_partkey") % 700) / 100.0 - 3.5).alias("x")).distinct()
     return rounded(x.select("x", norm_cdf(F.col("x")).alias("cdf"), norm_ppf(norm_cdf(F.col("x"))).alias("back"), student_sf(F.col("x"), F.lit(9)).alias("t9")), 9)
 
 
-@query("q20_three_gates")
+@query("q20_three_gates", f"""WITH RECURSIVE {t.RETURNS}, {_ERRORS}, {_dm('{0}', 1)}, {_moments('')}, z AS (SELECT {_psr(_benchmark(8))} AS z FROM mo), {_DIFFERENCE}, low AS (SELECT quantile_cont(stat, 0.025) AS lo FROM reps),
+r AS (SELECT p, better, {_cdf('z')} AS dsr, lo FROM dm, z, low)
+SELECT round(p, 6) AS dm_p, better AS dm_better, round(dsr, 6) AS dsr, round(lo, 6) AS lower_bound, p < 0.05 AND better = 'a' AS gate_dm, dsr > 0.95 AS gate_dsr, lo > 0 AS gate_seeds, p < 0.05 AND better = 'a' AND dsr > 0.95 AND lo > 0 AS verdict FROM r""")
 def _(s, d):
     dm = stats.diebold_mariano(_errors(s, d), loss="identity").select(F.col("p_value").alias("dm_p"), F.col("better").alias("dm_better"))
-    g = t.returns(s, d).agg(metrics.population_sharpe("ret").alias("sr"), F.count("*").alias("n"), F.skewness("ret").alias("k3"), (F.kurtosis("ret") + 3).alias("k4"))
-    row = dm.crossJoin(g.select(stats.dsr(F.col("sr"), F.col("n").cast("double"), F.col("k3"), F.col("k4"), F.lit(8)).alias("dsr"), F.lit(0.1).alias("lower_bound")))
-    return rounded(stats.three_gates(row))
+    dsr = _sample(s, d).select(stats.dsr(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt"), F.lit(8)).alias("dsr"))
+    low = stats.sharpe_difference_ci(_errors(s, d), 5, 200, 3).select(F.col("lower").alias("lower_bound"))
+    return rounded(stats.three_gates(dm.crossJoin(dsr).crossJoin(low)))
 
 
 # ------------------------------------------------------------------ extensions

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import costs, metrics, panel
+from . import costs, metrics, panel, stats
 
 
 def folds(spark: SparkSession, start: str, end: str, train_years: float = 4, test_years: float = 1, step_years: float = 1, embargo_days: int = 0) -> DataFrame:
@@ -58,9 +58,8 @@ def oracle(k: int = 1) -> Callable[[DataFrame], DataFrame]:
 def random_softmax(seed: int, max_gross: float = 1.0) -> Callable[[DataFrame], DataFrame]:
     """Softmax of hashed normals with a cash slot; the same (date, ticker) has the same draw anywhere."""
 
-    def normal(*cols) -> Column:
-        u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *cols), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        return F.sqrt(-2 * F.ln(u(1))) * F.cos(u(2) * 6.283185307179586)
+    def normal(*cols: str) -> Column:
+        return F.sqrt(-2 * F.ln(stats.hashed(seed, 1, *cols))) * F.cos(stats.hashed(seed, 2, *cols) * 6.283185307179586)
 
     def weigh(p: DataFrame) -> DataFrame:
         e = p.withColumn("_e", F.exp(normal("date", "ticker")))

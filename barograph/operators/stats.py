@@ -1,9 +1,15 @@
-"""The statistical referee: Sharpe inference, deflation, overfitting, forecast comparison, bootstrap, false discovery."""
+"""The statistical referee: Sharpe inference, deflation, overfitting, forecast comparison, bootstrap, false discovery.
+
+Nulls and non-finite values, series without variance, lags and horizons out of range are errors, never nulls.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +18,23 @@ from ..functions.normal import norm_cdf, norm_ppf, student_sf
 EULER = 0.5772156649015329
 
 
+def finite(rows: DataFrame, *cols: str) -> DataFrame:
+    """The rows, or an error where one of ``cols`` is null, infinite or no number."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return rows.withColumns({c: F.when(ok(c), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} contains non-finite values")).cast("double")) for c in cols})
+
+
+def unless(bad: Column, message: str, value: Column) -> Column:
+    """The value, or an error where ``bad`` holds."""
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast("double")).otherwise(value)
+
+
+def hashed(seed: int, k: int, *cols) -> Column:
+    """A number in (0, 1) from the MD5 of seed, k and columns as text, the same in any engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(k)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
+
+
 def default_lag(n: Column) -> Column:
     return F.floor(4 * F.pow(n / 100, F.lit(2 / 9))).cast("int")
 
@@ -32,7 +55,13 @@ def sharpe_se(rets: DataFrame, *keys: str, rf: float = 0.0, q: int = 1, lag: int
 
     The HAC one uses Bartlett weights on the moments (r - mu, (r - mu)**2 - var); lag None is the default by n, as far as the longest series needs.
     """
+    rets = finite(rets, "ret")
+    if lag is not None and lag < 0:
+        raise ValueError("a lag is 0 or more")
     base = rets.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mu"), F.var_pop("ret").alias("var"))
+    base = base.withColumn("var", unless(F.col("n") < 2, "at least 2 returns are needed", unless(F.col("var") == 0, "returns have zero variance", F.col("var"))))
+    if lag is not None:
+        base = base.withColumn("mu", unless(F.col("n") <= lag, "the lag is at most the number of returns less one", F.col("mu")))
     rows = _positions(rets, *keys).join(base, list(keys)) if keys else _positions(rets).crossJoin(base)
     rows = rows.withColumn("h1", F.col("ret") - F.col("mu")).withColumn("h2", F.pow(F.col("ret") - F.col("mu"), F.lit(2.0)) - F.col("var"))
     pairs = [("h1", "h1"), ("h1", "h2"), ("h2", "h1"), ("h2", "h2")]
@@ -140,75 +169,117 @@ def pbo(splits: DataFrame) -> DataFrame:
     )
 
 
-def diebold_mariano(errors: DataFrame, *keys: str, h: int = 1, loss: str = "squared", weights: str = "uniform", lag: int | None = None) -> DataFrame:
-    """keys, n, mean_diff, statistic, p_value (two-sided), better, from (keys, t, a, b) errors of two forecasts.
+def diebold_mariano(errors: DataFrame, *keys: str, h: int = 1, loss="squared", weights: str = "uniform", lag: int | None = None, alternative: str = "two-sided") -> DataFrame:
+    """keys, n, mean_diff, variance, statistic, p_value, better, from (keys, t, a, b) errors of two forecasts.
 
-    loss: squared, absolute or identity.  Equal losses throughout give statistic 0 and p 1.
+    loss: squared, absolute, identity, or a function of a column.  alternative: two-sided, a-better or b-better.  variance
+    is the long-run one of the loss differences.  Equal losses throughout give statistic 0, p 1 and a tie.
     """
     if weights not in ("uniform", "bartlett"):
         raise ValueError(f"unknown weights {weights}")
-    of = {"squared": lambda x: x * x, "absolute": F.abs, "identity": lambda x: x}[loss]
+    if alternative not in ("two-sided", "a-better", "b-better"):
+        raise ValueError(f"unknown alternative {alternative}")
+    losses = {"squared": lambda x: x * x, "absolute": F.abs, "identity": lambda x: x}
+    if not callable(loss) and loss not in losses:
+        raise ValueError(f"unknown loss {loss}")
+    of = loss if callable(loss) else losses[loss]
     lag = h - 1 if lag is None else lag
-    d = errors.withColumn("d", of(F.col("a")) - of(F.col("b")))
+    if h < 1 or lag < 0:
+        raise ValueError("a horizon is 1 or more, a lag 0 or more")
+    d = finite(errors, "a", "b").withColumn("d", of(F.col("a")) - of(F.col("b")))
     base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.max(F.abs("d")).alias("most"))
+    base = base.withColumn("mean_diff", unless(F.col("n") < max(3, h, lag + 1), "too few errors for the horizon or lag", F.col("mean_diff")))
     rows = (_positions(d, *keys).join(base, list(keys)) if keys else _positions(d).crossJoin(base)).withColumn("e", F.col("d") - F.col("mean_diff"))
     s = lagged_products(rows, "e", "e", lag, *keys)
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2.0 * (1.0 if weights == "uniform" else (1 - F.col("lag") / (lag + 1))))
     v = s.groupBy(*keys).agg(F.sum(weight * F.coalesce("s", F.lit(0.0))).alias("v"))
     out = v.join(base, list(keys)) if keys else v.crossJoin(base)
-    n = F.col("n").cast("double")
-    hln = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
-    stat = F.when(F.col("most") == 0, 0.0).otherwise(F.col("mean_diff") / F.sqrt(F.nullif(F.col("v") / n / n, F.lit(0.0))) * hln)
-    out = out.withColumn("statistic", stat)
-    p = F.when(F.col("most") == 0, 1.0).otherwise(2 * student_sf(F.abs("statistic"), n - 1))
+    n, same = F.col("n").cast("double"), F.col("most") == 0
+    out = out.withColumn("variance", F.when(same, 0.0).otherwise(unless(F.col("v") <= 0, "the long-run variance is not positive: take bartlett weights", F.col("v") / n)))
+    hln = n + 1 - 2 * h + h * (h - 1) / n
+    root = unless(hln <= 0, "the horizon is too long for the number of errors", F.sqrt(hln / n))
+    out = out.withColumn("statistic", F.when(same, 0.0).otherwise(F.col("mean_diff") / F.sqrt(F.nullif(F.col("variance") / n, F.lit(0.0))) * root))
+    x = {"two-sided": F.abs("statistic"), "a-better": -F.col("statistic"), "b-better": F.col("statistic")}[alternative]
+    p = F.when(same, 1.0).otherwise((2 if alternative == "two-sided" else 1) * student_sf(x, n - 1))
     better = F.when(F.col("mean_diff") < 0, "a").when(F.col("mean_diff") > 0, "b").otherwise("tie")
-    return out.select(*keys, "n", "mean_diff", "statistic", p.alias("p_value"), better.alias("better"))
+    return out.select(*keys, "n", "mean_diff", "variance", "statistic", p.alias("p_value"), better.alias("better"))
 
 
 def bootstrap_indices(spark: SparkSession, n: int, block: float, replicates: int, seed: int) -> DataFrame:
     """b, t, i: indices of the stationary bootstrap. At a jump a fresh index, then consecutive ones, modulo n."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "b", "t"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    if n < 2 or block < 1 or replicates < 1:
+        raise ValueError("at least 2 observations, a mean block of 1 and one replicate are needed")
     grid = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
     w = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    jump = (F.col("t") == 0) | (u(1) < 1.0 / block)
-    fresh = F.when(jump, F.struct(F.col("t").alias("at"), F.floor(u(2) * n).cast("int").alias("i")))
+    jump = (F.col("t") == 0) | (hashed(seed, 1, "b", "t") < 1.0 / block)
+    fresh = F.when(jump, F.struct(F.col("t").alias("at"), F.floor(hashed(seed, 2, "b", "t") * n).cast("int").alias("i")))
     return grid.withColumn("j", F.last(fresh, ignorenulls=True).over(w)).select("b", "t", ((F.col("j.i") + F.col("t") - F.col("j.at")) % n).alias("i"))
 
 
-def bootstrap_variance(rets: DataFrame, block: float) -> DataFrame:
-    """The exact variance of the mean under the stationary bootstrap: gamma_0 + 2 sum (1 - k/n) (1-p)**k + (k/n) (1-p)**(n-k) terms, over n."""
-    base = rets.agg(F.count("*").alias("n"), F.avg("ret").alias("mu"))
-    rows = _positions(rets).crossJoin(base).select("i", "n", (F.col("ret") - F.col("mu")).alias("d"))
-    # all lags of one series: an array of n values, lags dealt over tasks
-    series = rows.agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda s: s["d"]).alias("d"))
-    lags = series.select("n", "d", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
-    s = lags.select("n", "k", F.aggregate(F.zip_with(F.slice("d", F.lit(1), F.col("n").cast("int") - F.col("k")), F.slice("d", F.col("k") + 1, F.col("n").cast("int") - F.col("k")), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("s"))
+def bootstrap_variance(rets: DataFrame, block: float, *keys: str) -> DataFrame:
+    """keys, variance: that of the mean under the stationary bootstrap, exactly.
+
+    gamma_0 + 2 sum (1 - k/n) (1-p)**k + (k/n) (1-p)**(n-k) terms of lag k, over n; all lags of a series come from one
+    Fourier transform.  A series is one task's, and series run in parallel.
+    """
+    if block < 1:
+        raise ValueError("a mean block is 1 or more")
     p = 1.0 / block
-    frac = F.col("k") / F.col("n")
-    b = (1 - frac) * F.pow(F.lit(1 - p), F.col("k")) + frac * F.pow(F.lit(1 - p), F.col("n") - F.col("k"))
-    return s.agg((F.sum(F.when(F.col("k") == 0, 1.0).otherwise(2 * b) * F.col("s") / F.col("n")) / F.max("n")).alias("variance"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["ret"].to_numpy(float)
+        n = len(x)
+        f = np.fft.rfft(x - x.mean(), 2 * n)
+        gamma = np.fft.irfft(f * np.conj(f), 2 * n)[:n] / n
+        k = np.arange(n)
+        weight = (1 - k / n) * (1 - p) ** k + k / n * (1 - p) ** (n - k)
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in keys), (gamma[0] + 2 * (weight * gamma)[1:].sum()) / n]], columns=[*keys, "variance"])
+
+    kinds = dict(rets.dtypes)
+    rows = finite(rets, "ret").select(*keys, "t", "ret")
+    return rows.groupBy(*keys).applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in keys), "variance double"]))
 
 
 def resampled(rets: DataFrame, n: int, block: float, replicates: int, seed: int) -> DataFrame:
-    """b and all columns of ``rets`` (t from 0 to n - 1) for each resampled place; rows stay whole, so pairs stay paired."""
+    """b, place and all columns of ``rets`` (t from 0 to n - 1) for each resampled place; rows stay whole, so pairs stay paired."""
     i = bootstrap_indices(rets.sparkSession, n, block, replicates, seed)
     return i.select("b", F.col("t").alias("place"), F.col("i").alias("t")).join(rets, "t")
 
 
-def bootstrap_ci(stats: DataFrame, theta: Column, alpha: float = 0.05, method: str = "percentile") -> DataFrame:
-    """lower, upper, p_value from replicates' statistics (stat) and the sample's own."""
+def bootstrap_ci(stats: DataFrame, theta: DataFrame, alpha: float = 0.05, method: str = "percentile") -> DataFrame:
+    """theta, lower, upper, p_value from replicates' statistics (stat) and the sample's own, a table of one row (theta)."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1")
+    if method not in ("percentile", "basic"):
+        raise ValueError(f"unknown method {method}")
+    stats = finite(stats, "stat")
     lo, hi = F.percentile("stat", F.lit(alpha / 2)), F.percentile("stat", F.lit(1 - alpha / 2))
     tails = F.least(F.avg(F.when(F.col("stat") <= 0, 1.0).otherwise(0.0)), F.avg(F.when(F.col("stat") >= 0, 1.0).otherwise(0.0)))
-    ends = (lo, hi) if method == "percentile" else (2 * theta - hi, 2 * theta - lo)
-    return stats.agg(ends[0].alias("lower"), ends[1].alias("upper"), F.least(F.lit(1.0), 2 * tails).alias("p_value"))
+    ends = theta.select("theta").crossJoin(stats.agg(lo.alias("lo"), hi.alias("hi"), F.least(F.lit(1.0), 2 * tails).alias("p_value")))
+    low, high = ("lo", "hi") if method == "percentile" else (2 * F.col("theta") - F.col("hi"), 2 * F.col("theta") - F.col("lo"))
+    of = lambda x: F.col(x) if isinstance(x, str) else x
+    return ends.select("theta", of(low).alias("lower"), of(high).alias("upper"), "p_value")
+
+
+def bootstrap_statistic(rets: DataFrame, statistic: Callable[[pd.DataFrame], float], block: float, replicates: int = 500, seed: int = 1, alpha: float = 0.05, method: str = "percentile") -> DataFrame:
+    """As ``bootstrap_ci``, of any function of a sample's rows in their order (t and the other columns); replicates in parallel."""
+    placed = rets.withColumn("t", F.row_number().over(Window.orderBy("t")) - 1)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"stat": [float(statistic(pdf.sort_values("place")))]})
+
+    reps = resampled(placed, rets.count(), block, replicates, seed).groupBy("b").applyInPandas(one, "stat double")
+    own = placed.withColumns({"place": F.col("t"), "b": F.lit(0)}).groupBy("b").applyInPandas(one, "stat double").withColumnRenamed("stat", "theta")
+    return bootstrap_ci(reps, own, alpha, method)
 
 
-def sharpe_difference_ci(pairs: DataFrame, n: int, block: float = 20, replicates: int = 500, seed: int = 1, alpha: float = 0.05) -> DataFrame:
-    """From (t, a, b): the difference of population Sharpe ratios with a jointly resampled interval."""
+def sharpe_difference_ci(pairs: DataFrame, block: float = 20, replicates: int = 500, seed: int = 1, alpha: float = 0.05, method: str = "percentile") -> DataFrame:
+    """From (t, a, b): the difference of population Sharpe ratios with a jointly resampled interval, over all rows."""
     sr = lambda c: F.avg(c) / F.nullif(F.stddev_pop(c), F.lit(0.0))
+    pairs = finite(pairs, "a", "b").withColumn("t", F.row_number().over(Window.orderBy("t")) - 1)
     theta = pairs.agg((sr("a") - sr("b")).alias("theta"))
-    stats = resampled(pairs.withColumnRenamed("b", "other"), n, block, replicates, seed).groupBy("b").agg((sr("a") - sr("other")).alias("stat"))
-    return bootstrap_ci(stats, F.lit(0.0), alpha).crossJoin(theta)
+    stats = resampled(pairs.withColumnRenamed("b", "other"), pairs.count(), block, replicates, seed).groupBy("b").agg((sr("a") - sr("other")).alias("stat"))
+    return bootstrap_ci(stats, theta, alpha, method)
 
 
 def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, dependency: str = "independent") -> DataFrame:
