@@ -266,27 +266,39 @@ def test_language_id_learns(spark):
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 
 
-def test_stupid_backoff_equals_brute_force(spark):
+@pytest.mark.parametrize("order, share", [(2, 4000), (2, 10), (3, 4000), (3, 5), (4, 20)])
+def test_stupid_backoff_equals_brute_force(spark, order, share):
     from collections import Counter
 
-    rows = [(i, " ".join(WORDS[(i * k) % 17] for k in range(1 + i % 12)), "a") for i in range(40)] + [(90, None, "a"), (91, " ", "a")]
-    words = {i: (t or "").split() for i, t, _ in rows}
-    pairs = {i: Counter(zip(["<s>", *w], w)) for i, w in words.items()}
-    ones = {i: Counter([*w, *["<s>"] * bool(w)]) for i, w in words.items()}
-    p, u, n = sum(pairs.values(), Counter()), sum(ones.values(), Counter()), sum(map(len, words.values()))
-    for r in ngram_lm.stupid_backoff(docs(spark, rows), slices=2).collect():
+    rows = [(i, " ".join(WORDS[(i * k * k) % (5 + i % 13)] for k in range(1 + i % 12)), "a") for i in range(40)] + [(90, None, "a"), (91, " ", "a")]
+    words = {i: ["<s>"] * (order - 1) + (t or "").split() for i, t, _ in rows}
+    own = {i: Counter(tuple(w[k - m + 1 : k + 1]) for k in range(order - 1, len(w)) for m in range(1, order + 1)) for i, w in words.items()}
+    for i, w in words.items():
+        for m in range(1, order):
+            if len(w) >= order:
+                own[i][("<s>",) * m] += 1
+    every = sum(own.values(), Counter())
+    n = sum(len(w) - order + 1 for w in words.values())
+    got = ngram_lm.stupid_backoff(docs(spark, rows), order, slices=2, share=share).collect()
+    assert len(got) == len(rows)
+    for r in got:
         w, s = words[r.doc_id], 0.0
-        for (b, c), k in pairs[r.doc_id].items():
-            others = max(n - len(w), 1)
-            if (x := p[b, c] - k) > 0:
-                v = x / (u[b] - ones[r.doc_id][b])
-            elif (x := u[c] - ones[r.doc_id][c]) > 0:
-                v = 0.4 * x / others
-            else:
-                v = 0.16 / others
-            s += k * np.log(v)
-        assert r.n_words == len(w) and (r.score is None if not w else r.score == pytest.approx(s / len(w)))
-    assert len(ngram_lm.stupid_backoff(docs(spark, EDGE), slices=1).collect()) == len(EDGE)
+        size = len(w) - order + 1
+        others = lambda g, i=r.doc_id: every[tuple(g)] - own[i][tuple(g)]
+        for k in range(order - 1, len(w)):
+            for m in range(order, 0, -1):
+                x = others(w[k - m + 1 : k + 1])
+                if x > 0 and m > 1:
+                    v = x / others(w[k - m + 1 : k])
+                elif m > 1:
+                    continue
+                else:
+                    v = (x if x > 0 else 0.4) / max(n - size, 1)
+                s += np.log(0.4 ** (order - m) * v)
+                break
+        assert r.n_words == size and (r.score is None if not size else r.score == pytest.approx(s / size))
+    assert len(ngram_lm.stupid_backoff(docs(spark, EDGE), order, slices=1).collect()) == len(EDGE)
+    assert ngram_lm.stupid_backoff(docs(spark, []), order, slices=1).count() == 0
 
 
 def test_chat_format(spark):
