@@ -69,8 +69,42 @@ def adjusted(bars: DataFrame, acts: DataFrame, as_of=None, dividends: bool = Tru
     return out.withColumns({f"adj_{c}": F.col(c) * F.col("adj_factor") for c in PRICES})
 
 
+def both_factors(bars: DataFrame, acts: DataFrame, as_of=None) -> DataFrame:
+    """The bars with unadjust_factor (all splits) and adj_factor (dividends public by ``as_of``), in one pass.
+
+    Bars and actions are one sequence a ticker: a forward window finds the close before each dividend, a backward one
+    multiplies what comes later.  Nothing is joined, so bars are read and shuffled once.  ``bars`` has one row a
+    (ticker, date).
+    """
+    names = bars.columns
+    if as_of is not None:
+        acts = acts.where((F.col("kind") == "split") | (F.col("first_public_at") <= F.lit(as_of).cast("timestamp")))
+    steps = known(acts).where("kind = 'dividend' or kind = 'split' and value > 0").select("ticker", F.col("ex_date").alias("date"), F.struct("kind", "value").alias("_act"))
+    rows = bars.withColumn("_act", F.lit(None).cast("struct<kind:string,value:double>")).unionByName(steps, allowMissingColumns=True)
+    day = Window.partitionBy("ticker").orderBy(F.unix_date("date"))
+    rows = rows.withColumn("_prev", F.last("close", ignorenulls=True).over(day.rangeBetween(Window.unboundedPreceding, -1)))
+    value = F.col("_act.value")
+    split = F.when(F.col("_act.kind") == "split", value).otherwise(1.0)
+    dividend = F.when((F.col("_act.kind") == "dividend") & (F.col("_prev") > 0), 1 - value / F.col("_prev")).otherwise(1.0)
+    # backwards a day's bar comes before its actions, so that only later ones count for it
+    back = Window.partitionBy("ticker").orderBy(F.desc("date"), F.col("_act").isNotNull())
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_split": split, "_div": dividend})
+    rows = rows.withColumns({"unadjust_factor": F.product("_split").over(upto), "_f": F.product("_div").over(upto)})
+    rows = rows.withColumn("_last", F.first(F.when(F.col("_act").isNull(), F.col("_f")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    adj = F.when(F.col("_last").isin(0.0, 1.0), F.col("_f")).otherwise(F.col("_f") / F.nullif("_last", F.lit(0.0)))
+    return rows.where("_act is null").select(*names, "unadjust_factor", adj.alias("adj_factor"))
+
+
+def taped(bars: DataFrame, acts: DataFrame, as_of=None) -> DataFrame:
+    """Bars of one provider with as-traded prices (all splits) and dividend-adjusted ones (dividends known at ``as_of``)."""
+    if "price_basis" in bars.columns:
+        bars = bars.withColumn("close", F.when(F.col("price_basis") == RAW, F.raise_error("prices of raw basis can't be adjusted").cast("double")).otherwise(F.col("close")))
+    f = F.col("unadjust_factor")
+    traded = {f"traded_{c}": F.col(c) * f for c in PRICES} | {"traded_volume": F.when(f > 0, F.col("volume") / f)}
+    return both_factors(bars, acts, as_of).withColumns(traded | {f"adj_{c}": F.col(c) * F.col("adj_factor") for c in PRICES})
+
+
 def tape(bars_store: DataFrame, acts_store: DataFrame, ticker=None, as_of=None, provider: str | None = None) -> DataFrame:
-    """Bars at ``as_of`` with as-traded prices (all splits) and dividend-adjusted ones (dividends known then)."""
-    b = temporal.bars(bars_store, ticker, provider, as_of)
-    a = temporal.actions(acts_store, ticker)
-    return adjusted(as_traded(b, a), a, as_of)
+    """The tape of the bars that are public at ``as_of``."""
+    return taped(temporal.bars(bars_store, ticker, provider, as_of), temporal.actions(acts_store, ticker), as_of)

@@ -146,11 +146,8 @@ def evaluate(legs: DataFrame, start: float = 1e6) -> DataFrame:
 
     legs: strategy, exit_date, ticker, w, r, dw, adv, vol.  turnover: mean over dates of half the absolute trades.
     """
-    books = costs.apply_costs(gross(legs, "strategy"), legs.select("strategy", F.col("exit_date").alias("date"), "dw", "adv", "vol"), start, "strategy")
-    traded = legs.groupBy("strategy", "exit_date").agg((F.sum(F.abs("dw")) / 2).alias("half")).groupBy("strategy").agg(F.avg("half").alias("turnover"))
-    cost = books.groupBy("strategy", "level").agg((F.sum(F.col("gross") - F.col("net")) * 1e4).alias("total_cost_bps"))
-    table = metrics.summary(books.withColumnRenamed("net", "ret"), "strategy", "level")
-    return table.join(cost, ["strategy", "level"]).join(F.broadcast(traded), "strategy")
+    rets = costs.books(legs, start, "strategy").withColumnRenamed("net", "ret")
+    return metrics.summary(rets, "strategy", "level", turnover=F.avg("half"), total_cost_bps=F.sum(F.col("gross") - F.col("ret")) * 1e4)
 
 
 def record(ledger, table: DataFrame, warmup: int, note: str = "") -> list[dict]:

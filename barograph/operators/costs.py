@@ -46,25 +46,48 @@ def apply_costs(path: DataFrame, legs: DataFrame, start: float, *keys: str) -> D
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         days = pdf[pdf.dw.isna() & pdf.gross.notna()].sort_values("date")
         trades = pdf[pdf.dw.notna()].sort_values("date")
-        first = trades.date.searchsorted(days.date, "left")
-        last = trades.date.searchsorted(days.date, "right")
-        dw, adv, vol = (trades[c].to_numpy(float) for c in ("dw", "adv", "vol"))
-        dw, whole, vol = np.abs(dw), np.where(np.isnan(adv), np.inf, adv), np.nan_to_num(vol)
-        out = []
-        for name, commission, spread, eta, cap in LEVELS:
-            value = start
-            for day, g, a, b in zip(days.date, days.gross, first, last, strict=True):
-                filled = np.minimum(dw[a:b] * value, cap * whole[a:b])
-                share = np.sqrt(np.divide(filled, adv[a:b], out=np.zeros_like(filled), where=adv[a:b] > 0))
-                money = (filled * ((spread + commission) * 1e-4 + (eta * vol[a:b] * share if eta > 0 else 0.0))).sum()
-                net = g - (money / value if value > 0 else 0.0)
-                value *= 1 + net
-                out.append((name, day, g, net, value))
-        book = pd.DataFrame(out, columns=["level", "date", "gross", "net", "value"])
+        out = _levels_of(days.date.to_numpy(), days.gross.to_numpy(float), trades, start)
         for i, k in enumerate(keys):
-            book.insert(i, k, pdf[k].iloc[0])
-        return book
+            out.insert(i, k, pdf[k].iloc[0])
+        return out
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "level string, date date, gross double, net double, value double"])
     return rows.groupBy(*keys).applyInPandas(fold, schema)
+
+
+def books(legs: DataFrame, start: float, key: str) -> DataFrame:
+    """key, level, date, gross, net, value, half from legs (key, exit_date, ticker, w, r, dw, adv, vol), which are read once.
+
+    half: half the absolute trades of a date.  One task a key, as in ``apply_costs``.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        trades = pdf.sort_values(["exit_date", "ticker"]).rename(columns={"exit_date": "date"})
+        by = trades.assign(g=trades.w * trades.r, h=trades.dw.abs() / 2).groupby("date")[["g", "h"]].sum()
+        out = _levels_of(by.index.to_numpy(), by.g.to_numpy(float), trades, start)
+        out["half"] = np.tile(by.h.to_numpy(float), len(LEVELS))
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    schema = f"{key} {dict(legs.dtypes)[key]}, level string, date date, gross double, net double, value double, half double"
+    return legs.select(key, "exit_date", "ticker", "w", "r", "dw", "adv", "vol").groupBy(key).applyInPandas(fold, schema)
+
+
+def _levels_of(days: np.ndarray, gross: np.ndarray, trades: pd.DataFrame, start: float) -> pd.DataFrame:
+    """level, date, gross, net, value: the fold over ordered dates at each level; trades are ordered by date."""
+    at = trades.date.to_numpy()
+    first, last = np.searchsorted(at, days, "left"), np.searchsorted(at, days, "right")
+    dw, adv, vol = (trades[c].to_numpy(float) for c in ("dw", "adv", "vol"))
+    dw, whole, vol = np.abs(dw), np.where(np.isnan(adv), np.inf, adv), np.nan_to_num(vol)
+    out = []
+    for name, commission, spread, eta, cap in LEVELS:
+        value = start
+        for day, g, a, b in zip(days, gross, first, last, strict=True):
+            filled = np.minimum(dw[a:b] * value, cap * whole[a:b])
+            share = np.sqrt(np.divide(filled, adv[a:b], out=np.zeros_like(filled), where=adv[a:b] > 0))
+            money = (filled * ((spread + commission) * 1e-4 + (eta * vol[a:b] * share if eta > 0 else 0.0))).sum()
+            net = g - (money / value if value > 0 else 0.0)
+            value *= 1 + net
+            out.append((name, day, g, net, value))
+    return pd.DataFrame(out, columns=["level", "date", "gross", "net", "value"])

@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 from . import panel
 
-# Passive Sharpe ratios published for one sample, by series, and the tolerance they are given with.
-PASSIVE_BAR = {"SPY": 0.823, "EW5_buy_and_hold": 1.201, "EW5_daily": 1.234, "EW5_monthly": 1.238, "NVDA": 1.328, "TSLA": 0.768, "AAPL": 0.925, "META": 0.671, "XOM": 0.472}
-PASSIVE_TOLERANCE = 0.005
+# Passive Sharpe ratios published for one sample, of baskets and of single names, and their tolerance.
+PASSIVE_BAR = {"SPY_buy_and_hold": 0.823, "EW5_buy_and_hold": 1.201, "EW5_daily_rebalanced": 1.234, "EW5_monthly_rebalanced": 1.238}
+SINGLE_NAME = {"NVDA": 1.328, "TSLA": 0.768, "AAPL": 0.925, "META": 0.671, "XOM": 0.472}
+TOLERANCE = 0.005
+
+
+def against_bar(sharpes: DataFrame, bar: dict[str, float] = PASSIVE_BAR, tolerance: float = TOLERANCE) -> DataFrame:
+    """series, bar, sharpe, agrees: recomputed ratios (series, sharpe) beside a bar; a series that is absent doesn't agree."""
+    wanted = sharpes.sparkSession.createDataFrame(sorted(bar.items()), "series string, bar double")
+    agrees = F.coalesce(F.abs(F.col("sharpe") - F.col("bar")) <= tolerance, F.lit(False))
+    return wanted.join(sharpes.select("series", "sharpe"), "series", "left").withColumn("agrees", agrees)
 
 
 def sharpe(ret: str, rf: float = 0.0, periods: int = 252) -> Column:
@@ -29,8 +37,8 @@ def sortino(ret: str, rf: float = 0.0, periods: int = 252) -> Column:
     return F.when(F.count_if(x < 0) >= 2, F.avg(x) / F.nullif(down, F.lit(0.0)) * F.sqrt(F.lit(float(periods))))
 
 
-def summary(rets: DataFrame, *keys: str, rf: float = 0.0, periods: int = 252) -> DataFrame:
-    """n, sharpe, sortino, cagr, mdd, calmar, total_return, vol_annual of each key's stream."""
+def summary(rets: DataFrame, *keys: str, rf: float = 0.0, periods: int = 252, **more: Column) -> DataFrame:
+    """n, sharpe, sortino, cagr, mdd, calmar, total_return, vol_annual, rf, periods of each key's stream; ``more`` aggregates by name."""
     w = panel.by(*keys) if keys else Window.partitionBy(F.lit(0)).orderBy("date")
     e = rets.where("ret is not null").withColumn("equity", panel.equity("ret", w))
     e = e.withColumn("dd", F.col("equity") / panel.running_max("equity", w) - 1)
@@ -43,6 +51,9 @@ def summary(rets: DataFrame, *keys: str, rf: float = 0.0, periods: int = 252) ->
         F.min("dd").alias("mdd"),
         (last - 1).alias("total_return"),
         (F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))).alias("vol_annual"),
+        F.lit(float(rf)).alias("rf"),
+        F.lit(periods).alias("periods"),
+        *(c.alias(n) for n, c in more.items()),
     )
     return s.withColumn("calmar", F.when(F.col("mdd") < 0, F.col("cagr") / F.abs("mdd")))
 
