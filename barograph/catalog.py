@@ -610,6 +610,23 @@ def _(s, d):
     return rounded(backtest.equal_weight_index(_panel(s, d), "ME"))
 
 
+@query("b14_basket_quarterly", f"""WITH {t.ACTIONS}, bars AS (SELECT ticker, date, close FROM one), whole AS (SELECT date FROM bars GROUP BY 1 HAVING count(*) = 3), px AS (SELECT * FROM bars WHERE date IN (SELECT date FROM whole)), {_EQ.format(epoch=chr(100) + 'ate_trunc(' + chr(39) + 'quarter' + chr(39) + ', date)').replace('FROM bars', 'FROM px')} SELECT date, round(sum(c * r) / sum(c), 6) AS ret FROM c GROUP BY 1""", "date")
+def _(s, d):
+    """Seven years of three tickers, on the dates that all of them have."""
+    b = t.one_bar(s, d).select("ticker", "date", "close")
+    return rounded(backtest.equal_weight_index(b.join(panel.complete_dates(b, 3, "close"), "date"), "QE"))
+
+
+@query("b16_total_return_panel", f"""WITH {_adjusted_sql()}, x AS (SELECT date, ticker, open * f AS open, close * f AS close FROM f WHERE date >= DATE '1996-01-01' AND date <= DATE '1997-12-31' AND ticker <> 'R' AND date IN (SELECT date FROM one GROUP BY 1 HAVING count(*) = 3))
+SELECT date, ticker, round(open, 6) AS open, round(close, 6) AS close, round(close / first_value(close) OVER (PARTITION BY ticker ORDER BY date), 6) AS level FROM x""", "date")
+def _(s, d):
+    """Opens and closes times their factors on whole dates, and closes by the first one."""
+    b, a = t.one_bar(s, d), t.line_actions(s, d)
+    tape = adjust.taped(b, a).join(panel.complete_dates(b, 3, "close"), "date")
+    p = panel.total_return_panel(tape, _wanted(s, "A", "N"), "1996-01-01", "1997-12-31")
+    return rounded(p.select("date", "ticker", "open", "close", panel.normalised("close", panel.by("ticker")).alias("level")))
+
+
 @query("b15_weight_path", f"WITH {t.EVENT_BARS}, {_EQ.format(epoch='0')} SELECT date, ticker, round(c / sum(c) OVER (PARTITION BY date), 6) AS w FROM c", "date")
 def _(s, d):
     return rounded(backtest.weight_path(_panel(s, d)))
@@ -928,12 +945,34 @@ def _(s, d):
     return rounded(evidence.rolling_correlation(a.join(b, "date").where("a < b"), 10, 0.3))
 
 
-@query("x11_sentiment", """WITH m AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS date, count(*) AS mentions, count(*) FILTER (value > 50) AS bull, count(*) FILTER (value <= 50) AS bear FROM events GROUP BY 1, 2)
-SELECT ticker, date, round(ln(1 + mentions) - lag(ln(1 + mentions)) OVER (PARTITION BY ticker ORDER BY date), 6) AS dlog_volume, round((mentions - avg(mentions) OVER w) / nullif(stddev_samp(mentions) OVER w, 0), 6) AS z FROM m WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""", "date")
+@query("x6_lessons_by_fold", """WITH f(fold, train_end) AS (VALUES (0, TIMESTAMP '2024-01-08'), (1, TIMESTAMP '2024-01-20')), s AS (SELECT fold, event_type, value FROM events JOIN f ON ts <= train_end), p AS (SELECT fold, avg(value) AS mu0 FROM s GROUP BY 1),
+g AS (SELECT fold, event_type, count(*) AS n, avg(value) AS mu, var_samp(value) AS var FROM s GROUP BY 1, 2 HAVING count(*) >= 10) SELECT fold, event_type, n, round(mu, 6) AS mu, round(var, 6) AS var, round((n * mu + 20 * mu0) / (n + 20), 6) AS shrunk FROM g JOIN p USING (fold)""")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", F.col("ts").alias("exit_at"), F.col("value").alias("outcome"))
+    folds = s.createDataFrame([(0, "2024-01-08"), (1, "2024-01-20")], "fold int, d string").select("fold", F.col("d").cast("timestamp").alias("train_end"))
+    return rounded(evidence.lessons_by_fold(e, folds, "event_type"))
+
+
+@query("x9_similar", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM v),
+c AS (SELECT q.vec_id AS src_id, x.vec_id AS dst_id, list_sum(list_transform(list_zip(q.v, x.v), lambda z: z[1] * z[2])) / q.l / x.l AS cosine FROM u q JOIN u x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0 AND q.l > 0 AND x.l > 0)
+SELECT src_id, CAST(row_number() OVER (PARTITION BY src_id ORDER BY cosine DESC, dst_id) AS INTEGER) AS rank, dst_id, round(cosine, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY cosine DESC, dst_id) <= 5""")
 def _(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rounded(evidence.similar(v, v.where("id % 100 = 0"), 5))
+
+
+@query("x11_sentiment", """WITH m AS (SELECT event_type || user_id % 30 AS ticker, CAST(ts AS DATE) AS date, count(*) AS mentions, count(*) FILTER (value > 50) AS bull, count(*) FILTER (value <= 50) AS bear FROM events GROUP BY 1, 2),
+z AS (SELECT *, (mentions - avg(mentions) OVER w) / nullif(stddev_samp(mentions) OVER w, 0) AS z, bull / (bull + bear) AS p FROM m WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+days AS (SELECT ticker, unnest([DATE '2024-01-10' - 3, DATE '2024-01-10' - 2, DATE '2024-01-10' - 1, DATE '2024-01-10', DATE '2024-01-10' + 1]) AS date FROM (SELECT DISTINCT ticker FROM m WHERE ticker < 'p'))
+SELECT ticker, z.date, round(ln(1 + mentions) - lag(ln(1 + mentions)) OVER o, 6) AS dlog_volume, round(z, 6) AS z, coalesce(z > 2, false) AS spike, round(CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) - (1 - p) * ln(1 - p) ELSE 0 END, 6) AS disagreement,
+  EXISTS (SELECT 1 FROM days WHERE days.ticker = z.ticker AND days.date = z.date) AS event, CAST(z.date - lag(z.date) OVER o AS INTEGER) AS novelty FROM z WINDOW o AS (PARTITION BY ticker ORDER BY z.date)""", "date")
+def _(s, d):
+    """Mentions by kind and group of users, so that some days have none; an event on one day for some tickers."""
     e = table(s, d, "events")
-    m = e.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date")).agg(F.count("*").alias("mentions"), F.count_if(F.col("value") > 50).alias("bull"), F.count_if(F.col("value") <= 50).alias("bear"))
-    return rounded(evidence.sentiment(m).select("ticker", "date", "dlog_volume", "z"))
+    m = e.groupBy(F.concat("event_type", (F.col("user_id") % 30).cast("string")).alias("ticker"), F.to_date("ts").alias("date")).agg(F.count("*").alias("mentions"), F.count_if(F.col("value") > 50).alias("bull"), F.count_if(F.col("value") <= 50).alias("bear"))
+    events = m.where("ticker < 'p'").select("ticker").distinct().withColumn("day", F.lit("2024-01-10").cast("date"))
+    out = evidence.novelty(evidence.event_flags(evidence.sentiment(m), events))
+    return rounded(out.select("ticker", "date", "dlog_volume", "z", "spike", "disagreement", "event", "novelty"))
 
 
 @query("x14_interquartile_mean", "WITH x AS (SELECT c_mktsegment AS k, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), y AS (SELECT *, greatest(0, least(r, 0.75 * n) - greatest(r - 1, 0.25 * n)) AS w FROM x) SELECT k, round(sum(v * w) / sum(w), 4) AS iqm FROM y GROUP BY 1")
@@ -942,10 +981,27 @@ def _(s, d):
     return rounded(evidence.interquartile_mean(c, "k"), 4)
 
 
-@query("x15_placebo", "SELECT c_mktsegment AS k, round(sum(c_acctbal), 2) AS total, count(*) AS n FROM customer GROUP BY 1")
+@query("x14_improvement", """WITH x AS (SELECT c_nationkey % 3 AS k, c_mktsegment AS name, round(c_acctbal / 500) AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+c AS (SELECT a.k, avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0.0 END) AS p FROM x a JOIN x b ON a.k = b.k WHERE a.name = 'BUILDING' AND b.name = 'MACHINERY' GROUP BY 1) SELECT k, round(p, 6) AS p FROM c""")
+def _(s, d):
+    c = table(s, d, "customer").select((F.col("c_nationkey") % 3).alias("k"), F.col("c_mktsegment").alias("name"), F.round(F.col("c_acctbal") / 500).alias("score"))
+    return rounded(evidence.probability_of_improvement(c, "BUILDING", "MACHINERY", "k"))
+
+
+@query("x14_stratified_interval", f"""WITH c AS (SELECT c_mktsegment AS stratum, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
+d AS (SELECT b, stratum, i AS place, CAST(floor({_hashed(1, 0, "b", "stratum", "i")} * n) AS BIGINT) AS i FROM c, (SELECT unnest(range(0, 60)) AS b)), s AS (SELECT d.b, c.v FROM d JOIN c USING (stratum, i)),
+r AS (SELECT b, v, row_number() OVER (PARTITION BY b ORDER BY v) AS r, count(*) OVER (PARTITION BY b) AS n FROM (SELECT b, v FROM s UNION ALL SELECT -1, v FROM c)), m AS (SELECT b, sum(v * greatest(0, least(r, 0.75 * n) - greatest(r - 1, 0.25 * n))) / sum(greatest(0, least(r, 0.75 * n) - greatest(r - 1, 0.25 * n))) AS iqm FROM r GROUP BY 1)
+SELECT round(max(iqm) FILTER (b = -1), 4) AS theta, round(quantile_cont(iqm, 0.025) FILTER (b >= 0), 4) AS lower, round(quantile_cont(iqm, 0.975) FILTER (b >= 0), 4) AS upper FROM m""")
+def _(s, d):
+    c = table(s, d, "customer").select(F.col("c_mktsegment").alias("stratum"), F.col("c_custkey").alias("seed"), F.col("c_acctbal").alias("score"))
+    return rounded(evidence.stratified_interval(c, 60, 1), 4)
+
+
+@query("x15_placebo", f"""WITH x AS (SELECT c_mktsegment AS k, c_custkey AS id, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_hashed(5, 0, "CAST(c_custkey AS VARCHAR)")}, c_custkey) AS j FROM customer)
+SELECT a.id, a.k, b.v FROM x a JOIN x b ON a.k = b.k AND a.i = b.j""")
 def _(s, d):
     c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("k"), F.col("c_acctbal").alias("v"))
-    return rounded(evidence.shuffled(c, "v", 5, "k").groupBy("k").agg(F.sum("v").alias("total"), F.count("*").alias("n")), 2)
+    return evidence.shuffled(c, "v", 5, "k").select("id", "k", "v")
 
 
 @query("x7_claim_quarantine", """WITH c AS (SELECT d.source AS subject, l.doc_id, l.quality = 1 AS verified, 0.1 + (l.doc_id % 9) / 10.0 AS conf FROM labels l JOIN documents d USING (doc_id)),
@@ -957,9 +1013,12 @@ def _(s, d):
     return rounded(evidence.claim_quarantine(c).select("doc_id", "weight"))
 
 
-@query("x12_cashtags", "WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\$([A-Z]{1,5})\\b', 1)) AS tag FROM documents) SELECT tag, count(*) AS n FROM x GROUP BY 1")
+@query("x12_cashtags", """WITH x AS (SELECT '$' || upper(lang) || ' at 5$ $' || upper(source) || ', $TOOLONG $' || upper(substr(lang, 1, 1)) || '. ' || text AS text FROM documents), t AS (SELECT unnest(regexp_extract_all(text, '\\$([A-Z]{1,5})\\b', 1)) AS tag FROM x)
+SELECT tag, count(*) AS n, tag IN ('EN', 'DE', 'F') AS known FROM t GROUP BY 1""")
 def _(s, d):
-    return table(s, d, "documents").select(F.explode(evidence.cashtags(F.col("text"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    """Texts that begin with tags of their language, among others that are none."""
+    tags = F.concat(F.lit("$"), F.upper("lang"), F.lit(" at 5$ $"), F.upper("source"), F.lit(", $TOOLONG $"), F.upper(F.substring("lang", 1, 1)), F.lit(". "), F.col("text"))
+    return evidence.tagged(table(s, d, "documents").select(tags.alias("text")), _wanted(s, "EN", "DE", "F"))
 
 
 @query("x13_frames", "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, event_type, max_by(value, row(ts, event_id)) AS value, count(*) AS n FROM events GROUP BY 1, 2")

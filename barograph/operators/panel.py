@@ -73,6 +73,11 @@ def equity(ret: str, w, start: float = 1.0) -> Column:
     return F.lit(start) * F.product(1 + F.col(ret)).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def normalised(x: str, w) -> Column:
+    """A value over the first of its window."""
+    return F.col(x) / F.nullif(F.first(x).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+
+
 def running_max(x: str, w) -> Column:
     return F.max(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
