@@ -964,7 +964,7 @@ def _(s, d):
 @query("x11_sentiment", """WITH m AS (SELECT event_type || user_id % 30 AS ticker, CAST(ts AS DATE) AS date, count(*) AS mentions, count(*) FILTER (value > 50) AS bull, count(*) FILTER (value <= 50) AS bear FROM events GROUP BY 1, 2),
 z AS (SELECT *, (mentions - avg(mentions) OVER w) / nullif(stddev_samp(mentions) OVER w, 0) AS z, bull / (bull + bear) AS p FROM m WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 days AS (SELECT ticker, unnest([DATE '2024-01-10' - 3, DATE '2024-01-10' - 2, DATE '2024-01-10' - 1, DATE '2024-01-10', DATE '2024-01-10' + 1]) AS date FROM (SELECT DISTINCT ticker FROM m WHERE ticker < 'p'))
-SELECT ticker, z.date, round(ln(1 + mentions) - lag(ln(1 + mentions)) OVER o, 6) AS dlog_volume, round(z, 6) AS z, coalesce(z > 2, false) AS spike, round(CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) - (1 - p) * ln(1 - p) ELSE 0 END, 6) AS disagreement,
+SELECT ticker, z.date, round(ln(1 + mentions) - lag(ln(1 + mentions)) OVER o, 6) AS dlog_volume, round(z, 6) AS z, coalesce(round(z, 9) > 2, false) AS spike, round(CASE WHEN p > 0 AND p < 1 THEN -p * ln(p) - (1 - p) * ln(1 - p) ELSE 0 END, 6) AS disagreement,
   EXISTS (SELECT 1 FROM days WHERE days.ticker = z.ticker AND days.date = z.date) AS event, CAST(z.date - lag(z.date) OVER o AS INTEGER) AS novelty FROM z WINDOW o AS (PARTITION BY ticker ORDER BY z.date)""", "date")
 def _(s, d):
     """Mentions by kind and group of users, so that some days have none; an event on one day for some tickers."""

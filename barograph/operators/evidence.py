@@ -108,7 +108,7 @@ def sentiment(daily: DataFrame, n: int = 20) -> DataFrame:
     p = F.col("bull") / F.nullif(F.col("bull") + F.col("bear"), F.lit(0))
     h = lambda x: F.when((x > 0) & (x < 1), -x * F.ln(x) - (1 - x) * F.ln(1 - x)).otherwise(F.when(x.isNotNull(), 0.0))
     z = (F.col("mentions") - F.avg("mentions").over(back)) / F.nullif(F.stddev_samp("mentions").over(back), F.lit(0.0))
-    return daily.withColumn("dlog_volume", F.log1p("mentions") - F.lag(F.log1p("mentions")).over(w)).withColumn("z", z).withColumn("spike", F.coalesce(F.col("z") > 2, F.lit(False))).withColumn("disagreement", h(p))
+    return daily.withColumn("dlog_volume", F.log1p("mentions") - F.lag(F.log1p("mentions")).over(w)).withColumn("z", z).withColumn("spike", F.coalesce(F.round("z", 9) > 2, F.lit(False))).withColumn("disagreement", h(p))
 
 
 def event_flags(daily: DataFrame, events: DataFrame, before: int = 3, after: int = 1) -> DataFrame:

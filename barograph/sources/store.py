@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import temporal
-from ..schema import ACTIONS, BARS, SPLIT_ADJUSTED
+from ..schema import ACTIONS, BARS, RAW, SPLIT_ADJUSTED
 
 
 def new_ingest_id() -> str:
@@ -79,7 +80,24 @@ class Store:
     def manifest(self, gates: DataFrame | None = None) -> dict:
         """Checksums and counts by file, and the gates' rows; its size is that of the list of files."""
         files = {r["path"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in self.checksums().orderBy("path").toLocalIterator()}
-        return {"files": files, "n_files": len(files), "gates": [r.asDict() for r in gates.collect()] if gates is not None else []}
+        return {"files": files, "n_files": len(files), "total_bytes": sum(f["bytes"] for f in files.values()), "gates": [r.asDict() for r in gates.collect()] if gates is not None else []}
+
+    def payload_digest(self) -> DataFrame:
+        """One row: the SHA-256 of all files' paths and checksums in the order of the paths."""
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x["path"], x["sha256"]))
+        return self.checksums().agg(F.sha2(F.concat_ws("", parts), 256).alias("digest"))
+
+    def write_manifest(self, path: str, gates: DataFrame | None = None) -> dict:
+        """The manifest as one JSON file with sorted keys, wherever Spark can write."""
+        found = self.manifest(gates)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        out = place.getFileSystem(conf).create(place, True)
+        try:
+            out.write(json.dumps(found, sort_keys=True, indent=1, default=str).encode())
+        finally:
+            out.close()
+        return found
 
 
 def unpivot_actions(raw: DataFrame) -> DataFrame:
@@ -104,16 +122,26 @@ class Registry:
         return self.known[name][1]
 
 
-def ingest(store: Store, readers: dict[str, Callable[[str], tuple[DataFrame, DataFrame]]], tickers: list[str], ingest_id: str, recorded_at) -> DataFrame:
-    """Fetch every (provider, ticker); the ledger has a row for each, also where nothing came or it failed."""
-    ledger = []
-    for provider, read in readers.items():
-        for ticker in tickers:
-            try:
-                bars, acts = read(ticker)
-                store.write_bars(bars, provider, ingest_id, recorded_at)
-                store.write_actions(acts, provider, ingest_id, recorded_at)
-                ledger.append((provider, ticker, True, ""))
-            except Exception as e:
-                ledger.append((provider, ticker, False, str(e)[:200]))
-    return store.spark.createDataFrame(ledger, "provider string, ticker string, ok boolean, error string")
+def ingest(store: Store, scans: dict[str, tuple[DataFrame, DataFrame]], tickers: list[str], ingest_id: str, recorded_at, raw: tuple[str, ...] = ()) -> DataFrame:
+    """Store what each provider's scans of bars and actions (with an ``error`` column, see ``connectors``) give for all tickers.
+
+    One scan a provider and table, a partition a ticker.  The ledger has a row for each (provider, ticker), also where
+    nothing came or it failed: provider, ticker, ok, n_bars, n_actions, error.  raw: providers whose prices are as traded.
+    """
+    spark, ledger = store.spark, None
+    wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string")
+    for provider, (bars, acts) in scans.items():
+        bars, acts = bars.persist(), acts.persist()
+        try:
+            store.write_bars(bars.where("error is null").drop("error"), provider, ingest_id, recorded_at, RAW if provider in raw else SPLIT_ADJUSTED)
+            store.write_actions(acts.where("error is null").drop("error"), provider, ingest_id, recorded_at)
+            b = bars.groupBy("ticker").agg(F.count("date").alias("n_bars"), F.max("error").alias("e"))
+            a = acts.groupBy("ticker").agg(F.count("ex_date").alias("n_actions"), F.max("error").alias("f"))
+            rows = wanted.join(b, "ticker", "left").join(a, "ticker", "left")
+            error = F.coalesce("e", "f", F.when(F.col("n_bars").isNull(), F.lit("no rows")), F.lit(""))
+            rows = rows.select(F.lit(provider).alias("provider"), "ticker", (error == "").alias("ok"), F.coalesce("n_bars", F.lit(0)).alias("n_bars"), F.coalesce("n_actions", F.lit(0)).alias("n_actions"), error.alias("error")).collect()
+        finally:
+            bars.unpersist()
+            acts.unpersist()
+        ledger = (ledger or []) + rows
+    return spark.createDataFrame(ledger or [], "provider string, ticker string, ok boolean, n_bars long, n_actions long, error string")
