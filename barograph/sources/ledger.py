@@ -1,32 +1,61 @@
-"""The tamper-evident trial ledger: JSON lines, each hashed with the hash before it."""
+"""The tamper-evident trial ledger: JSON lines, each sealed with the hash of the line before it.
+
+A record's seal is the SHA-256 of the seal before and of the record without its own, as JSON with sorted keys; the
+first one follows a seal of zeros.  ``hash`` sorts first, so the sealed text is the line without it.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The seal before the first record, and a record's fields.
 GENESIS = "0" * 64
+FIELDS = ("ts", "kind", "params", "metrics", "note", "prev", "hash")
+#: Bytes that are read at once from a ledger's end.
+TAIL = 1 << 16
+
+
+def dumped(record: dict) -> str:
+    return json.dumps(record, sort_keys=True, default=str)
+
+
+def sealed(record: dict, seal: str) -> dict:
+    """The record with the seal before it and its own."""
+    record = record | {"prev": seal}
+    return record | {"hash": hashlib.sha256(f"{seal}{dumped(record)}".encode()).hexdigest()}
 
 
 class Ledger:
-    """Single writer.  ``hash`` is the first key of a sorted record, so the hashed payload is the line without it."""
+    """One writer, on a file system of the driver; ``records`` and ``verify`` read from any."""
 
     def __init__(self, path: str):
         self.path = Path(path)
 
+    def last(self) -> str:
+        """The seal of the last record, from the file's end."""
+        if not self.path.exists():
+            return GENESIS
+        with self.path.open("rb") as f:
+            left, text = f.seek(0, os.SEEK_END), b""
+            while left and b"\n" not in text.strip():
+                size = min(TAIL, left)
+                left = f.seek(left - size)
+                text = f.read(size) + text
+        text = text.strip()
+        return json.loads(text.rsplit(b"\n", 1)[-1])["hash"] if text else GENESIS
+
     def append(self, kind: str, params: dict, metrics: dict, note: str = "") -> dict:
-        lines = [x for x in self.path.read_text().splitlines() if x.strip()] if self.path.exists() else []
-        prev = json.loads(lines[-1])["hash"] if lines else GENESIS
-        body = {"ts": dt.datetime.now(dt.UTC).isoformat(), "kind": kind, "params": params, "metrics": metrics, "note": note, "prev": prev}
-        digest = hashlib.sha256((prev + json.dumps(body, sort_keys=True, default=str)).encode()).hexdigest()
-        record = body | {"hash": digest}
+        now = dt.datetime.now(dt.UTC).isoformat()
+        record = sealed(dict(zip(FIELDS, (now, kind, params, metrics, note), strict=False)), self.last())
         with self.path.open("a") as f:
-            f.write(json.dumps(record, sort_keys=True, default=str) + "\n")
+            f.write(f"{dumped(record)}\n")
         return record
 
 

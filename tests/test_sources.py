@@ -93,3 +93,30 @@ def test_registry():
     assert r.available() == ["first"] and r.get("second") is connectors.RecordedActions
     with pytest.raises(KeyError):
         r.get("third")
+
+
+def test_ledger_reads_only_its_end(spark, tmp_path, monkeypatch):
+    from barograph.sources import ledger
+
+    monkeypatch.setattr(ledger, "TAIL", 7)
+    log = ledger.Ledger(f"{tmp_path}/trials.jsonl")
+    assert log.last() == ledger.GENESIS
+    seals = [log.append("a", {"k": i}, {"x": 0.5 * i}, "né")["hash"] for i in range(5)]
+    assert log.last() == seals[-1] and set(json.loads(log.path.read_text().splitlines()[0])) == set(ledger.FIELDS)
+    log.path.write_text(log.path.read_text() + "\n\n")
+    log.append("b", {}, {})
+    row = ledger.verdict(ledger.verify(ledger.records(spark, f"file://{log.path}"))).first()
+    assert row.ok and row.n == 6
+
+
+def test_entry_leaves_out_a_missing_package(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "barograph", tmp_path / "barograph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()), len(e.oracle_sql()) > 80)"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)} | {k: v for k, v in __import__("os").environ.items() if k.startswith(("JAVA", "SPARK"))}, check=False)
+    assert out.stdout.split()[1:] == ["False", "True"], out.stderr
