@@ -291,7 +291,8 @@ def benjamini_hochberg(tests: DataFrame, alpha: float = 0.05, dependency: str =
     r = tests.withColumn("m", m).withColumn("rank", F.row_number().over(Window.orderBy("p", "id")))
     c = F.lit(1.0) if dependency == "independent" else F.sum(1 / F.col("rank")).over(whole)
     r = r.withColumn("c", c)
-    up = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    # from the last rank down, as a frame that ends behind the current row would be summed anew for each row
+    up = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = F.least(F.min(F.col("m") * F.col("c") / F.col("rank") * F.col("p")).over(up), F.lit(1.0))
     k = F.coalesce(F.max(F.when(F.col("p") <= F.col("rank") * alpha / (F.col("m") * F.col("c")), F.col("rank"))).over(whole), F.lit(0))
     return r.withColumn("adjusted", adjusted).withColumn("rejected", F.col("rank") <= k).drop("m", "c")

@@ -136,4 +136,4 @@ def unexpected_sessions(data: DataFrame, calendar: DataFrame, *keys: str) -> Dat
 
 def fill_back(col: str, *by: str, order: str) -> Column:
     """The next value where there is none; it looks into the future, so it is for comparison only."""
-    return F.first(col, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing))
+    return F.last(col, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
