@@ -34,9 +34,8 @@ def test_language_stage_uses_the_network(spark, pipeline):
     english, german = "the cat of the hat and the dog with ", "der Hund und die Katze von dem Haus "
     rows = [(4 * i, (english if i % 2 else german) * (1 + i % 5), "s") for i in range(80)]
     d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 8 == 4, "en").otherwise("de")).drop("doc")
-    odd = spark.createDataFrame([(9001, None), (9002, "12 34"), (9003, ""), (None, english)], "doc_id long, text string")
-    for w in range(1, 120):  # texts between both
-        odd = odd.unionAll(spark.createDataFrame([(10_000 + w, (english[:w] + german * 9)[: 2 * w])], "doc_id long, text string"))
+    between = [(10_000 + w, (english[:w] + german * 9)[: 2 * w]) for w in range(1, 120)]  # texts between both
+    odd = spark.createDataFrame([(9001, None), (9002, "12 34"), (9003, ""), (None, english), *between], "doc_id long, text string")
     d = d.unionByName(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars")))
     kept = pipeline.language(spark, d, DIR)
     from barograph.llm import language_id
