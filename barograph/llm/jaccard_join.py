@@ -177,6 +177,8 @@ def divide_skip(docs: list[tuple[int, np.ndarray]], num: int, den: int, query: n
 
 
 _LINK = "x long, y long"
+#: Links whose components the driver finds: 4 MB at most.
+FEW_LINKS = 1 << 18
 
 
 def _search(num: int, den: int):
@@ -196,11 +198,34 @@ def _search(num: int, den: int):
     return run
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """doc_id, component: the smallest id that links reach, by large-star and small-star steps.
+def least_ids(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that links lead to, and the smallest id that each reaches: labels spread along links, and jump to their own."""
+    ids, at = np.unique(np.r_[x, y], return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(ids))
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        # of two trees the root of the greater label goes below the other one
+        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return ids, ids[label]
 
-    Each step is a groupBy with a minimum; tables are written between steps, never collected.
+
+def components(edges: DataFrame, tag: str = "components", few: int = FEW_LINKS) -> DataFrame:
+    """doc_id, component: the smallest id that links reach, for ids that reach a smaller one.
+
+    At most ``few`` links are taken to the driver: their tables are small, and dozens of jobs on them cost more than they do.
+    More links take large-star and small-star steps; each step is a groupBy with a minimum, and tables are written
+    between steps, never collected.
     """
+    if edges.count() <= few:
+        links = edges.where("x <> y").toArrow()
+        ids, least = least_ids(links["x"].to_numpy(), links["y"].to_numpy())
+        ids, least = ids[ids != least], least[ids != least]
+        found = pa.table({"doc_id": pa.array(ids, pa.int64()), "component": pa.array(least, pa.int64())})
+        return saved(edges.sparkSession.createDataFrame(found, "doc_id long, component long"), tag)
     e = edges.select("x", "y").where("x <> y").distinct()
     while True:
         both = saved(e.select("x", "y").unionAll(e.select(F.col("y").alias("x"), F.col("x").alias("y"))), f"{tag}-both")
