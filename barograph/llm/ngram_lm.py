@@ -8,7 +8,7 @@ stand before the first word.  The document's score is the mean natural logarithm
 
 Texts are exploded to distinct n-grams of the highest ``order`` with their counts in the document; numpy does this for
 each batch and sends 64-bit hashes.  The count table of these n-grams, partitioned by hash, is joined to the exploded
-ones; then each needs one count of the next lower order, that of its context where it was found, else of its last
+ones, without what is there once; then each needs one count of the next lower order, that of its context where it was found, else of its last
 words, and so on down to single words.  Logarithms are summed for each document.  n-grams of the highest order are
 handled in ``slices`` of the hash space, each shuffled and reduced by itself, which bounds the disk that shuffles
 take; every slice reads the texts again.
@@ -37,6 +37,8 @@ from .shared import mixed, raw, saved, small_batches, steps, string_column, word
 
 #: Stands before a text's first word: no hash of a word, but for a chance of 2**-64 each.
 FIRST = np.uint64(0x5BD1E995)
+#: n-grams kept before they are counted off.
+SEGMENT = 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,17 +96,19 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 
 def _columns(order: int) -> list[str]:
-    """The context before a word and the words that end with it, of every lower order, and how often the document has them."""
-    return [f"{kind}_{m}" for m in range(order - 1, 0, -1) for kind in ("ctx", "gram")]
+    """The context before a word and the words that end with it, of every lower order; the last word is in ``pair``."""
+    return [f"{kind}_{m}" for m in range(order - 1, 0, -1) for kind in ("ctx", "gram")][:-1]
 
 
 def _exploded(order: int, slices: int, part: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """The n-grams of one slice: lower ones, doc_id, tf, and how often the document has the lower ones.
+    """The n-grams of one slice: pair, lower ones, doc_id, tf, and how often the document has the lower ones.
 
-    hot: hashes, counts and counts of the contexts of hot n-grams.  In their rows the first two key columns are others'
-    count of the context, and others' count shifted by 16 bits that deal them out; own_ctx of the highest order is -1.
+    pair: the highest context, and the last word with its halves swapped, as one 64-bit key from which either gives the
+    other.  own: how often the document has the context, and in the lower 32 bits the words that end with the last one.
+    hot: hashes, counts and counts of the contexts of hot n-grams.  In their rows context and last word are others'
+    count of the context, and others' count shifted by 16 bits that deal them out; own of the highest order is negative.
     """
-    names, above = _columns(order), order - 1
+    names, above = ["pair", *_columns(order)], order - 1
     among = Among(hot[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +139,11 @@ def _exploded(order: int, slices: int, part: int, hot: tuple[np.ndarray, np.ndar
                     value[f"ctx_{above}"][these] = hot[2][k] - often[f"ctx_{above}"][these]
                     value["gram_1"][these] = left << 16 | dealt
                     often[f"ctx_{above}"][these] = -1
-                arrays = [*(pa.array(value[c]) for c in names), ids.take(pa.array(lo + row[first])), pa.array(tf.astype(np.int32)), *(pa.array(often[c]) for c in names)]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "doc_id", "tf", *(f"own_{c}" for c in names)])
+                last = value["gram_1"].view(np.uint64)
+                value["pair"] = value[f"ctx_{above}"] ^ (last << np.uint64(32) | last >> np.uint64(32)).view(np.int64)
+                own = [often[f"ctx_{m}"].astype(np.int64) << 32 | often[f"gram_{m}"] for m in range(above, 0, -1)]
+                arrays = [*(pa.array(value[c]) for c in names), ids.take(pa.array(lo + row[first])), pa.array(tf.astype(np.int32)), *map(pa.array, own)]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "doc_id", "tf", *(f"own_{m}" for m in range(above, 0, -1))])
 
     return run
 
@@ -145,13 +152,22 @@ def _counted(n: int):
     """Distinct n-grams of some texts with their counts; marks alone count once for each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def off() -> pa.RecordBatch:
+            w, k = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k.astype(np.int64))], ["w", "n"])
+
         for batch in batches:
             for _, row, word in _texts(batch):
                 gram = word
                 for m in range(1, n):
                     gram = _longer(_after(row, gram, m), word, m + 1)
-                w, k = np.unique(np.r_[gram, np.repeat(_marks(n), len(np.unique(row)))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k.astype(np.int64))], ["w", "n"])
+                held += [gram, np.repeat(_marks(n), 1 + np.count_nonzero(row[1:] != row[:-1]))]
+                if sum(map(len, held)) >= SEGMENT:
+                    yield off()
+        yield off()
 
     return run
 
@@ -210,28 +226,36 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, slices
         by = np.argsort(g)
         hot_grams = (g[by], top["whole"].to_numpy()[by], top["n"].to_numpy()[by])
 
-    names, above = _columns(order), order - 1
-    schema = ", ".join([*(f"{c} long" for c in names), "doc_id long, tf int", *(f"own_{c} int" for c in names)])
-    key, log = [f"ctx_{above}", "gram_1"], math.log(backoff)
-    is_top = F.col(f"own_ctx_{above}") < 0
+    above, owns = order - 1, [f"own_{m}" for m in range(order - 1, 0, -1)]
+    names, log = _columns(order), math.log(backoff)
+    schema = ", ".join([*(f"{c} long" for c in ("pair", *names)), "doc_id long, tf int", *(f"{c} long" for c in owns)])
+    is_top = F.col(f"own_{above}") < 0
     sums = []
     for part in range(slices):
-        rows = text.mapInArrow(_exploded(order, slices, part, hot_grams), schema).repartition(*key)
-        # adding no bits of the other columns keeps them in the counts' exchange, so that it is the join's too
+        rows = text.mapInArrow(_exploded(order, slices, part, hot_grams), schema).where("pair is not null").repartition("pair")
+        # the filter, which Spark would put on the counts' side alone, and adding no bits of the other columns keep the
+        # two sides' exchanges equal, so that one serves both
         none = F.coalesce("doc_id", F.lit(0))
-        for c in rows.columns:
-            if c not in (*key, "doc_id", "tf"):
-                none = none.bitwiseOR(F.col(c))
-        counts = rows.groupBy(*key).agg(F.sum(F.col("tf") + none.bitwiseAND(F.lit(0))).alias("here"))
-        found = rows.join(counts.hint("shuffle_hash"), key).withColumn("left", F.when(is_top, F.shiftright("gram_1", 16)).otherwise(F.col("here") - F.col("tf")))
+        for c in (*names, *owns):
+            none = none.bitwiseOR(F.col(c))
+        counts = rows.groupBy("pair").agg(F.sum(F.col("tf") + none.bitwiseAND(F.lit(0))).alias("here"))
+        # most n-grams are there once: no other document has them, and the join needs no count of theirs
+        found = rows.join(counts.where("here > 1").hint("shuffle_hash"), "pair", "left")
+        turned = F.col("pair").bitwiseXOR(F.col(f"ctx_{above}"))
+        found = found.withColumn("gram_1", F.shiftleft(turned, 32).bitwiseOR(F.shiftrightunsigned(turned, 32))).drop("pair")
+        found = found.withColumn("left", F.when(is_top, F.shiftright("gram_1", 16)).otherwise(F.coalesce(F.col("here") - F.col("tf"), F.lit(0))))
         for m in range(above, 0, -1):
-            seen, lower = F.col("left") > 0, [c for c in names if int(c.split("_")[1]) < m]
-            u, own = F.when(seen, F.col(f"ctx_{m}")).otherwise(F.col(f"gram_{m}")), F.when(seen, F.col(f"own_ctx_{m}")).otherwise(F.col(f"own_gram_{m}")).cast("long")
+            seen = F.col("left") > 0
+            lower = [*(f"{kind}_{k}" for k in range(m - 1, 0, -1) for kind in ("ctx", "gram")), *(f"own_{k}" for k in range(m - 1, 0, -1))]
+            u = F.when(seen, F.col(f"ctx_{m}")).otherwise(F.col(f"gram_{m}"))
+            own = F.when(seen, F.shiftright(f"own_{m}", 32)).otherwise(F.col(f"own_{m}").bitwiseAND(F.lit(2**32 - 1)))
             if m == above:  # hot rows have no count to meet: nothing less a negative number is what they bring
                 u, own = F.when(is_top, F.xxhash64("doc_id", "gram_1")).otherwise(u), F.when(is_top, -F.col(f"ctx_{m}")).otherwise(own)
-            need = found.select("doc_id", "tf", seen.alias("seen"), F.col("left").alias("top"), u.alias("u"), own.alias("own"), *lower, *(f"own_{c}" for c in lower))
-            # a common n-gram's rows are dealt out by document, so that its shuffle is even
-            need = need.join(common[m], "u", "left").withColumn("key", F.when(F.col("often").isNull(), F.col("u")).otherwise(F.xxhash64("doc_id", "u")))
+            need = found.select("doc_id", "tf", seen.alias("seen"), F.col("left").alias("top"), u.alias("u"), own.alias("own"), *lower)
+            # a common n-gram's rows are dealt out by document, eight keys each, so that its shuffle is even and leaves
+            # few sums of a document; whether such a key is a rare n-gram's is not looked at
+            dealt = F.coalesce(F.shiftleft("doc_id", 3).bitwiseOR(F.col("u").bitwiseAND(F.lit(7))), F.xxhash64("u"))
+            need = need.join(common[m], "u", "left").withColumn("key", F.when(F.col("often").isNull(), F.col("u")).otherwise(dealt))
             found = need.join(rare[m], F.col("key") == F.col("w"), "left").withColumn("left", F.coalesce("often", "n", F.lit(0)) - F.col("own")).drop("often", "key", "w", "n", "u", "own")
             backs = (order - 1 - m) * log
             if m > 1:  # what was found is done, the rest goes on to the next lower order

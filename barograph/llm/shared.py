@@ -133,8 +133,12 @@ def steps(bounds: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int
 # ---------------------------------------------------------------- hashes
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACES)] = True
+_FULL = np.ones(256, bool)
+_FULL[list(SPACES)] = False
+#: The first 0 to 8 bytes of eight.
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are taken by eights.
+_NEAR = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64) | _U(1)
@@ -151,41 +155,51 @@ def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and their inverses."""
+def powers(n: int) -> np.ndarray:
+    """Powers of an odd base modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            a = np.full(size, base, _U)
-            a[0] = 1
-            _powers[name] = np.cumprod(a, dtype=_U)
-    return _powers["up"], _powers["down"]
+        a = np.full(n, _BASE, _U)
+        a[0] = 1
+        _powers["up"] = np.cumprod(a, dtype=_U)
+    return _powers["up"]
 
 
 def word_hashes(text: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For each word of the rows: its row, and a 64-bit hash of its bytes (A-Z as a-z if ``lower``).
 
-    The hash is a polynomial in the bytes; differences of one running sum give it for all words at once.
+    Words are taken eight bytes at a time, all words at once; what a word has beyond ``_NEAR`` bytes is a polynomial in them.
     """
     n = len(text)
     if not n:
         return np.empty(0, np.int64), np.empty(0, _U)
-    full = ~_SPACE[text]
-    cut = np.zeros(n + 1, bool)
-    cut[bounds] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = full[:-1]
-    starts = np.flatnonzero(full & (~before | cut[:-1]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = full[1:]
-    ends = np.flatnonzero(full & (~after | cut[1:])) + 1
-    up, down = powers(n + 1)
-    run = np.zeros(n + 1, _U)
-    np.cumsum(_LETTER[_LOWER[text] if lower else text] * up[:n], out=run[1:])
-    h = (run[ends] - run[starts]) * down[starts] + (ends - starts).astype(_U)
-    return np.searchsorted(bounds, starts, "right") - 1, mixed(h)
+    full = _FULL[text]
+    turn = np.empty(n + 1, bool)
+    turn[0], turn[n] = full[0], full[-1]
+    np.not_equal(full[1:], full[:-1], out=turn[1:-1])
+    edges = np.flatnonzero(turn)
+    # rows that end in a word and the next one's first word
+    cuts = bounds[(bounds > 0) & (bounds < n)]
+    cuts = np.unique(cuts[full[cuts] & full[cuts - 1]])
+    if len(cuts):
+        edges = np.insert(edges, np.repeat(np.searchsorted(edges, cuts), 2), np.repeat(cuts, 2))
+    starts, size = edges[0::2], edges[1::2] - edges[0::2]
+    held = np.zeros(n + 8, np.uint8)
+    held[:n] = _LOWER[text] if lower else text
+    eight = np.ndarray(n + 1, "<u8", held, strides=(1,))
+    h = mixed((eight[starts] & _MASK[np.minimum(size, 8)]) + size.astype(_U) * _U(_BASE))
+    for k in range(8, _NEAR, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = mixed(h[more] ^ (eight[starts[more] + k] & _MASK[np.minimum(size[more] - k, 8)]), k)
+    far = np.flatnonzero(size > _NEAR)
+    if len(far):
+        many = size[far] - _NEAR
+        first = np.cumsum(many) - many
+        inside = np.arange(int(many.sum())) - np.repeat(first, many)
+        letters = _LETTER[held[np.repeat(starts[far] + _NEAR, many) + inside]]
+        h[far] = mixed(h[far] ^ np.add.reduceat(letters * powers(int(many.max()))[inside], first), _NEAR)
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds))), h
 
 
 def gram_hashes(row: np.ndarray, words: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
