@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import even_join, found, gram_hashes, maybe, mixed, raw, saved, shingle_sets, small_batches, steps, string_column, without, word_hashes
+from .shared import even_join, found, gram_hashes, maybe, mixed, raw, saved, shingle_sets, small_batches, steps, string_column, tidied, without, word_hashes
 
 #: Words or shingles kept before the frequent ones among them are counted off.
 SEGMENT = 1 << 22
@@ -249,12 +249,12 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = text.where("text is not null").select("text").mapInArrow(_heavy(n), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
+    often = text.where("text is not null").select("text").mapInArrow(tidied(_heavy(n)), "shingle long, seen long").groupBy("shingle").agg(F.sum("seen").alias("seen"))
     top = often.orderBy(F.desc("seen"), "shingle").limit(heavy).toArrow()
     keys, seen = top["shingle"].to_numpy().view(np.uint64), top["seen"].to_numpy()
     by = np.argsort(keys)
     order = spark.sparkContext.broadcast((keys[by], seen[by]))
-    sets = saved(text.mapInArrow(_sets(n, num, den, order), "doc_id long, n long, one long, two long, least long, prefix array<long>"), "sets")
+    sets = saved(text.mapInArrow(tidied(_sets(n, num, den, order)), "doc_id long, n long, one long, two long, least long, prefix array<long>"), "sets")
     key = ["n", "one", "two"]
     unlike = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"))
     unlike = saved(unlike.where("a <> b").select("doc_id"), "unlike")
@@ -294,7 +294,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, h
     def sets_of(these: DataFrame) -> DataFrame:
         """These ids and tasks with their whole sets: the text goes through the join, as it is smaller than the hashes."""
         held = near.join(these, "doc_id").select("doc_id", "text", "tasks")
-        return (held.dropDuplicates(["doc_id"]) if repeated else held).mapInArrow(_shingles(n), f"doc_id long, tasks {these.schema['tasks'].dataType.simpleString()}, shingles array<long>")
+        return (held.dropDuplicates(["doc_id"]) if repeated else held).mapInArrow(tidied(_shingles(n)), f"doc_id long, tasks {these.schema['tasks'].dataType.simpleString()}, shingles array<long>")
 
     # a document has at most as many blocks as its prefix has shingles
     tasks = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("block", "chunks", "chunk")).alias("tasks"))

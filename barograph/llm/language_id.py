@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_rows, raw, small_batches, steps, string_column
+from .shared import bounded_rows, raw, small_batches, steps, string_column, tidied
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -205,5 +205,5 @@ def identify(docs: DataFrame, held_out: Column, per_language: int = 1024, keep:
     else:
         rows = docs.select(*given, text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letter"))
         schema = T.StructType([*rows.schema.fields[:-2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-        out = rows.mapInArrow(_predict(net), schema)
+        out = rows.mapInArrow(tidied(_predict(net)), schema)
     return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *(c for c in ("doc_id", "held_out", "lang_pred", "score") if c not in keep))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, small_batches, string_column
+from .shared import saved, small_batches, string_column, tidied
 
 ROUNDS = 24
 #: Entries that a worker's caches of word ids hold before they are emptied: some 50 MB, which a worker keeps over tasks.
@@ -267,7 +267,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1) -> Dat
     """One row for each piece of each row of ``docs`` (doc_id, text), with its sequence and place there."""
     small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pieces = saved(text.mapInArrow(_cut(tokenizer, size, end), _PIECE), "pieces")
+    pieces = saved(text.mapInArrow(tidied(_cut(tokenizer, size, end)), _PIECE), "pieces")
     counted = pieces.groupBy("length", "task").agg(F.count("*").alias("k"))
     histogram = counted.groupBy("length").agg(F.sum("k").alias("k")).orderBy("length").toArrow()  # at most ``size`` rows
     lengths, counts = histogram["length"].to_numpy(), histogram["k"].to_numpy()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, tidied
 
 ROUNDS = 8
 #: Letters and digits that are permuted as one number, so that the work grows with an address' length alone.
@@ -324,4 +324,4 @@ def pseudonymize(df: DataFrame, key: bytes, column: str = "text", count: str | N
     while count and count.lower() in [c.lower() for c in df.columns]:
         count += "_"
     schema = T.StructType([*df.schema.fields, *([T.StructField(count, T.LongType())] if count else [])])
-    return df.mapInArrow(_apply(key, column, count, back), schema)
+    return df.mapInArrow(tidied(_apply(key, column, count, back)), schema)

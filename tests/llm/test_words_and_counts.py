@@ -48,3 +48,19 @@ def test_ngrams_of_one_document_are_not_in_the_join(spark, monkeypatch):
     assert ngram_lm.stupid_backoff(docs, slices=1).count() == 50
     assert len(plans) == 1 and re.search(r"here#\d+L > 1", plans[0])
     assert "ReusedExchange" in plans[0]  # texts are read once a slice
+
+
+def test_workers_give_back_memory_at_the_end_of_a_task():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    def run(batches):
+        held = [np.ones(5_000) for _ in range(4_000)]  # 160 MB in pieces that the allocator keeps
+        seen.append(np.ones(5_000))  # stays at the heap's end
+        yield from batches
+        del held
+        seen.append(resident())
+
+    seen = []
+    assert len(list(shared.tidied(run)(iter([1, 2])))) == 2
+    assert resident() < seen[1] - 100
